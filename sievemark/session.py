@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +28,29 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
     Only a local session without that setting gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    folder = tempfile.mkdtemp(prefix="run-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def scratch_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path for one run's files below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(shared)
-    elif context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
