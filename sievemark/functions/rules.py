@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
 from sievemark.functions.strings import (
-    contains_any, digits_in, has_digit, has_odd_letters, is_blank, is_usable, strip, to_java,
+    computed_once, contains_any, digits_in, has_digit, has_odd_letters, is_blank, is_usable,
+    jvm_of, strip, to_java,
 )
 
 FINDING = "struct<category:string,snippet:string,pattern:string,source:string>"
@@ -93,25 +95,12 @@ def _as_finding(rule: Rule) -> Callable[[Column], Column]:
         F.lit(rule.pattern).alias("pattern"), F.lit("regex").alias("source"))
 
 
-def with_document_findings(
-    df: DataFrame, text: str = "text", detectors: Iterable[str] | None = None,
-    out: str = "findings",
-) -> DataFrame:
-    """Add the ordered findings of every text; switched-off detectors are not in the plan."""
-    chosen = set(DETECTORS if detectors is None else detectors)
-    unknown = chosen - set(DETECTORS)
-    if unknown:
-        raise ValueError(f"unknown detectors: {sorted(unknown)}")
+@lru_cache(maxsize=64)
+def _columns(text: str, chosen: tuple[str, ...], jvm: object) -> tuple[dict[str, Column], Column]:
+    """Per-rule snippet arrays and the final list; kept, because building them is not free."""
     rules = [rule for rule in RULES if rule.detector in chosen]
-    empty = F.array().cast(f"array<{FINDING}>")
-    if not rules:
-        return df.withColumn(out, empty)
-
-    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text))})
     raw = {f"_raw{i}": _snippets(rule, F.col(text), F.col("_low"), F.col("_odd"))
            for i, rule in enumerate(rules)}
-    work = work.withColumns(raw)
-
     parts, earlier = [], {}
     for i, rule in enumerate(rules):
         snippets = F.array_distinct(F.col(f"_raw{i}"))
@@ -119,8 +108,26 @@ def with_document_findings(
             snippets = F.array_except(snippets, F.col(f"_raw{j}"))
         earlier.setdefault(rule.category, []).append(i)
         parts.append(F.transform(snippets, _as_finding(rule)))
-    findings = F.when(is_blank(F.col(text)), empty).otherwise(F.concat(*parts))
-    return work.withColumn(out, findings).drop("_low", "_odd", *raw)
+    empty = F.array().cast(f"array<{FINDING}>")
+    if not parts:
+        return {}, empty
+    return raw, F.when(is_blank(F.col(text)), empty).otherwise(F.concat(*parts))
+
+
+def with_document_findings(
+    df: DataFrame, text: str = "text", detectors: Iterable[str] | None = None,
+    out: str = "findings",
+) -> DataFrame:
+    """Add the ordered findings of every text; switched-off detectors are not in the plan."""
+    chosen = set(DETECTORS if detectors is None else detectors)
+    unknown = chosen - set(DETECTORS)
+    if unknown:
+        raise ValueError(f"unknown detectors: {sorted(unknown)}")
+    raw, findings = _columns(text, tuple(sorted(chosen)), jvm_of(df))
+    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text))})
+    if raw:
+        work = work.withColumns(raw)
+    return computed_once(work.drop(out), out, findings).drop("_low", "_odd", *raw)
 
 
 def explode_findings(df: DataFrame, keys: list[str], findings: str = "findings") -> DataFrame:

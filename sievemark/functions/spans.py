@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from sievemark import fixed_values as V
 from sievemark.functions.governance import articles
 from sievemark.functions.strings import (
-    contains_any, has_digit, has_odd_letters, is_blank, is_usable, strip, to_java,
+    computed_once, contains_any, has_digit, has_odd_letters, is_blank, is_usable, jvm_of,
+    strip, to_java,
 )
 
 SPAN = "struct<category:string,start:int,end:int,snippet:string,confidence:double,detector:string>"
@@ -80,13 +82,13 @@ FORM_RULES = (
 )
 
 
-def match_spans(text: Column, java: str, has_value: bool) -> Column:
-    """Every match as ``(start, end, value)`` in characters of the text.
+def match_spans(text: Column, matches: Column, java: str, has_value: bool) -> Column:
+    """The matches as ``(start, end, value)`` in characters of the text.
 
     The gaps between matches come from ``split``; walking gaps and matches side by side gives
-    the offsets. For a labelled value the span covers the value, not its label.
+    the offsets. For a labelled value the span covers the value, not its label. There is one gap
+    more than there are matches, so the last span has a NULL value, which no gate lets through.
     """
-    matches = F.regexp_extract_all(text, F.lit(java), F.lit(0))
     gaps = F.split(text, java, -1)
 
     def step(acc: Column, pair: Column) -> Column:
@@ -102,16 +104,26 @@ def match_spans(text: Column, java: str, has_value: bool) -> Column:
         return F.struct(after.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
 
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches,
-                       lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step,
-                         lambda acc: acc["spans"])
-    return walked
+    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step,
+                       lambda acc: acc["spans"])
 
 
-def _rule_spans(rule: FormRule, text: Column, low: Column, odd: Column) -> Column:
-    java = to_java(rule.pattern, rule.has_value, rule.starts_with_word)
-    spans = match_spans(text, java, rule.has_value)
+def _java(rule: FormRule) -> str:
+    return to_java(rule.pattern, rule.has_value, rule.starts_with_word)
+
+
+def _rule_matches(rule: FormRule, text: Column, low: Column, odd: Column) -> Column:
+    matches = F.regexp_extract_all(text, F.lit(_java(rule)), F.lit(0))
+    if rule.hints:
+        possible = contains_any(low, rule.hints) | odd
+    else:
+        possible = text.rlike(rule.shape)
+    return F.when(possible, matches).otherwise(F.array().cast("array<string>"))
+
+
+def _rule_spans(rule: FormRule, text: Column, matches: Column) -> Column:
+    spans = match_spans(text, matches, _java(rule), rule.has_value)
     if rule.keep is not None:
         spans = F.filter(spans, lambda s: rule.keep(s["value"]))
     found = F.transform(spans, lambda s: F.struct(
@@ -119,11 +131,7 @@ def _rule_spans(rule: FormRule, text: Column, low: Column, odd: Column) -> Colum
         strip(s["value"]).alias("snippet"), F.lit(rule.confidence).alias("confidence"),
         F.lit("regex").alias("detector")))
     found = F.filter(found, lambda f: is_usable(f["snippet"]))
-    if rule.hints:
-        possible = contains_any(low, rule.hints) | odd
-    else:
-        possible = text.rlike(rule.shape)
-    return F.when(possible, found).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def resolve_overlaps(found: Column) -> Column:
@@ -154,16 +162,28 @@ def resolve_overlaps(found: Column) -> Column:
     return F.transform(ordered, lambda o: o["finding"])
 
 
-def with_form_findings(df: DataFrame, text: str = "text", out: str = "findings",
-                       resolve: bool = True) -> DataFrame:
-    """Add the form findings of every text; ``resolve=False`` stops before overlap resolution."""
-    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text))})
-    raw = {f"_raw{i}": _rule_spans(rule, F.col(text), F.col("_low"), F.col("_odd"))
+@lru_cache(maxsize=32)
+def _columns(text: str, resolve: bool, jvm: object) -> tuple[dict, dict, Column, Column]:
+    """Per-rule matches and spans, their union, and the final list. Building them takes thousands of calls
+    into the JVM, so they are kept for the next plan."""
+    matches = {f"_match{i}": _rule_matches(rule, F.col(text), F.col("_low"), F.col("_odd"))
+               for i, rule in enumerate(FORM_RULES)}
+    raw = {f"_raw{i}": _rule_spans(rule, F.col(text), F.col(f"_match{i}"))
            for i, rule in enumerate(FORM_RULES)}
-    work = work.withColumns(raw).withColumn("_found", F.when(
-        is_blank(F.col(text)), F.array().cast(f"array<{SPAN}>")).otherwise(F.concat(*raw)))
+    union = F.when(is_blank(F.col(text)), F.array().cast(f"array<{SPAN}>")).otherwise(
+        F.concat(*raw))
     found = F.col("_found")
     if resolve:
         found = F.when(F.size(found) > 1, resolve_overlaps(found)).otherwise(found)
     final = F.transform(found, lambda f: f.withField("gdpr_articles", articles(f["category"])))
-    return work.withColumn(out, final).drop("_low", "_odd", "_found", *raw)
+    return matches, raw, union, final
+
+
+def with_form_findings(df: DataFrame, text: str = "text", out: str = "findings",
+                       resolve: bool = True) -> DataFrame:
+    """Add the form findings of every text; ``resolve=False`` stops before overlap resolution."""
+    matches, raw, union, final = _columns(text, resolve, jvm_of(df))
+    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text))})
+    work = work.withColumns(matches).withColumns(raw)
+    work = computed_once(work, "_found", union).drop("_low", "_odd", *matches, *raw)
+    return computed_once(work.drop(out), out, final).drop("_found")

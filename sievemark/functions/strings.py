@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.fixed_values import MAX_SNIPPET_CHARS, WHITESPACE
@@ -95,3 +95,17 @@ def base_name(path: Column) -> Column:
 def suffix(name: Column) -> Column:
     """Lower-cased extension with its dot; a leading or trailing dot makes no extension."""
     return F.lower(F.regexp_extract(name, r"(?s)[^/.][^/]*(\.[^./]+)$", 1))
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is evaluated once per row.
+
+    The optimizer copies a projected expression into every later filter on it, which would run the
+    patterns again. It never does so with the output of a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def jvm_of(df: DataFrame) -> object:
+    """Key for columns kept between plans: they belong to the JVM they were built in."""
+    return df.sparkSession.sparkContext._jvm

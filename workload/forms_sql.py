@@ -136,4 +136,5 @@ TEXT = (
     + " || ".join(_LINES) + " END"
 )
 PATH = "'/share/' || kind || '/' || kind || '_' || origin || k || '.txt'"
-FORMS = f"SELECT kind, origin, k, {PATH} AS path, {TEXT} AS text FROM ({SOURCES}) AS src"
+COLUMNS = ["kind", "origin", "k", f"{PATH} AS path", f"{TEXT} AS text"]
+FORMS = f"SELECT {', '.join(COLUMNS)} FROM ({SOURCES}) AS src"

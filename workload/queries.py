@@ -55,7 +55,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _forms(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_if_few(relation(spark, sf, "forms").select("path", "text"))
+    return relation(spark, sf, "forms").select("path", "text")
 
 
 @query
@@ -666,7 +666,7 @@ def _length_scorer(pending: DataFrame) -> DataFrame:
 
 def _judged(spark, sf, **options) -> DataFrame:
     forms = relation(spark, sf, "forms").select("path", "text")
-    found = with_document_findings(spread_if_few(forms), **options)
+    found = with_document_findings(forms, **options)
     return evaluate.corpus_files(found).select(
         "path", "is_pii", F.size("findings").alias("n_findings"),
         F.lit(None).cast("string").alias("error"))
@@ -693,7 +693,7 @@ def label_match_scores(spark, sf):
         F.lit(category).alias("category"), c.alias("expected"))
     labels = F.array(label("name", F.col("first")), label("username", F.col("badge")),
                      label("passport", F.lit("C00")))
-    found = with_form_findings(spread_if_few(forms)).select("findings", labels.alias("labels"))
+    found = with_form_findings(forms).select("findings", labels.alias("labels"))
     return _round(evaluate.label_scores(found), "precision", "recall", "f1")
 
 
