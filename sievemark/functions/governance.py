@@ -107,8 +107,8 @@ def finding_id(file: Column, category: Column, start: Column) -> Column:
 
 
 def to_epoch(value: Column) -> Column:
-    """Seconds since 1970 of an ISO text; missing or unreadable becomes 0."""
-    return F.coalesce(F.unix_micros(F.try_to_timestamp(value)) / 1e6, F.lit(0.0))
+    """Seconds since 1970 of a timestamp or ISO text; missing or unreadable becomes 0."""
+    return F.coalesce(F.unix_micros(value.try_cast("timestamp")) / 1e6, F.lit(0.0))
 
 
 def is_past_retention(modified: Column, now: float, years: int = V.RETENTION_YEARS) -> Column:

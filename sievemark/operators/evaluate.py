@@ -23,7 +23,7 @@ def corpus_files(files: DataFrame) -> DataFrame:
 
 def sample_files(files: DataFrame, n: int, seed: int = 99) -> DataFrame:
     """``n`` files chosen by a seeded hash of the path, the same ones on every run."""
-    return files.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(n)
+    return files.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), "path"), 256), "path").limit(n)
 
 
 def _ratio(part: Column, whole: Column) -> Column:

@@ -76,9 +76,8 @@ def owner_files(registry: DataFrame, owner: str | None = None) -> DataFrame:
     return rows.select(
         "owner", F.col("file_id").alias("id"), F.col("name").alias("path"),
         F.lit("gdrive").alias("source_type"), F.lit(0).cast("bigint").alias("size_bytes"),
-        to_epoch(F.col("google_created_at").cast("string")).alias("last_modified"),
-        F.nullif(to_epoch(F.col("last_seen_at").cast("string")), F.lit(0.0)).alias(
-            "last_scanned_at"),
+        to_epoch(F.col("google_created_at")).alias("last_modified"),
+        F.nullif(to_epoch(F.col("last_seen_at")), F.lit(0.0)).alias("last_scanned_at"),
         F.lit(1).cast("bigint").alias("n_findings"),
         F.when(category.isNotNull() & (category != ""), F.array(category)).otherwise(
             F.array().cast("array<string>")).alias("finding_categories"),

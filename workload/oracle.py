@@ -24,6 +24,15 @@ def _with(names: str, body: str) -> str:
     return f"WITH {ctes} {body}"
 
 
+def _store(part: int, default: str | None) -> str:
+    name = "lower(regexp_extract(path, '[^/]*$'))"
+    whens = " ".join(
+        f"WHEN contains({name}, {_q(rule[0])}) THEN "
+        + ("NULL" if rule[part] is None else _q(rule[part])) for rule in V.STORE_RULES)
+    return f"CASE {whens} ELSE {_q(default)} END"
+
+
+_SOURCE, _STEWARD = _store(1, V.DEFAULT_STORE[0]), _store(2, V.DEFAULT_STORE[1])
 # ---- document rules -------------------------------------------------------------------------
 
 _DIGIT = "regexp_matches(x, '[0-9]')"
@@ -235,6 +244,34 @@ SELECT path, category, snippet, array_to_string(list_transform(range(1, len(gs)
 FROM (SELECT path, category, snippet, regexp_extract_all(snippet, '{_TOKEN}') AS ts,
              regexp_split_to_array(snippet, '{_TOKEN}') AS gs FROM ({_FORM_ROWS}) AS f) AS g""")
 
+_SHOWN_ROWS = f"SELECT *, {_LABEL} AS label, {_articles('|')} AS laws FROM (" + _resolved(
+    "forms", "path") + ") AS s"
+ORACLE["explanations"] = _with("forms", f"""
+, f AS ({_SHOWN_ROWS}),
+types AS (SELECT path, list(lower(label) ORDER BY seen) AS ts FROM (
+    SELECT path, label, min((start, category)) AS seen FROM f GROUP BY path, label) AS t
+    GROUP BY path),
+laws AS (SELECT path, string_agg(DISTINCT law, ', ' ORDER BY law) AS ls FROM (
+    SELECT path, unnest(string_split(laws, '|')) AS law FROM f) AS l GROUP BY path),
+n AS (SELECT path, count(*) AS n FROM f GROUP BY path)
+SELECT n.path, '“' || regexp_extract(n.path, '[^/]*$') || '” was flagged because the scanner detected '
+    || n || CASE n WHEN 1 THEN ' item' ELSE ' items' END || ' of personal data — '
+    || CASE len(ts) WHEN 1 THEN ts[1] ELSE array_to_string(ts[1:len(ts) - 1], ', ') || ' and '
+       || ts[len(ts)] END || '. ' || replace({_q(V.EXPLAIN_DUTY)}, '{{articles}}', ls)
+    || {_q(V.EXPLAIN_REVIEW)} AS explanation
+FROM n JOIN types ON types.path = n.path JOIN laws ON laws.path = n.path""")
+ORACLE["explanation_prompts"] = _with("forms", f"""
+, f AS ({_SHOWN_ROWS}),
+lines AS (SELECT path, string_agg('- ' || label || ' (' || CAST(floor(confidence * 100 + 0.5)
+    AS INTEGER) || '% confidence): "' || snippet || '"', chr(10) ORDER BY start, category) AS ls
+    FROM f GROUP BY path)
+SELECT forms.path, array_to_string([{', '.join(_q(x) for x in V.PROMPT_HEAD)},
+    'File name: ' || regexp_extract(forms.path, '[^/]*$'), 'Source: '
+    || {_SOURCE.replace('path', 'forms.path')}, '', 'Detected personal data:', ls, '',
+    'File excerpt:', repeat('"', 3) || left(text, 1200) || repeat('"', 3), '', 'Explanation:'],
+    chr(10)) AS prompt
+FROM lines JOIN forms ON forms.path = lines.path""")
+
 # ---- registry figures -----------------------------------------------------------------------
 
 _PROCESSED = "status_flag IS DISTINCT FROM 'not checked'"
@@ -361,15 +398,6 @@ ORACLE["delta_selection"] = _with("files", f"""
 FROM listed LEFT JOIN files ON files.path = listed.path""")
 
 
-def _store(part: int, default: str | None) -> str:
-    name = "lower(regexp_extract(path, '[^/]*$'))"
-    whens = " ".join(
-        f"WHEN contains({name}, {_q(rule[0])}) THEN "
-        + ("NULL" if rule[part] is None else _q(rule[part])) for rule in V.STORE_RULES)
-    return f"CASE {whens} ELSE {_q(default)} END"
-
-
-_SOURCE, _STEWARD = _store(1, V.DEFAULT_STORE[0]), _store(2, V.DEFAULT_STORE[1])
 ORACLE["file_upsert"] = _with("files", f"""
 , {_LIST_FILES} SELECT substring(sha256(l.path), 1, 16) AS id, l.path,
     CASE WHEN f.path IS NULL THEN {_SOURCE.replace('path', 'l.path')} ELSE f.source_type END
@@ -656,6 +684,24 @@ FROM p"""
 ORACLE["corpus_truth"] = _with("forms", """
 SELECT NOT contains(path, '/internal_memo_') AS is_pii, count(*) AS files FROM forms GROUP BY 1""")
 
+ORACLE["sampled_files"] = _with(
+    "forms", "SELECT path FROM forms ORDER BY sha256('99:' || path) LIMIT 100")
+# One label per category and file, so a label is hit when any finding of its category fits.
+ORACLE["label_match_scores"] = _with("forms", f"""
+, f AS ({_resolved('forms', 'path')}),
+l AS (SELECT path, 'name' AS category, regexp_extract(text, 'Name: (\\w+)', 1) AS expected FROM forms
+      UNION ALL SELECT path, 'username', regexp_extract(text, '(E-\\d+) issued', 1) FROM forms
+      UNION ALL SELECT path, 'passport', 'C00' FROM forms),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE EXISTS (
+          SELECT 1 FROM f WHERE f.path = l.path AND f.category = l.category
+          AND contains(f.snippet, l.expected))) AS hit
+      FROM l WHERE expected <> ''),
+s AS (SELECT hit AS tp, (SELECT count(*) FROM f) - hit AS fp, CAST(n - hit AS BIGINT) AS fn,
+             CAST(n AS BIGINT) AS labels, hit / CAST((SELECT count(*) FROM f) AS DOUBLE) AS p,
+             hit / n AS r FROM m)
+SELECT tp, fp, fn, (SELECT count(*) FROM forms) AS files, labels, round(p, 6) AS "precision",
+    round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s""")
+
 # ---- media answers --------------------------------------------------------------------------
 
 _SHOWN = "CASE WHEN lang IN ('en', 'de') THEN text ELSE '' END"

@@ -685,15 +685,16 @@ def detector_comparison(spark, sf):
 
 @query
 def label_match_scores(spark, sf):
-    """Labels: the person and the badge every form should show, found or not."""
-    forms = relation(spark, sf, "forms").select(
-        "path", "text", F.regexp_extract("text", r"Name: (\w+)", 1).alias("first"),
-        F.regexp_extract("text", r"(E-\d+) issued", 1).alias("badge"))
-    label = lambda category, c: F.struct(
-        F.lit(category).alias("category"), c.alias("expected"))
-    labels = F.array(label("name", F.col("first")), label("username", F.col("badge")),
+    """Labels: the first name and the badge written on a form, and a passport series."""
+    def label(category: str, expected: Column) -> Column:
+        return F.struct(F.lit(category).alias("category"), expected.alias("expected"))
+
+    text = F.col("text")
+    labels = F.array(label("name", F.regexp_extract(text, r"Name: (\w+)", 1)),
+                     label("username", F.regexp_extract(text, r"(E-\d+) issued", 1)),
                      label("passport", F.lit("C00")))
-    found = with_form_findings(forms).select("findings", labels.alias("labels"))
+    found = with_form_findings(relation(spark, sf, "forms")).select(
+        "findings", F.filter(labels, lambda x: x["expected"] != "").alias("labels"))
     return _round(evaluate.label_scores(found), "precision", "recall", "f1")
 
 
