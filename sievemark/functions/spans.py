@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from sievemark import fixed_values as V
 from sievemark.functions.governance import articles
 from sievemark.functions.strings import (
-    computed_once, contains_any, has_digit, has_odd_letters, is_blank, is_usable, jvm_of,
-    strip, to_java,
+    computed_once, contains_any, has_digit, has_odd_letters, is_ascii, is_blank, is_usable,
+    java_email, jvm_of, strip, to_java,
 )
 
 SPAN = "struct<category:string,start:int,end:int,snippet:string,confidence:double,detector:string>"
@@ -27,6 +27,7 @@ class FormRule:
     confidence: float
     hints: tuple[str, ...] = ()
     shape: str = ""
+    first: str = ""
     keep: Callable[[Column], Column] | None = None
     starts_with_word: bool = True
 
@@ -34,6 +35,19 @@ class FormRule:
     def has_value(self) -> bool:
         return "(?P<val>" in self.pattern
 
+    def java(self, ascii_only: bool) -> str:
+        """The pattern without groups, which cost time at every place they are tried."""
+        if self.category == "email":
+            return java_email(self.pattern)
+        return to_java(self.pattern, self.first, "(?:", self.starts_with_word, ascii_only)
+
+    def parts(self) -> str:
+        """The pattern for one match, with the label as group 1 and the value as group 2."""
+        flags, rest = self.pattern.split(")", 1)
+        label, value = rest.split("(?P<val>", 1)
+        label = label.removeprefix(r"\b")
+        return to_java(f"{flags})({label})(?P<val>{value}", starts_with_word=False)
+
 
 def _line(labels: str) -> str:
     return V.LINE_VALUE.format(labels=labels)
@@ -53,50 +67,53 @@ def _is_person(value: Column) -> Column:
 
 FORM_RULES = (
     FormRule("name", V.NAME.format(labels=V.NAME_LABELS), 0.95,
-             shape=r"(?iUd)[a-z][ \t]*[:\-][ \t]*[a-z]", keep=_is_person),
+             shape=r"(?iUd)[a-z][ \t]*[:\-][ \t]*[a-z]", first="nepmratco", keep=_is_person),
     FormRule("email", V.EMAIL, 0.98, hints=("@",)),
-    FormRule("fax", _line(V.FAX_LABELS), 0.95, hints=("fax",), keep=has_digit),
+    FormRule("fax", _line(V.FAX_LABELS), 0.95, hints=("fax",), first="ft", keep=has_digit),
     FormRule("phone", _line(V.PHONE_LABELS), 0.95,
-             hints=("phone", "tel", "mobil", "cell"), keep=has_digit),
+             hints=("phone", "tel", "mobil", "cell"), first="ptmc", keep=has_digit),
     FormRule("signature", _line(V.SIGNATURE_LABELS_FORM), 0.9,
-             hints=("signature", "signed", "unterschrift")),
+             hints=("signature", "signed", "unterschrift"), first="su"),
     FormRule("photo_video", V.PHOTO_VIDEO, 0.8,
              hints=("photo", "headshot", "profile", "picture", "image", "video",
-                    ".jpg", ".jpeg", ".png", ".mp4", ".mov"), starts_with_word=False),
+                    ".jpg", ".jpeg", ".png", ".mp4", ".mov"), first="phiv.",
+             starts_with_word=False),
     FormRule("passport", _id(V.PASSPORT_LABELS), 0.95, hints=("passport", "reisepass"),
-             keep=has_digit),
+             first="pr", keep=has_digit),
     FormRule("drivers_license", _id(V.LICENSE_LABELS), 0.95, hints=("driver", "hrerschein"),
-             keep=has_digit),
+             first="df", keep=has_digit),
     FormRule("id_card", _id(V.ID_CARD_LABELS), 0.9,
-             hints=("card", "ausweis", "tax", "vat"), keep=has_digit),
-    FormRule("username", _line(V.USERNAME_LABELS), 0.9, hints=("user", "login", "account")),
-    FormRule("username", V.EMPLOYEE_ID, 0.85, shape=r"(?U)[A-Z]-\d\d\d\d"),
+             hints=("card", "ausweis", "tax", "vat"), first="ipatv", keep=has_digit),
+    FormRule("username", _line(V.USERNAME_LABELS), 0.9, hints=("user", "login", "account"),
+             first="ula"),
+    FormRule("username", V.EMPLOYEE_ID, 0.85, shape=r"(?U)[A-Z]-\d\d\d\d", first="A-Z"),
     FormRule("billing_shipping_address", _line(V.BILLING_LABELS), 0.9,
-             hints=("billing", "shipping", "invoice", "delivery")),
+             hints=("billing", "shipping", "invoice", "delivery"), first="bsid"),
     FormRule("home_address", _line(V.ADDRESS_LABELS), 0.88,
-             hints=("address", "anschrift", "adresse", "residence")),
+             hints=("address", "anschrift", "adresse", "residence"), first="ahr"),
     FormRule("home_address", V.STREET, 0.7, hints=("str", "gasse", "weg", "allee", "platz")),
-    FormRule("home_address", V.POSTAL, 0.7, shape=r"(?U)\d{5}[ \t]"),
+    FormRule("home_address", V.POSTAL, 0.7, shape=r"(?U)\d{5}[ \t]", first=r"\d"),
     FormRule("travel_history", V.TRAVEL, 0.7,
              hints=("trip", "way", "itinerary", "boarding", "flight", "travel", "->", "→")),
 )
 
 
-def match_spans(text: Column, matches: Column, java: str, has_value: bool) -> Column:
+def match_spans(rule: FormRule, text: Column, matches: Column) -> Column:
     """The matches as ``(start, end, value)`` in characters of the text.
 
     The gaps between matches come from ``split``; walking gaps and matches side by side gives
     the offsets. For a labelled value the span covers the value, not its label. There is one gap
     more than there are matches, so the last span has a NULL value, which no gate lets through.
     """
-    gaps = F.split(text, java, -1)
+    gaps = F.when(F.col("_ascii"), F.split(text, rule.java(True), -1)).otherwise(
+        F.split(text, rule.java(False), -1))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         after = start + F.length(pair["match"])
-        if has_value:
-            value = F.regexp_extract(pair["match"], java, 2)
-            start = start + F.length(F.regexp_extract(pair["match"], java, 1))
+        if rule.has_value:
+            value = F.regexp_extract(pair["match"], rule.parts(), 2)
+            start = start + F.length(F.regexp_extract(pair["match"], rule.parts(), 1))
         else:
             value = pair["match"]
         span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"),
@@ -109,12 +126,10 @@ def match_spans(text: Column, matches: Column, java: str, has_value: bool) -> Co
                        lambda acc: acc["spans"])
 
 
-def _java(rule: FormRule) -> str:
-    return to_java(rule.pattern, rule.has_value, rule.starts_with_word)
-
-
 def _rule_matches(rule: FormRule, text: Column, low: Column, odd: Column) -> Column:
-    matches = F.regexp_extract_all(text, F.lit(_java(rule)), F.lit(0))
+    matches = F.when(
+        F.col("_ascii"), F.regexp_extract_all(text, F.lit(rule.java(True)), F.lit(0))).otherwise(
+        F.regexp_extract_all(text, F.lit(rule.java(False)), F.lit(0)))
     if rule.hints:
         possible = contains_any(low, rule.hints) | odd
     else:
@@ -123,7 +138,7 @@ def _rule_matches(rule: FormRule, text: Column, low: Column, odd: Column) -> Col
 
 
 def _rule_spans(rule: FormRule, text: Column, matches: Column) -> Column:
-    spans = match_spans(text, matches, _java(rule), rule.has_value)
+    spans = match_spans(rule, text, matches)
     if rule.keep is not None:
         spans = F.filter(spans, lambda s: rule.keep(s["value"]))
     found = F.transform(spans, lambda s: F.struct(
@@ -183,7 +198,8 @@ def with_form_findings(df: DataFrame, text: str = "text", out: str = "findings",
                        resolve: bool = True) -> DataFrame:
     """Add the form findings of every text; ``resolve=False`` stops before overlap resolution."""
     matches, raw, union, final = _columns(text, resolve, jvm_of(df))
-    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text))})
+    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text)),
+                           "_ascii": is_ascii(F.col(text))})
     work = work.withColumns(matches).withColumns(raw)
-    work = computed_once(work, "_found", union).drop("_low", "_odd", *matches, *raw)
+    work = computed_once(work, "_found", union).drop("_low", "_odd", "_ascii", *matches, *raw)
     return computed_once(work.drop(out), out, final).drop("_found")

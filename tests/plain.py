@@ -93,5 +93,7 @@ TRICKY = [
     "::1 2001:db8::1 fe80::1%eth0 1:2:3:4:5:6:7:8 ::ffff:1.2.3.4",
     "1.2.3.4.5 256.1.1.1 0.0.0.0 +49 (711) 123-4567/89 000-12-3456 123 45 6789",
     "Signature: " + "x" * 201 + "\nsigned by: ______\nLogin: a",
+    "Paſſport: A1234 ſignature: Bob\nfaX: 3 ſigned by: 4\nKontakt: 5 uſer name: k İD card 123",
+    "a.b@c.de.f@g.hi%j@k.lm,@x.yz a@b @c.de x@y.z1 " + "Q" * 3000 + " é@a.bc",
     "phone: 1 phone: 2\nphone: phone: 3\nUser Name:\tx  \x0b\ny",
 ]
