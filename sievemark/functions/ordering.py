@@ -44,7 +44,8 @@ def salted_join(rows: DataFrame, unique: DataFrame, on: str, spread_by: list[str
 def spread_if_few(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Redistribute a text table that arrives in fewer splits than the cluster has cores.
 
-    Inputs with enough splits, which is every large one, are returned as they are.
+    For frames read straight from files: counting their splits runs nothing. Inputs with enough
+    splits, which is every large one, are returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df

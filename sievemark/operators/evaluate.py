@@ -101,19 +101,17 @@ def latency(times: DataFrame, column: str = "time_s", key: str = "file_id") -> D
 
     The sorted positions come from range partitions, so no task sorts all times.
     """
-    total = times.agg(F.count("*").alias("files"), F.sum(column).alias("_sum"),
-                      F.lit(1).alias("_one"))
     placed = with_position(times.select(column, key), [F.asc(column), F.asc(key)])
-    n = times.agg(F.count("*")).scalar()
-    at = {name: F.floor(F.col("_n") * F.lit(q)) + 1
-          for name, q in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99))}
-    picked = placed.withColumn("_n", n).agg(
-        *[F.max(F.when(F.col("position") == spot, F.col(column))).alias(name)
-          for name, spot in at.items()], F.lit(1).alias("_one"))
-    row = total.join(picked, "_one")
+    at = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
+    total = placed.agg(F.count("*")).scalar()
+    row = placed.withColumn("_n", total).agg(
+        F.count("*").alias("files"), F.sum(column).alias("_sum"),
+        *[F.max(F.when(F.col("position") == F.floor(F.col("_n") * F.lit(q)) + 1,
+                       F.col(column))).alias(name) for name, q in at.items()])
     return row.select(
-        "files", F.round("_sum", 2).alias("total_s"),
-        F.round(F.coalesce(F.col("_sum") / F.col("files"), F.lit(0.0)) * 1000, 1).alias("mean_ms"),
+        "files", F.round(F.coalesce("_sum", F.lit(0.0)), 2).alias("total_s"),
+        F.round(F.coalesce(F.col("_sum") / F.nullif("files", F.lit(0)), F.lit(0.0)) * 1000,
+                1).alias("mean_ms"),
         *[F.round(F.coalesce(F.col(p), F.lit(0.0)) * 1000, 1).alias(p) for p in at])
 
 

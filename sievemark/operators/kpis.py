@@ -85,17 +85,24 @@ def owner_files(registry: DataFrame, owner: str | None = None) -> DataFrame:
 
 
 def snapshot(registry: DataFrame, label_text: str | None, captured_at: Column) -> DataFrame:
-    """The figures of one moment as one row; owners are kept apart in ``snapshot_owners``."""
-    per_owner = _owned(registry).groupBy("owner").agg(F.count_if(_flagged()).alias("_n"))
-    row = totals(registry).withColumns({
-        "run_label": F.lit(label_text or "manual"), "captured_at": captured_at,
-        "percentage_files_flagged": F.col("percentage_files_flagged").cast("decimal(7,2)"),
-        "owner_count": per_owner.agg(F.count("*")).scalar(),
-        "flagged_owner_count": per_owner.agg(F.count_if(F.col("_n") > 0)).scalar(),
-    })
+    """The figures of one moment as one row, from one pass; ``snapshot_owners`` has the owners."""
+    per_owner = registry.groupBy("owner").agg(
+        F.count("*").alias("_all"), F.count_if(_flagged()).alias("_flagged"),
+        F.count_if(_processed()).alias("_processed"))
+    named = F.col("owner").isNotNull() & (F.col("owner") != "")
+    zero = F.lit(0).cast("bigint")
+    row = per_owner.agg(
+        F.coalesce(F.sum("_all"), zero).alias("total_files_registered"),
+        F.coalesce(F.sum("_flagged"), zero).alias("total_files_flagged"),
+        F.coalesce(F.sum("_processed"), zero).alias("total_files_processed"),
+        F.count_if(named).alias("owner_count"),
+        F.count_if(named & (F.col("_flagged") > 0)).alias("flagged_owner_count"))
+    share = percent(F.col("total_files_flagged"), F.col("total_files_processed"))
     return row.select(
-        "captured_at", "run_label", "total_files_registered", "total_files_flagged",
-        "total_files_processed", "percentage_files_flagged", "owner_count", "flagged_owner_count")
+        captured_at.alias("captured_at"), F.lit(label_text or "manual").alias("run_label"),
+        "total_files_registered", "total_files_flagged", "total_files_processed",
+        share.cast("decimal(7,2)").alias("percentage_files_flagged"),
+        "owner_count", "flagged_owner_count")
 
 
 def snapshot_owners(registry: DataFrame, label_text: str | None, captured_at: Column) -> DataFrame:
@@ -139,8 +146,8 @@ def owner_exposure(registry: DataFrame) -> DataFrame:
     """
     counts = _owned(registry).filter(_flagged()).groupBy("owner").agg(
         F.count("*").alias("flagged_files"))
-    total = counts.agg(F.sum("flagged_files")).scalar()
     ranked = with_position(counts, [F.desc("flagged_files"), F.asc("owner")], "rank")
+    total = ranked.agg(F.sum("flagged_files")).scalar()
     return ranked.withColumn("_total", total).select(
         "rank", "owner", "flagged_files",
         percent(F.col("flagged_files"), F.col("_total")).alias("share"))

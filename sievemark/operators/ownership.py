@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
+from sievemark.functions.ordering import salted_join
 from sievemark.functions.strings import base_name, strip
 
 
@@ -39,8 +40,8 @@ def resolve_ownership(files: DataFrame, users: DataFrame) -> DataFrame:
 
     A personal file goes to the employee named in it, else to the first employee; a shared file
     goes to its steward, else to the first employee. The fallback employee and the stewards
-    present are scalar subqueries. Files without a usable name get a key of their own, so
-    they do not pile up on one join key.
+    present are scalar subqueries. Files without a usable name get a key of their own, and a
+    name found in very many files is salted, so neither piles up on one join key.
     """
     employees = users.filter(F.col("role") == "employee")
     first = employees.agg(F.min_by("id", F.struct("name", "id"))).scalar()
@@ -56,7 +57,7 @@ def resolve_ownership(files: DataFrame, users: DataFrame) -> DataFrame:
     target = F.when(personal & (F.col("primary_name") != ""), F.lower(strip(F.col("primary_name"))))
     typed = typed.withColumn(
         "_target", F.coalesce(target, F.concat(F.lit("\x00"), F.col("path"))))
-    matched = typed.join(by_name, "_target", "left")
+    matched = salted_join(typed, by_name, "_target", ["path"])
     kept_steward = F.when(F.array_contains("_present", F.col("_steward")), F.col("_steward"))
     return matched.select(
         *files.columns, "source_type",

@@ -14,6 +14,7 @@ from sievemark.functions.strings import base_name, suffix
 from sievemark.sources.parsers import PARSERS, html_text
 
 PARSED_EXTENSIONS = tuple(PARSERS)
+_BATCH_CHARS = 16_000_000
 _TEXT = "path string, size_bytes bigint, last_modified double, text string, error string"
 
 
@@ -33,7 +34,7 @@ def list_files(spark: SparkSession, root: str, extensions: Iterable[str] | None
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if extensions is not None:
         files = files.option("pathGlobFilter", _glob(extensions))
-    return files.load(root).select(*_metadata()).orderBy("path")
+    return files.load(root).select(*_metadata())
 
 
 def decode_text(content: Column) -> Column:
@@ -41,44 +42,25 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\r\n?", "\n")
 
 
-def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        texts, errors = [], []
-        for ending, content in zip(frame["ending"], frame["content"]):
-            try:
-                texts.append(PARSERS[ending](bytes(content)))
-                errors.append(None)
-            except Exception as problem:  # a bad file must not end the run
-                texts.append(None)
-                errors.append(f"{type(problem).__name__}: {problem}")
-        yield frame[["path", "size_bytes", "last_modified"]].assign(text=texts, error=errors)
-
-
 def read_texts(spark: SparkSession, root: str, extensions: Iterable[str] | None = None) -> DataFrame:
     """Text of every file below ``root``; unsupported and broken files carry an error instead.
 
-    Plain text is decoded by Spark; the zipped and marked-up formats go through one Arrow batch
-    function. The rest is listed without reading a byte.
+    Plain text is read and decoded by Spark; the zipped and marked-up formats are opened by path
+    on the executors. The rest is listed without reading a byte.
     """
     wanted = None if extensions is None else tuple(e.lower() for e in extensions)
 
-    def branch(endings: Iterable[str]) -> DataFrame | None:
-        chosen = [e for e in endings if wanted is None or e in wanted]
-        if not chosen:
-            return None
-        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        return reader.option("pathGlobFilter", _glob(chosen)).load(root)
+    def chosen(endings: Iterable[str]) -> list[str]:
+        return [e for e in endings if wanted is None or e in wanted]
 
     parts = []
-    plain = branch(TEXT_EXTENSIONS)
-    if plain is not None:
+    if chosen(TEXT_EXTENSIONS):
+        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", _glob(chosen(TEXT_EXTENSIONS))).load(root)
         parts.append(plain.select(*_metadata(), decode_text(F.col("content")).alias("text"),
                                   F.lit(None).cast("string").alias("error")))
-    parsed = branch(PARSED_EXTENSIONS)
-    if parsed is not None:
-        rows = parsed.select(*_metadata(), suffix(base_name(F.col("path"))).alias("ending"),
-                             "content")
-        parts.append(spread_if_few(rows).mapInPandas(_parse, _TEXT))
+    if chosen(PARSED_EXTENSIONS):
+        parts.append(texts_of(list_files(spark, root, chosen(PARSED_EXTENSIONS))))
     other = list_files(spark, root, wanted).withColumn("ending", suffix(base_name(F.col("path"))))
     other = other.filter(~F.col("ending").isin(*TEXT_EXTENSIONS, *PARSED_EXTENSIONS))
     parts.append(other.select(
@@ -100,30 +82,45 @@ def _open_and_parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with system.open_input_stream(place) as stream:
             return stream.read()
 
+    def text_of(path: str, ending: str) -> str:
+        if ending in TEXT_EXTENSIONS:
+            text = load(path).decode("utf-8", errors="replace")
+            return text.replace("\r\n", "\n").replace("\r", "\n")
+        if ending in PARSERS:
+            return PARSERS[ending](load(path))
+        raise ValueError(f"unsupported file type: {ending}")
+
+    def flush(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(
+            rows, columns=["path", "size_bytes", "last_modified", "text", "error"])
+
     for frame in frames:
-        texts, errors = [], []
-        for path, ending in zip(frame["path"], frame["ending"]):
+        rows, held = [], 0
+        for path, size, modified, ending in frame.itertuples(index=False):
+            text = error = None
             try:
-                if ending in TEXT_EXTENSIONS:
-                    text = load(path).decode("utf-8", errors="replace")
-                    text = text.replace("\r\n", "\n").replace("\r", "\n")
-                elif ending in PARSERS:
-                    text = PARSERS[ending](load(path))
-                else:
-                    raise ValueError(f"unsupported file type: {ending}")
-                texts.append(text)
-                errors.append(None)
+                text = text_of(path, ending)
             except Exception as problem:  # a bad file must not end the run
-                texts.append(None)
-                errors.append(f"{type(problem).__name__}: {problem}")
-        yield frame[["path", "size_bytes", "last_modified"]].assign(text=texts, error=errors)
+                error = f"{type(problem).__name__}: {problem}"
+            rows.append((path, size, modified, text, error))
+            held += len(text or "")
+            if held > _BATCH_CHARS:
+                yield flush(rows)
+                rows, held = [], 0
+        if rows:
+            yield flush(rows)
 
 
 def texts_of(files: DataFrame) -> DataFrame:
-    """Text of chosen files only, opened by the executors; used after a delta selection."""
+    """Text of chosen files only, opened by the executors.
+
+    Only paths are shuffled, so that a few folders of large files do not end up in one task, and
+    a worker hands texts back in pieces of bounded size.
+    """
     rows = files.select("path", "size_bytes", "last_modified",
                         suffix(base_name(F.col("path"))).alias("ending"))
-    return spread_if_few(rows).mapInPandas(_open_and_parse, _TEXT)
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "path").mapInPandas(_open_and_parse, _TEXT)
 
 
 def split_errors(texts: DataFrame) -> tuple[DataFrame, DataFrame]:

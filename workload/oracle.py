@@ -645,9 +645,10 @@ FROM findings""")
 # ---- evaluation -----------------------------------------------------------------------------
 
 
-def _confusion(rows: str, detector: str) -> str:
+def _scores(judged: str, detector: str) -> str:
+    """File-level scores over rows of (pii, has)."""
     return f"""
-    SELECT '{detector}' AS detector, count(*) AS files_processed, CAST(0 AS BIGINT) AS errors,
+    SELECT '{detector}' AS detector, n AS files_processed, CAST(0 AS BIGINT) AS errors,
         tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / CAST(tp + fp AS DOUBLE) END, 4)
             AS "precision",
         round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / CAST(tp + fn AS DOUBLE) END, 4) AS recall,
@@ -656,21 +657,29 @@ def _confusion(rows: str, detector: str) -> str:
             + tp / CAST(tp + fn AS DOUBLE)) END, 4) AS f1,
         round(CASE WHEN clean = 0 THEN 0 ELSE fp / CAST(clean AS DOUBLE) END, 4)
             AS false_positive_rate
-    FROM forms, (SELECT count(*) FILTER (WHERE pii AND has) AS tp,
-                        count(*) FILTER (WHERE NOT pii AND has) AS fp,
-                        count(*) FILTER (WHERE pii AND NOT has) AS fn,
-                        count(*) FILTER (WHERE NOT pii) AS clean
-                 FROM (SELECT NOT contains(forms.path, '/internal_memo_') AS pii,
-                              f.path IS NOT NULL AS has
-                       FROM forms LEFT JOIN (SELECT DISTINCT path FROM ({rows}) AS g) AS f
-                       ON forms.path = f.path) AS h) AS s
-    GROUP BY tp, fp, fn, clean"""
+    FROM (SELECT count(*) AS n, count(*) FILTER (WHERE pii AND has) AS tp,
+                 count(*) FILTER (WHERE NOT pii AND has) AS fp,
+                 count(*) FILTER (WHERE pii AND NOT has) AS fn,
+                 count(*) FILTER (WHERE NOT pii) AS clean
+          FROM ({judged}) AS h) AS s"""
+
+
+def _confusion(rows: str, detector: str) -> str:
+    return _scores(f"""SELECT NOT contains(forms.path, '/internal_memo_') AS pii,
+        f.path IS NOT NULL AS has FROM forms LEFT JOIN (
+        SELECT DISTINCT path FROM ({rows}) AS g) AS f ON forms.path = f.path""", detector)
 
 
 _EMAIL_ROWS = _rule_rows("forms", "path", "text", ("emails",))
 ORACLE["file_confusion"] = _with("forms", _confusion(_FORM_ROWS, "rules"))
 ORACLE["detector_comparison"] = _with(
     "forms", f"{_confusion(_FORM_ROWS, 'rules')} UNION ALL {_confusion(_EMAIL_ROWS, 'emails only')}")
+_TRUTH = "SELECT d.source <> 'src0' AS pii, {has} AS has FROM staged JOIN documents AS d " \
+         "ON CAST(d.doc_id AS VARCHAR) = file_id"
+ORACLE["tier_comparison"] = f"WITH {_STAGED} " + " UNION ALL ".join([
+    _scores(_TRUTH.format(has="r"), "rules"),
+    _scores(_TRUTH.format(has="r OR (answered AND m8 IN (0, 1, 4))"), "rules + entities"),
+    _scores(_TRUTH.format(has="r OR findings <> ''"), "full cascade")])
 ORACLE["latency_percentiles"] = """
 WITH t AS (SELECT value / 1000 AS time_s, event_id FROM events),
 p AS (SELECT time_s, row_number() OVER (ORDER BY time_s, event_id) AS position,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sievemark import fixed_values as V
 from sievemark.functions import governance as gov
 from sievemark.functions import preview
-from sievemark.functions.ordering import spread_if_few
+from sievemark.functions.ordering import salted_join, spread_if_few
 from sievemark.functions.rules import DETECTORS, explode_findings, with_document_findings
 from sievemark.functions.spans import with_form_findings
 from sievemark.functions.strings import base_name
@@ -344,9 +344,10 @@ def file_decisions_applied(spark, sf):
 
 @query
 def finding_decisions_applied(spark, sf):
+    """A file's last decision holds for all of its findings."""
     findings = relation(spark, sf, "findings")
-    decided = findings.join(
-        relation(spark, sf, "decisions"), "file_id").select("id", "action", "ts")
+    last = registry.latest_by(relation(spark, sf, "decisions"), "file_id", ["ts"])
+    decided = salted_join(findings, last, "file_id", ["id"], "inner").select("id", "action", "ts")
     rows = registry.apply_decisions(findings, decided, "id", "status")
     return rows.groupBy("status").agg(F.count("*").alias("findings"))
 
@@ -391,7 +392,8 @@ def status_carryover(spark, sf):
     old = relation(spark, sf, "findings")
     rescanned = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O").select(
         F.concat(F.lit("f"), "o_orderkey").alias("file_id"))
-    again = old.filter(F.col("confidence") > 0.6).join(rescanned, "file_id", "left_semi")
+    again = salted_join(old.filter(F.col("confidence") > 0.6), rescanned, "file_id", ["id"],
+                        "left_semi")
     fresh = rescanned.select(
         F.concat(F.lit("x"), "file_id").alias("id"), "file_id", F.lit("email").alias("category"),
         F.lit("new").alias("snippet"), F.lit(0.98).alias("confidence"),
@@ -683,6 +685,21 @@ def detector_comparison(spark, sf):
         "rules": _judged(spark, sf), "emails only": _judged(spark, sf, detectors=["emails"])})
 
 
+@query
+def tier_comparison(spark, sf):
+    """Rules alone, rules with the recogniser, and the full cascade; one source holds the memos."""
+    truth = table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.concat(
+            F.when(F.col("source") == "src0", V.CLEAN_STEM_PREFIX).otherwise("doc_"), "doc_id",
+            F.lit(".txt")).alias("path"))
+    rules = cascade.rule_findings(_texts(spark, sf)).select("file_id", "findings")
+    variants = {"rules": rules, "rules + entities": _cascade(spark, sf, skip_models=True),
+                "full cascade": _cascade(spark, sf)}
+    return evaluate.compare_detectors({name: evaluate.corpus_files(truth).join(
+        found.select("file_id", F.size("findings").alias("n_findings")), "file_id").withColumn(
+        "error", F.lit(None).cast("string")) for name, found in variants.items()})
+
+
 @query
 def label_match_scores(spark, sf):
     """Labels: the first name and the badge written on a form, and a passport series."""
