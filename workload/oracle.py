@@ -722,8 +722,7 @@ SELECT conv_id, turn, md5(CASE WHEN t = '' THEN role WHEN t = role THEN role
 FROM (SELECT conv_id, turn, role, trim(text, {_WS}) AS t FROM conversations) AS c"""
 ORACLE["ocr_choice"] = f"""
 SELECT doc_id AS file_id, md5(CASE WHEN length(trim(text, {_WS})) < 80
-    AND trim(upper(text), {_WS}) <> '' THEN trim(upper(text), {_WS}) ELSE text END) AS digest
-FROM documents"""
+    THEN trim('scanned ' || text, {_WS}) ELSE text END) AS digest FROM documents"""
 
 # ---- whole jobs -----------------------------------------------------------------------------
 

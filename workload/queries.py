@@ -769,11 +769,12 @@ def video_texts(spark, sf):
 
 @query
 def ocr_choice(spark, sf):
-    """Documents as PDFs; the OCR text of a document is its benchmark-free twin in upper case."""
+    """Documents as PDFs whose single page was also read by OCR, marked by a leading word."""
     docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("file_id"), "text", F.lit("application/pdf").alias("mime_type"))
-    pages = docs.select("file_id", F.lit(1).alias("page_no"), F.to_json(F.struct(F.struct(
-        F.upper("text").alias("text")).alias("fullTextAnnotation"))).alias("answer"))
+    page = F.struct(F.concat(F.lit(" scanned "), "text").alias("text"))
+    pages = docs.select("file_id", F.lit(1).alias("page_no"), F.to_json(F.struct(
+        page.alias("fullTextAnnotation"))).alias("answer"))
     chosen = media.choose_text(docs, media.pdf_page_texts(pages))
     return chosen.select("file_id", F.md5("text").alias("digest"))
 
