@@ -145,39 +145,51 @@ class MergeAutomaton:
                 state = path[-1] if path else START
 
 
+def checked(spec: dict) -> dict[str, int]:
+    """The special strings of a tokenizer file, after a check that the file is of the supported kind."""
+    if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
+        raise ValueError("a byte-level BPE file without normalizer is needed")
+    if spec["pre_tokenizer"]["add_prefix_space"] or not spec["pre_tokenizer"]["use_regex"]:
+        raise ValueError("only the plain pre-split is supported")
+    return {t["content"]: t["id"] for t in spec["added_tokens"]}
+
+
+class Splitter:
+    """Cuts a text into special strings and pre-split words."""
+
+    def __init__(self, special: dict[str, int]):
+        self.special = sorted(special, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
+        self.split = regex.compile(SPLIT)
+
+    def __call__(self, text: str) -> list[str]:
+        split = LATIN_SPLIT if LATIN.fullmatch(text) else self.split
+        if not any(s in text for s in self.special):
+            return split.findall(text)
+        return [word for part in self.cut.split(text)
+                for word in ([part] if part in self.special else split.findall(part))]
+
+
 class ByteTokenizer:
     """Encodes and decodes whole texts; made from the parsed JSON of a tokenizer file."""
 
     def __init__(self, spec: dict):
-        model = spec["model"]
-        if model["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["normalizer"]:
-            raise ValueError("a byte-level BPE file without normalizer is needed")
-        if spec["pre_tokenizer"]["add_prefix_space"] or not spec["pre_tokenizer"]["use_regex"]:
-            raise ValueError("only the plain pre-split is supported")
-        letter = byte_letters()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        model, letter, self.special = spec["model"], byte_letters(), checked(spec)
         raw = lambda s: bytes(letter[c] for c in s)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        vocabulary = {raw(s): i for s, i in model["vocab"].items() if s not in special}
+        vocabulary = {raw(s): i for s, i in model["vocab"].items() if s not in self.special}
         self.automaton = MergeAutomaton(vocabulary, [(raw(a), raw(b)) for a, b in pairs])
-        self.labels = self.automaton.labels | {i: s.encode() for s, i in special.items()}
-        self.special = special
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.split = regex.compile(SPLIT)
+        self.labels = self.automaton.labels | {i: s.encode() for s, i in self.special.items()}
+        self.split = Splitter(self.special)
         self.memo = Memo(self._word)
 
     def _word(self, word: str) -> bytes:
-        return array("I", self.automaton.encode(word.encode())).tobytes()
+        special = self.special.get(word)
+        return array("I", self.automaton.encode(word.encode()) if special is None else [special]).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        split = LATIN_SPLIT if LATIN.fullmatch(text) else self.split
-        if not any(s in text for s in self.special):
-            return b"".join(map(self.memo.__getitem__, split.findall(text)))
-        return b"".join(
-            self.special[part].to_bytes(4, "little") if part in self.special
-            else b"".join(map(self.memo.__getitem__, split.findall(part)))
-            for part in self.cut.split(text))
+        return b"".join(map(self.memo.__getitem__, self.split(text)))
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.labels.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
@@ -194,6 +206,11 @@ def tokenizer_of(path: str) -> ByteTokenizer:
     return _LOADED[path]
 
 
+def splitter_of(path: str) -> Splitter:
+    with open(path, encoding="utf-8") as file:
+        return Splitter(checked(json.load(file)))
+
+
 def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_tokens`` and ``ids`` (little-endian 32-bit integers)."""
     schema = pa.schema([(id_column, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])

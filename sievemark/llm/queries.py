@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.llm import bpe, token_counts
+from sievemark.llm import bpe, exact_dedup, id_blocks, source_mix, token_counts
 from sievemark.llm.frames import table
+from sievemark.session import scratch_folder
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +19,27 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe_round_trip)}
-ORACLE: dict[str, str] = {}
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents")).drop("in_history")
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark, "ids")
+    id_blocks.write_ids(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    return id_blocks.read_ids(spark, folder).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks)}
+ORACLE: dict[str, str] = {
+    "op5_exact_dedup": """
+        WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+        g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
+        FROM d JOIN g USING (text_sha256)""",
+}
