@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievemark.llm import bpe, exact_dedup, id_blocks, source_mix, token_counts
+from sievemark.llm import bpe, exact_dedup, id_blocks, source_mix, token_counts, top_k, url_filter
 from sievemark.llm.frames import table
 from sievemark.session import scratch_folder
 
@@ -34,12 +35,35 @@ def op7_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_blocks.read_ids(spark, folder).drop("ids")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: The rules of the registered query: action, host and path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks)}
+    op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks,
+    op8_top_k, op9_url_filter)}
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
         FROM d JOIN g USING (text_sha256)""",
+    "op8_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id,
+            CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+            FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
