@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import bpe, exact_dedup, id_blocks, source_mix, token_counts, top_k, url_filter
+from sievemark.llm import bpe, exact_dedup, id_blocks, near_dedup, source_mix, token_counts, top_k, url_filter
 from sievemark.llm.frames import table
 from sievemark.session import scratch_folder
 
@@ -47,9 +47,13 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group_near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks,
-    op8_top_k, op9_url_filter)}
+    op8_top_k, op9_url_filter, op10_near_dedup)}
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
