@@ -184,8 +184,8 @@ def without_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str
     key = F.concat(F.col("text_sha256"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     dropped = written(
         find_copies(docs, id_column, text_column).where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select(key.alias("_row")), "dropped")
+        .select(key.alias("_key")), "dropped")
     own = F.concat(F.sha2(text_of(text_column).cast("binary"), 256),
                    F.coalesce(F.col(id_column).cast("string"), F.lit("null")))
-    return (docs.withColumn("_row", own).join(dropped, "_row", "left_anti")
-            .dropDuplicates(["_row"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rows = docs.select(own.alias("_key"), F.struct("*").alias("_row"))
+    return rows.join(dropped, "_key", "left_anti").dropDuplicates(["_key"]).select("_row.*")

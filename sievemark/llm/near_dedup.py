@@ -243,6 +243,5 @@ def group_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
 def without_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one document of each group."""
     dropped = written(group_near_copies(docs, id_column, text_column).where("NOT kept").select("doc_id").distinct(), "dropped")
-    own = F.col(id_column).cast("long")
-    return docs.withColumn("_id", own).join(dropped.withColumnRenamed("doc_id", "_id"), "_id", "left_anti") \
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), F.struct("*").alias("_row"))
+    return rows.join(dropped.withColumnRenamed("doc_id", "_id"), "_id", "left_anti").select("_row.*")

@@ -6,11 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import bpe, exact_dedup, id_blocks, near_dedup, source_mix, token_counts, top_k, url_filter
-from sievemark.llm.frames import table
+from sievemark.llm import bpe, exact_dedup, id_blocks, near_dedup, source_mix, token_counts, top_k, toxicity, url_filter
+from sievemark.llm.frames import crc_of, table
 from sievemark.session import scratch_folder
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    """Learned from the labels of ids that are not held out."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of("doc_id") % 4 != 2)
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_of("doc_id") % 4 == 2).alias("held_out"), "score", "predicted")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
         table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -52,7 +63,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks,
+    op1_toxicity, op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks,
     op8_top_k, op9_url_filter, op10_near_dedup)}
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """

@@ -42,9 +42,9 @@ def sizes_of(docs: DataFrame, id_column: str, text_column: str, source_column: s
     ).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKET_BITS).cast("int"))
 
 
-def _key(source: Column) -> Column:
-    """A source as a join key; null gets one of its own."""
-    return F.coalesce(F.concat(F.lit("="), source), F.lit("null"))
+def _key(text: Column) -> Column:
+    """A text as a join key; null gets one of its own."""
+    return F.coalesce(F.concat(F.lit("="), text), F.lit("null"))
 
 
 def with_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> tuple[DataFrame, int]:
@@ -137,17 +137,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
                     id_column: str = "doc_id", text_column: str = "text",
                     source_column: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them: ``taken / size``, rounded, at least once.
+    """The rows of ``docs`` as often as the mix takes them: ``taken / size``, rounded; not at all for 0.
 
-    A document of which the schedule takes less than half still stays once, so no text is lost; the
-    ids in ``docs`` are taken to be distinct.
+    Rounding concerns the one or two documents of a source that lie across the edge of what is taken.
+    Rows that share an id, or have none, share one rounded number.
     """
     times = written(
         mix(docs, weights, most, id_column, text_column, source_column)
-        .select("doc_id", F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")))
-                .otherwise(0).cast("int").alias("_times"))
-        .where("_times > 1"), "times")
-    joined = docs.join(times, F.col(id_column).cast("long") == times["doc_id"].alias("_id"), "left") \
-        if id_column != "doc_id" else docs.join(times, "doc_id", "left")
-    return (joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)))))
-            .select(*[docs[c] for c in docs.columns]))
+        .groupBy(_key(F.col("doc_id").cast("string")).alias("_key"))
+        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0"), "times")
+    rows = docs.select(_key(F.col(id_column).cast("long").cast("string")).alias("_key"), F.struct("*").alias("_row"))
+    return (rows.join(times, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+            .select("_row.*"))
