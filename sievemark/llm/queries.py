@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import bpe, exact_dedup, id_blocks, near_dedup, source_mix, token_counts, top_k, toxicity, url_filter
+from sievemark.llm import bpe, exact_dedup, id_blocks, language_model, near_dedup, source_mix, token_counts, top_k, toxicity, url_filter
 from sievemark.llm.frames import crc_of, table
 from sievemark.session import scratch_folder
 
@@ -31,6 +31,13 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = crc_of("doc_id") % 5 == 1
+    scored = language_model.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
+                         "score", "perplexity")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents")).drop("in_history")
 
@@ -63,7 +70,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_token_counts, op3_bpe_round_trip, op5_exact_dedup, op6_source_mix, op7_id_blocks,
+    op1_toxicity, op2_token_counts, op3_bpe_round_trip, op4_language_model, op5_exact_dedup, op6_source_mix, op7_id_blocks,
     op8_top_k, op9_url_filter, op10_near_dedup)}
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
