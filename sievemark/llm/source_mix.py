@@ -145,7 +145,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     times = written(
         mix(docs, weights, most, id_column, text_column, source_column)
         .groupBy(_key(F.col("doc_id").cast("string")).alias("_key"))
-        .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0"), "times")
+        .agg(F.round(F.expr("try_divide(sum(taken), sum(size))")).cast("int").alias("_times")).where("_times > 0"), "times")
     rows = docs.select(_key(F.col(id_column).cast("long").cast("string")).alias("_key"), F.struct("*").alias("_row"))
     return (rows.join(times, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
             .select("_row.*"))

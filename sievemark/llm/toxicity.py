@@ -10,12 +10,12 @@ Scoring. The index is cut into blocks of ``BLOCK`` examples and knows, per term
 weight. A text visits the blocks by falling upper bound and stops when no further block can hold one of
 the ``k`` nearest: the cosines are exact. Neighbours vote with the inverse of their distance; the vote is
 mapped by monotone regression on the calibration part to a probability. Texts without a neighbour get
-the share of toxic ones among such texts of the calibration part. The neighbours are the evidence.
+the share of toxic ones among such texts of the sample. The neighbours are the evidence.
 
 The model is a few hundred kilobytes whatever the data, and is sent to the workers; scoring is one narrow map.
 Null texts count as empty, empty texts have no neighbour. Ties among neighbours go to the example that
 comes first in the hash order of the sample. Several labels of an id count as toxic if one is; null
-labels and ids are not learned from. Without any label every text gets 0.5. Repeated rows, very long
+labels and ids are not learned from. Without any label every text gets 0. Repeated rows, very long
 texts and further columns need no special care.
 """
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from sievemark.llm.frames import per_row, text_of
 
-SAMPLE, TERMS, LEAST_DOCS, LEAST_CHI = 20_000, 4096, 4, 45.0
+SAMPLE, TERMS, LEAST_CHI = 20_000, 4096, 33.0
+#: A term must occur in so many examples, and in one of so many.
+LEAST_DOCS, LEAST_PART = 4, 400
 BLOCK, NEIGHBOURS = 64, 16
 #: Bytes of the stems of longer words, and the marks of the shares of all words that a stem can reach.
 STEMS = (4, 6)
@@ -81,7 +83,7 @@ class ToxicityModel:
     weight: np.ndarray
     votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     chances: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
-    alone: float = 0.5
+    alone: float = 0.0
 
     def __post_init__(self):
         self.stems = {t.partition(b"*")[0] for t in self.terms if b"*" in t}
@@ -147,10 +149,15 @@ class ToxicityModel:
         return (self.alone if vote is None else float(np.interp(vote, self.votes, self.chances))), evidence
 
     def calibrate(self, vectors: list[tuple[list[int], np.ndarray]], toxic: list[int]) -> None:
-        """Monotone regression of the labels on the votes (pool adjacent violators)."""
+        """Monotone regression of the labels on the votes (pool adjacent violators).
+
+        Labels of texts without neighbours set the probability of such texts.
+        """
+        every = [*self.toxic.tolist(), *toxic]
+        alone = np.diff(np.searchsorted(np.sort(self.at), np.arange(len(self.toxic) + 1))) == 0
         votes = [self.vote(*vector)[0] for vector in vectors]
-        without = [t for v, t in zip(votes, toxic, strict=True) if v is None]
-        self.alone = (sum(without) + 0.1) / (len(without) + 0.2)
+        without = self.toxic[alone].tolist() + [t for v, t in zip(votes, toxic, strict=True) if v is None]
+        self.alone = (sum(without) + sum(every) / len(every)) / (len(without) + 1)
         pools: list[list[float]] = []  # sum of votes, sum of labels, number
         for vote, label in sorted((v, t) for v, t in zip(votes, toxic, strict=True) if v is not None):
             pools.append([vote, label, 1.0])
@@ -206,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     chosen = (texts.where(example).select("_id", "_text", "_toxic")
               .mapInArrow(_term_counts, "term binary, toxic long, other long")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-              .where(F.col("toxic") + F.col("other") >= LEAST_DOCS).where(a * other > b * toxic)
+              .where(F.col("toxic") + F.col("other") >= max(LEAST_DOCS, (toxic + other) / LEAST_PART)).where(a * other > b * toxic)
               .withColumn("_chi", chi).where(F.col("_chi") >= LEAST_CHI)
               .orderBy(F.desc("_chi"), "term").limit(TERMS).select("term").collect())
     terms = {bytes(r[0]): i for i, r in enumerate(chosen)}
@@ -243,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
         terms, idf, np.array([r["_id"] for _, r in examples], np.int64),
         np.array([r["_toxic"] for _, r in examples], np.int64), *_index([v for v, _ in examples], len(terms)))
     rest = [v for v in vectors if not v[1]["_order"] % 5]
-    if rest:
+    if vectors:
         model.calibrate([v for v, _ in rest], [r["_toxic"] for _, r in rest])
     return model
 

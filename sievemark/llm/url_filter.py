@@ -5,7 +5,9 @@ comes from the link graph between hosts: hosts of which most pages are allowed b
 seeds, those of which most are blocked are distrusted seeds. Personalised PageRank carries trust from
 the trusted seeds along links, and distrust from the distrusted seeds against them (who links to a bad
 host is suspect). Both are computed together, round by round, until the ranks change by less than
-``TOLERANCE`` in sum; a host is blocked if its distrust exceeds ``threshold`` times its trust.
+``TOLERANCE`` in sum; a host is blocked if its distrust exceeds ``threshold`` times its trust and
+``least`` times the mean distrust of the seeds (so that a host is not blocked for what lies far behind
+its links).
 
 Links are counted per pair of hosts before they are joined, so a host with a third of all pages is few
 rows. Ranks are written to the shared folder every few rounds, which cuts the lineage.
@@ -90,7 +92,8 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
             return ranks
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 1.0, id_column: str = "page_id",
+def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 1.0, least: float = 0.25,
+          id_column: str = "page_id",
           url_column: str = "url", html_column: str = "html") -> DataFrame:
     """One row per page: its id, ``host, path, rule, verdict``.
 
@@ -108,10 +111,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 1.0
                         "host").where("kind IS NOT NULL")
     ranks = propagate(host_links(pages, url_column, html_column), seeds)
     zero = F.lit(0.0)
+    mean = (ranks.where("kind = 'distrust'").join(seeds.where("kind = 'distrust'").select("host"), "host")
+            .agg(F.avg("rank")).first()[0] or 0.0)
     hosts = written(
         ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("_trust"),
                                   F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("_distrust"))
-        .where(F.coalesce("_distrust", zero) > threshold * F.coalesce("_trust", zero))
+        .where(F.coalesce("_distrust", zero) > F.greatest(threshold * F.coalesce("_trust", zero), F.lit(least * mean)))
         .select("host", F.lit("block").alias("_host_verdict")), "blocked-hosts")
     return (judged.join(hosts, "host", "left")
             .select(id_column, "host", "path", "rule",
