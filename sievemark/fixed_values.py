@@ -1,11 +1,13 @@
 """Patterns, word lists and lookup tables that define what counts as a match.
 
 Results are only right when these equal the published ones, so they are stated as plain text.
-Patterns are in their published dialect; ``functions.patterns.to_java`` turns them into the
+Patterns are in their published dialect; ``functions.strings.to_java`` turns them into the
 form Spark's regex functions need. Everything here is small and constant, so it is inlined
 into plans as literals and never broadcast.
 """
 
+import re
+
 # White space as the snippet gate strips it.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
@@ -13,6 +15,7 @@ WHITESPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 MAX_SNIPPET_CHARS = 200
+USABLE = re.compile("[A-Za-z0-9]")
 
 # Free-standing patterns.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
@@ -221,12 +224,6 @@ RETENTION_YEARS = 3
 SECONDS_PER_YEAR = 365.25 * 86400
 
 # Markup of the document preview and wording of the explanation.
-MARK_OPEN = (
-    '<mark style="background:{colour}24;color:inherit;border-radius:3px;'
-    "padding:0 2px;box-decoration-break:clone;-webkit-box-decoration-break:clone;"
-    'box-shadow:inset 0 -1px 0 {colour}66;">'
-)
-MARK_CLOSE = "</mark>"
 HTML_ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
 EXPLAIN_FLAGGED = "“{name}” was flagged because the scanner detected {n} {items} of personal data — {types}. "
 EXPLAIN_DUTY = (

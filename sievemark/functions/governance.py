@@ -45,10 +45,6 @@ def icon(category: Column) -> Column:
     return _lookup(category, {k: v[1] for k, v in V.CATEGORIES.items()}, F.lit(V.DEFAULT_ICON))
 
 
-def colour(category: Column) -> Column:
-    return _lookup(category, {k: v[3] for k, v in V.CATEGORIES.items()}, F.lit(V.DEFAULT_COLOUR))
-
-
 def reason(category: Column) -> Column:
     return _lookup(category, {k: v[4] for k, v in V.CATEGORIES.items()}, F.lit(""))
 
@@ -59,7 +55,7 @@ def pretty_label(category: Column) -> Column:
     spaced = F.regexp_replace(category, "_", " ")
     # Only first letters change; the rest of an unknown key stays as it is.
     words = F.transform(F.split(spaced, r"\b(?=\w)"), lambda w: F.concat(
-        F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))
+        F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return _lookup(category, table, F.array_join(words, ""))
 
 

@@ -1,4 +1,4 @@
-"""Global positions and joins that hold up when one key owns a large share of the rows."""
+"""Global positions, and the spreading of inputs."""
 
 from __future__ import annotations
 
@@ -33,19 +33,11 @@ def with_position(df: DataFrame, order: list[Column], out: str = "position") ->
         .drop("_part", "_offset", "_slot"))
 
 
-def salted_join(rows: DataFrame, unique: DataFrame, on: str, spread_by: list[str],
-                how: str = "left", salts: int = 16) -> DataFrame:
-    """Equi-join many rows with a side that holds each key once; a hot key is split into salts."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], how).drop("_salt")
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table to as many partitions as the session asks for in ``spark.sievemark.partitions``.
 
-
-def spread_if_few(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Redistribute a text table that arrives in fewer splits than the cluster has cores.
-
-    For frames read straight from files: counting their splits runs nothing. Inputs with enough
-    splits, which is every large one, are returned as they are.
+    For inputs of few large row groups on few machines; without the setting the splits of the files
+    stay as they are, which is right for every large input.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
+    partitions = df.sparkSession.conf.get("spark.sievemark.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import bisect
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
-from sievemark.functions.governance import colour, confidence_percent, label
-from sievemark.functions.strings import strip
+from sievemark.functions.governance import confidence_percent, label
+from sievemark.functions.strings import computed_once
 
 _MARKS = "array<struct<start:int,end:int,category:string>>"
 
@@ -19,46 +22,55 @@ def escape_html(text: Column) -> Column:
                   V.HTML_ESCAPES, text)
 
 
-def _free_place(text: Column, snippet: Column, marks: Column) -> Column:
-    """First occurrence (1-based, 0 if none) that no earlier mark touches.
+def _place(text: str, findings: list[dict]) -> list[dict]:
+    """Non-overlapping marks, one per finding whose snippet still has a free occurrence.
 
-    The marks are sorted and do not overlap, so one walk is enough: a candidate hit by a mark
-    moves to the next occurrence behind that mark.
+    Marks are kept sorted, so a clash is found by bisection; a repeated snippet goes on where its
+    last search ended.
     """
-    size = F.length(snippet)
-    return F.aggregate(marks, F.call_function("locate", snippet, text, F.lit(1)), lambda at, m: (
-        F.when((at > 0) & (at < m["end"]) & (at + size > m["start"]),
-               F.call_function("locate", snippet, text, m["end"])).otherwise(at)))
+    starts: list[int] = []
+    placed: dict[int, tuple[int, str]] = {}
+    reached: dict[str, int] = {}
+    for finding in findings:
+        snippet = (finding["snippet"] or "").strip()
+        if len(snippet) < 2:
+            continue
+        at = text.find(snippet, reached.get(snippet, 0))
+        while at >= 0:
+            i = bisect.bisect_left(starts, at + len(snippet))
+            if not i or placed[starts[i - 1]][0] <= at:
+                break
+            at = text.find(snippet, placed[starts[i - 1]][0])
+        reached[snippet] = at + len(snippet) if at >= 0 else len(text)
+        if at >= 0:
+            bisect.insort(starts, at)
+            placed[at] = (at + len(snippet), finding["category"])
+    return [{"start": s + 1, "end": placed[s][0] + 1, "category": placed[s][1]} for s in starts]
+
+
+def _placed(texts: pa.Array, findings: pa.Array) -> pa.Array:
+    return pa.array([_place(t.as_py() or "", f.as_py() or []) for t, f in zip(texts, findings, strict=True)],
+                    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string())])))
 
 
 def marks(text: Column, findings: Column) -> Column:
-    """Non-overlapping marks (1-based, end exclusive), one per finding whose snippet is found."""
-    wanted = F.filter(
-        F.transform(findings, lambda f: F.struct(
-            strip(f["snippet"]).alias("snippet"), f["category"].alias("category"))),
-        lambda f: F.length(f["snippet"]) >= 2)
-
-    def step(placed: Column, f: Column) -> Column:
-        spot = F.transform(F.array(_free_place(text, f["snippet"], placed)), lambda at: F.struct(
-            at.alias("start"), (at + F.length(f["snippet"])).alias("end"),
-            f["category"].alias("category")))
-        return F.array_sort(F.concat(placed, F.filter(spot, lambda s: s["start"] > 0)))
-
-    return F.aggregate(wanted, F.array().cast(_MARKS), step)
+    """Marks (1-based, end exclusive) of the findings in a text, ordered by start."""
+    wanted = F.transform(findings, lambda f: F.struct(f["snippet"].alias("snippet"), f["category"].alias("category")))
+    return F.arrow_udf(_placed, _MARKS)(text, wanted)
 
 
 def with_preview(df: DataFrame, text: str = "text", findings: str = "findings",
                  out: str = "preview") -> DataFrame:
-    """Add the escaped text with every marked snippet in its category's colour."""
-    work = df.withColumn("_marks", marks(F.col(text), F.col(findings)))
+    """Add the escaped text with every marked snippet named by its category."""
+    work = computed_once(df, "_marks", marks(F.col(text), F.col(findings)))
     placed, whole = F.col("_marks"), F.col(text)
 
     def piece(m: Column, i: Column) -> Column:
         begin = F.when(i == 0, 1).otherwise(F.try_element_at(placed, i)["end"])
-        opening = F.replace(F.lit(V.MARK_OPEN), F.lit("{colour}"), colour(m["category"]))
+        opening = F.concat(F.lit('<mark data-category="'), m["category"], F.lit('">'))
         return F.concat(escape_html(F.substring(whole, begin, m["start"] - begin)), opening,
                         escape_html(F.substring(whole, m["start"], m["end"] - m["start"])),
-                        F.lit(V.MARK_CLOSE))
+                        F.lit("</mark>"))
 
     rest = F.coalesce(F.try_element_at(placed, F.lit(-1))["end"], F.lit(1))
     tail = escape_html(F.substring(whole, rest, F.length(whole)))
@@ -66,6 +78,28 @@ def with_preview(df: DataFrame, text: str = "text", findings: str = "findings",
         out, F.concat(F.array_join(F.transform(placed, piece), ""), tail)).drop("_marks")
 
 
+def redacted(text: Column, findings: Column) -> Column:
+    """The text with every finding (offsets from 0) replaced by its category in brackets.
+
+    Where findings of different categories overlap, the first that starts is shown and the stretch
+    up to the last end is taken out.
+    """
+    spans = F.array_sort(F.transform(findings, lambda f: F.struct(
+        f["start"].alias("start"), f["end"].alias("end"), f["category"].alias("category"))))
+    ends = F.transform(spans, lambda s: s["end"])
+    # What is kept behind span i: from the furthest end so far to the next start.
+    pieces = F.transform(spans, lambda s, i: F.struct(
+        s["category"].alias("category"), s["start"].alias("start"),
+        F.array_max(F.slice(ends, F.lit(1), i + 1)).alias("until"),
+        F.coalesce(F.when(i > 0, F.array_max(F.slice(ends, F.lit(1), F.greatest(i, F.lit(1))))), F.lit(0)).alias("before"),
+        F.coalesce(F.try_element_at(spans, i + 2)["start"], F.length(text)).alias("next")))
+    shown = F.transform(pieces, lambda p: F.concat(
+        F.when(p["start"] >= p["before"], F.concat(F.lit("["), p["category"], F.lit("]"))).otherwise(F.lit("")),
+        F.substr(text, p["until"] + 1, F.greatest(p["next"] - p["until"], F.lit(0)))))
+    first = F.coalesce(F.try_element_at(spans, F.lit(1))["start"], F.length(text))
+    return F.concat(F.substr(text, F.lit(1), first), F.array_join(shown, ""))
+
+
 def explanation(name: Column, findings: Column) -> Column:
     """Why a flagged file was flagged, in fixed wording."""
     types = F.transform(F.array_distinct(F.transform(findings, lambda f: label(f["category"]))),
@@ -76,18 +110,19 @@ def explanation(name: Column, findings: Column) -> Column:
         F.lit(" and "), F.try_element_at(types, F.lit(-1))))
     laws = F.sort_array(F.array_distinct(F.flatten(
         F.transform(findings, lambda f: f["gdpr_articles"]))))
-    first = F.lit(V.EXPLAIN_FLAGGED)
-    for key, value in (
-        ("{name}", name), ("{n}", F.size(findings).cast("string")),
-        ("{items}", F.when(F.size(findings) == 1, "item").otherwise("items")), ("{types}", listed),
-    ):
-        first = F.replace(first, F.lit(key), value)
+    values = {
+        "{name}": name, "{n}": F.size(findings).cast("string"),
+        "{items}": F.when(F.size(findings) == 1, "item").otherwise("items"), "{types}": listed,
+    }
+    # The places are cut out of the wording, so braces in a value stay as they are.
+    pieces = re.split(r"(\{\w+\})", V.EXPLAIN_FLAGGED)
+    first = F.concat(*[values.get(piece, F.lit(piece)) for piece in pieces])
     duty = F.replace(F.lit(V.EXPLAIN_DUTY), F.lit("{articles}"), F.array_join(laws, ", "))
     return F.concat(first, duty, F.lit(V.EXPLAIN_REVIEW))
 
 
-def prompt(name: Column, source_type: Column, findings: Column, text: Column) -> Column:
-    """The request text for a language model that explains a flagged file."""
+def prompt(name: Column, source_type: Column, findings: Column, excerpt: Column) -> Column:
+    """The request text for a language model that explains a flagged file, for one window of its text."""
     lines = F.array_join(F.transform(findings, lambda f: F.concat(
         F.lit("- "), label(f["category"]), F.lit(" ("),
         confidence_percent(f["confidence"], rounded=True).cast("string"),
@@ -95,6 +130,5 @@ def prompt(name: Column, source_type: Column, findings: Column, text: Column) ->
     return F.concat_ws(
         "\n", *[F.lit(line) for line in V.PROMPT_HEAD], F.concat(F.lit("File name: "), name),
         F.concat(F.lit("Source: "), source_type), F.lit(""), F.lit("Detected personal data:"),
-        lines, F.lit(""), F.lit("File excerpt:"),
-        F.concat(F.lit('"""'), F.left(text, F.lit(V.EXCERPT_CHARS)), F.lit('"""')), F.lit(""),
+        lines, F.lit(""), F.lit("File excerpt:"), F.concat(F.lit('"""'), excerpt, F.lit('"""')), F.lit(""),
         F.lit("Explanation:"))

@@ -1,52 +1,52 @@
-"""Form rules: thirteen categories with offsets, fixed confidences and overlap resolution."""
+"""Form rules: thirteen categories with offsets, fixed confidences and overlap resolution.
+
+Offsets of matches have no linear form in the built-in functions, so the rules run as one Arrow
+function: each pattern walks a text once, and only where a word it needs occurs.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
 from sievemark.functions.governance import articles
-from sievemark.functions.strings import (
-    computed_once, contains_any, has_digit, has_odd_letters, is_ascii, is_blank, is_usable,
-    java_email, jvm_of, strip, to_java,
-)
+from sievemark.functions.strings import ODD_LETTERS, computed_once, linear_email
 
 SPAN = "struct<category:string,start:int,end:int,snippet:string,confidence:double,detector:string>"
 FORM_FINDING = SPAN[:-1] + ",gdpr_articles:array<string>>"
+_ARROW_SPANS = pa.list_(pa.struct([
+    ("category", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("snippet", pa.string()),
+    ("confidence", pa.float64()), ("detector", pa.string())]))
+
+
+def _has_digit(value: str) -> bool:
+    return any(c.isdecimal() for c in value)
+
+
+def _is_person(value: str) -> bool:
+    """Neither an address nor a number, and not made of role words only."""
+    if "@" in value or _has_digit(value):
+        return False
+    return not {w.strip(".") for w in value.lower().split()} <= set(V.ROLE_WORDS)
 
 
 @dataclass(frozen=True)
 class FormRule:
+    """A pattern with its category and confidence; ``hints``: words of which a match has one."""
+
     category: str
     pattern: str
     confidence: float
     hints: tuple[str, ...] = ()
-    shape: str = ""
-    first: str = ""
-    keep: Callable[[Column], Column] | None = None
-    starts_with_word: bool = True
-
-    @property
-    def has_value(self) -> bool:
-        return "(?P<val>" in self.pattern
-
-    def java(self, ascii_only: bool) -> str:
-        """The pattern without groups, which cost time at every place they are tried."""
-        if self.category == "email":
-            return java_email(self.pattern)
-        return to_java(self.pattern, self.first, "(?:", self.starts_with_word, ascii_only)
-
-    def parts(self) -> str:
-        """The pattern for one match, with the label as group 1 and the value as group 2."""
-        flags, rest = self.pattern.split(")", 1)
-        label, value = rest.split("(?P<val>", 1)
-        label = label.removeprefix(r"\b")
-        return to_java(f"{flags})({label})(?P<val>{value}", starts_with_word=False)
+    keep: Callable[[str], bool] | None = None
 
 
 def _line(labels: str) -> str:
@@ -57,149 +57,108 @@ def _id(labels: str) -> str:
     return V.ID_VALUE.replace("{labels}", labels).replace("{token}", V.ID_TOKEN_FORM)
 
 
-def _is_person(value: Column) -> Column:
-    """Neither an address nor a number, and not made of role words only."""
-    words = F.split(F.lower(strip(value)), r"(?U)[\s\x1c-\x1f]+")
-    words = F.transform(words, lambda w: F.trim(w, F.lit(".")))
-    role = F.forall(words, lambda w: w.isin(*V.ROLE_WORDS))
-    return ~value.contains("@") & ~has_digit(value) & ~role
-
-
 FORM_RULES = (
-    FormRule("name", V.NAME.format(labels=V.NAME_LABELS), 0.95,
-             shape=r"(?iUd)[a-z][ \t]*[:\-][ \t]*[a-z]", first="nepmratco", keep=_is_person),
+    FormRule("name", V.NAME.format(labels=V.NAME_LABELS), 0.95, keep=_is_person),
     FormRule("email", V.EMAIL, 0.98, hints=("@",)),
-    FormRule("fax", _line(V.FAX_LABELS), 0.95, hints=("fax",), first="ft", keep=has_digit),
+    FormRule("fax", _line(V.FAX_LABELS), 0.95, hints=("fax",), keep=_has_digit),
     FormRule("phone", _line(V.PHONE_LABELS), 0.95,
-             hints=("phone", "tel", "mobil", "cell"), first="ptmc", keep=has_digit),
+             hints=("phone", "tel", "mobil", "cell"), keep=_has_digit),
     FormRule("signature", _line(V.SIGNATURE_LABELS_FORM), 0.9,
-             hints=("signature", "signed", "unterschrift"), first="su"),
+             hints=("signature", "signed", "unterschrift")),
     FormRule("photo_video", V.PHOTO_VIDEO, 0.8,
              hints=("photo", "headshot", "profile", "picture", "image", "video",
-                    ".jpg", ".jpeg", ".png", ".mp4", ".mov"), first="phiv.",
-             starts_with_word=False),
-    FormRule("passport", _id(V.PASSPORT_LABELS), 0.95, hints=("passport", "reisepass"),
-             first="pr", keep=has_digit),
-    FormRule("drivers_license", _id(V.LICENSE_LABELS), 0.95, hints=("driver", "hrerschein"),
-             first="df", keep=has_digit),
+                    ".jpg", ".jpeg", ".png", ".mp4", ".mov")),
+    FormRule("passport", _id(V.PASSPORT_LABELS), 0.95, hints=("passport", "reisepass"), keep=_has_digit),
+    FormRule("drivers_license", _id(V.LICENSE_LABELS), 0.95, hints=("driver", "hrerschein"), keep=_has_digit),
     FormRule("id_card", _id(V.ID_CARD_LABELS), 0.9,
-             hints=("card", "ausweis", "tax", "vat"), first="ipatv", keep=has_digit),
-    FormRule("username", _line(V.USERNAME_LABELS), 0.9, hints=("user", "login", "account"),
-             first="ula"),
-    FormRule("username", V.EMPLOYEE_ID, 0.85, shape=r"(?U)[A-Z]-\d\d\d\d", first="A-Z"),
+             hints=("card", "ausweis", "tax", "vat"), keep=_has_digit),
+    FormRule("username", _line(V.USERNAME_LABELS), 0.9, hints=("user", "login", "account")),
+    FormRule("username", V.EMPLOYEE_ID, 0.85),
     FormRule("billing_shipping_address", _line(V.BILLING_LABELS), 0.9,
-             hints=("billing", "shipping", "invoice", "delivery"), first="bsid"),
+             hints=("billing", "shipping", "invoice", "delivery")),
     FormRule("home_address", _line(V.ADDRESS_LABELS), 0.88,
-             hints=("address", "anschrift", "adresse", "residence"), first="ahr"),
+             hints=("address", "anschrift", "adresse", "residence")),
     FormRule("home_address", V.STREET, 0.7, hints=("str", "gasse", "weg", "allee", "platz")),
-    FormRule("home_address", V.POSTAL, 0.7, shape=r"(?U)\d{5}[ \t]", first=r"\d"),
+    FormRule("home_address", V.POSTAL, 0.7),
     FormRule("travel_history", V.TRAVEL, 0.7,
              hints=("trip", "way", "itinerary", "boarding", "flight", "travel", "->", "→")),
 )
 
 
-def match_spans(rule: FormRule, text: Column, matches: Column) -> Column:
-    """The matches as ``(start, end, value)`` in characters of the text.
-
-    The gaps between matches come from ``split``; walking gaps and matches side by side gives
-    the offsets. For a labelled value the span covers the value, not its label. There is one gap
-    more than there are matches, so the last span has a NULL value, which no gate lets through.
+@dataclass(frozen=True)
+class Span:
+    category: str
+    start: int
+    end: int
+    snippet: str
+    confidence: float
+    detector: str = "regex"
+
+
+@lru_cache(maxsize=1)
+def _compiled() -> list[tuple[FormRule, re.Pattern, int | str]]:
+    """Rules with their patterns and the group that holds the value."""
+    made = []
+    for rule in FORM_RULES:
+        pattern = regex.compile(linear_email(rule.pattern)) if rule.category == "email" else re.compile(rule.pattern)
+        made.append((rule, pattern, "val" if "val" in pattern.groupindex else 0))
+    return made
+
+
+def spans_in(text: str | None) -> Iterator[Span]:
+    """All usable matches of all rules, rule by rule, each in the order of the text."""
+    if not text or text.isspace():
+        return
+    low = text.lower()
+    hidden = any(c in text for c in ODD_LETTERS)  # lower-casing may hide a label then
+    for rule, pattern, group in _compiled():
+        if rule.hints and not hidden and not any(h in low for h in rule.hints):
+            continue
+        for match in pattern.finditer(text):
+            value = match[group]
+            snippet = value.strip()
+            if not 0 < len(snippet) <= V.MAX_SNIPPET_CHARS or not V.USABLE.search(snippet):
+                continue
+            if rule.keep is None or rule.keep(value):
+                start, end = match.span(group)
+                yield Span(rule.category, start, end, snippet, rule.confidence)
+
+
+def resolved(spans: list[Span]) -> list[Span]:
+    """One finding per stretch of text and category, ordered by start, then category.
+
+    In the order of their starts (the surer first, then as found), a span is dropped if it begins
+    inside the standing one of its category and is no surer, and replaces it if it is.
     """
-    gaps = F.when(F.col("_ascii"), F.split(text, rule.java(True), -1)).otherwise(
-        F.split(text, rule.java(False), -1))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        after = start + F.length(pair["match"])
-        if rule.has_value:
-            value = F.regexp_extract(pair["match"], rule.parts(), 2)
-            start = start + F.length(F.regexp_extract(pair["match"], rule.parts(), 1))
-        else:
-            value = pair["match"]
-        span = F.struct(start.alias("start"), (start + F.length(value)).alias("end"),
-                        value.alias("value"))
-        return F.struct(after.alias("at"), F.array_append(acc["spans"], span).alias("spans"))
-
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step,
-                       lambda acc: acc["spans"])
-
-
-def _rule_matches(rule: FormRule, text: Column, low: Column, odd: Column) -> Column:
-    matches = F.when(
-        F.col("_ascii"), F.regexp_extract_all(text, F.lit(rule.java(True)), F.lit(0))).otherwise(
-        F.regexp_extract_all(text, F.lit(rule.java(False)), F.lit(0)))
-    if rule.hints:
-        possible = contains_any(low, rule.hints) | odd
-    else:
-        possible = text.rlike(rule.shape)
-    return F.when(possible, matches).otherwise(F.array().cast("array<string>"))
-
-
-def _rule_spans(rule: FormRule, text: Column, matches: Column) -> Column:
-    spans = match_spans(rule, text, matches)
-    if rule.keep is not None:
-        spans = F.filter(spans, lambda s: rule.keep(s["value"]))
-    found = F.transform(spans, lambda s: F.struct(
-        F.lit(rule.category).alias("category"), s["start"].alias("start"), s["end"].alias("end"),
-        strip(s["value"]).alias("snippet"), F.lit(rule.confidence).alias("confidence"),
-        F.lit("regex").alias("detector")))
-    found = F.filter(found, lambda f: is_usable(f["snippet"]))
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def resolve_overlaps(found: Column) -> Column:
-    """Keep one finding per stretch of text and category: the first, unless a later overlapping
-    one is more confident. The result is ordered by start, then category."""
-    ranked = F.array_sort(F.transform(found, lambda f, i: F.struct(
-        f["category"].alias("category"), f["start"].alias("start"),
-        (-f["confidence"]).alias("doubt"), i.alias("seen"), f.alias("finding"))))
-
-    def step(acc: Column, item: Column) -> Column:
-        kept, finding = acc["kept"], item["finding"]
-        fresh = (item["category"] != acc["category"]) | (item["start"] >= acc["until"])
-        # The fold starts empty, so the last element only counts once something was kept.
-        surer = finding["confidence"] > F.try_element_at(kept, F.lit(-1))["confidence"]
-        grown = F.struct(item["category"].alias("category"), finding["end"].alias("until"),
-                         F.array_append(kept, finding).alias("kept"))
-        swapped = F.struct(
-            item["category"].alias("category"), finding["end"].alias("until"),
-            F.array_append(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))),
-                           finding).alias("kept"))
-        return F.when(fresh, grown).when(surer, swapped).otherwise(acc)
-
-    start = F.struct(F.lit("").alias("category"), F.lit(-1).alias("until"),
-                     F.array().cast(f"array<{SPAN}>").alias("kept"))
-    kept = F.aggregate(ranked, start, step, lambda acc: acc["kept"])
-    ordered = F.array_sort(F.transform(kept, lambda f: F.struct(
-        f["start"].alias("start"), f["category"].alias("category"), f.alias("finding"))))
-    return F.transform(ordered, lambda o: o["finding"])
-
-
-@lru_cache(maxsize=32)
-def _columns(text: str, resolve: bool, jvm: object) -> tuple[dict, dict, Column, Column]:
-    """Per-rule matches and spans, their union, and the final list. Building them takes thousands of calls
-    into the JVM, so they are kept for the next plan."""
-    matches = {f"_match{i}": _rule_matches(rule, F.col(text), F.col("_low"), F.col("_odd"))
-               for i, rule in enumerate(FORM_RULES)}
-    raw = {f"_raw{i}": _rule_spans(rule, F.col(text), F.col(f"_match{i}"))
-           for i, rule in enumerate(FORM_RULES)}
-    union = F.when(is_blank(F.col(text)), F.array().cast(f"array<{SPAN}>")).otherwise(
-        F.concat(*raw))
-    found = F.col("_found")
-    if resolve:
-        found = F.when(F.size(found) > 1, resolve_overlaps(found)).otherwise(found)
-    final = F.transform(found, lambda f: f.withField("gdpr_articles", articles(f["category"])))
-    return matches, raw, union, final
+    standing: dict[str, int] = {}
+    kept: list[Span | None] = []
+    for span in sorted(spans, key=lambda s: (s.start, -s.confidence)):
+        place = standing.get(span.category)
+        rival = kept[place] if place is not None else None
+        if rival is not None and span.start < rival.end:
+            if span.confidence <= rival.confidence:
+                continue
+            kept[place] = None
+        standing[span.category] = len(kept)
+        kept.append(span)
+    return sorted((s for s in kept if s), key=lambda s: (s.start, s.category))
+
+
+def _scanner(resolve: bool) -> Callable[[pa.Array], pa.Array]:
+    def scan(texts: pa.Array) -> pa.Array:
+        found = []
+        for text in texts:
+            spans = list(spans_in(text.as_py()))
+            found.append([vars(s) for s in (resolved(spans) if resolve and len(spans) > 1 else spans)])
+        return pa.array(found, _ARROW_SPANS)
+
+    return scan
 
 
 def with_form_findings(df: DataFrame, text: str = "text", out: str = "findings",
                        resolve: bool = True) -> DataFrame:
     """Add the form findings of every text; ``resolve=False`` stops before overlap resolution."""
-    matches, raw, union, final = _columns(text, resolve, jvm_of(df))
-    work = df.withColumns({"_low": F.lower(text), "_odd": has_odd_letters(F.col(text)),
-                           "_ascii": is_ascii(F.col(text))})
-    work = work.withColumns(matches).withColumns(raw)
-    work = computed_once(work, "_found", union).drop("_low", "_odd", "_ascii", *matches, *raw)
+    scan = F.arrow_udf(_scanner(resolve), f"array<{SPAN}>")
+    work = computed_once(df.withColumn("_spans", scan(F.col(text))), "_found", F.col("_spans")).drop("_spans")
+    final = F.transform("_found", lambda f: f.withField("gdpr_articles", articles(f["category"])))
     return computed_once(work.drop(out), out, final).drop("_found")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sievemark.fixed_values import MAX_SNIPPET_CHARS, WHITESPACE
 
-# Letters outside a-z that match i, s or k when case is ignored.
-_ODD_LETTERS = "[\u0130\u0131\u017f\u212a]"
+#: Letters outside a-z that match i, s or k when case is ignored.
+ODD_LETTERS = "\u0130\u0131\u017f\u212a"
 
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\s\x1c-\x1f"
@@ -55,11 +55,15 @@ def to_java(pattern: str, first: str = "", value: str = "(", starts_with_word: b
     return f"(?{flags}){lead}" + "".join(out)
 
 
-def java_email(pattern: str) -> str:
+def linear_email(pattern: str) -> str:
     """The mail pattern in linear time: a run of address characters is tried once, not at each
     of its places, because the ``@`` behind it is the same from all of them."""
     local, rest = pattern.split("+@", 1)
-    return rf"(?d)(?:\G|(?<!{local})){local}++@{rest}"
+    return rf"(?:\G|(?<!{local})){local}++@{rest}"
+
+
+def java_email(pattern: str) -> str:
+    return "(?d)" + linear_email(pattern)
 
 
 def strip(c: Column) -> Column:
@@ -72,7 +76,7 @@ def is_blank(text: Column) -> Column:
 
 def has_odd_letters(text: Column) -> Column:
     """Whether lower-casing may hide a label that a case-blind pattern would still match."""
-    return text.rlike(_ODD_LETTERS)
+    return text.rlike(f"[{ODD_LETTERS}]")
 
 
 def is_ascii(text: Column) -> Column:

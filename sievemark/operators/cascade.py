@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
-from sievemark.functions.ordering import salted_join, with_position
 from sievemark.functions.rules import with_document_findings
 from sievemark.functions.strings import to_java
 
@@ -71,15 +70,34 @@ def answered_entities(response: Column, mode: str | None = None,
     return F.when(readable, entity_filter(F.coalesce(first, empty), mode, threshold))
 
 
+def windows(text: Column, size: int, shared: int = 0) -> Column:
+    """The whole text in pieces ``(part, start, text)`` of ``size`` characters; neighbours share ``shared``."""
+    step = size - shared
+    last = F.greatest(F.lit(0), F.ceil((F.length(text) - size) / step)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        i.alias("part"), (i * step).alias("start"), F.substr(text, i * step + 1, F.lit(size)).alias("text")))
+
+
+def residue(texts: DataFrame, detectors: Iterable[str] | None = None) -> DataFrame:
+    """The (file_id, text) in which the rules find nothing, straight from the scanning pass."""
+    found = rule_findings(texts, "text", detectors)
+    return found.filter(F.size("findings") == 0).select("file_id", "text")
+
+
 def entity_requests(texts: DataFrame, batch_size: int) -> DataFrame:
-    """Batches of label-free texts, one request body per batch; ids count from 1 in a batch."""
-    placed = with_position(texts.select("file_id", "text"), [F.asc("file_id")])
-    numbered = placed.select(
-        "file_id", F.floor((F.col("position") - 1) / batch_size).alias("batch"),
-        (F.pmod(F.col("position") - 1, F.lit(batch_size)) + 1).alias("n"),
-        strip_form_labels(F.col("text")).alias("text"))
+    """Batches of label-free texts, one request body per batch; ids count from 1 in a batch.
+
+    Rows are numbered inside their partition, so batches are cut without a global order; ``texts``
+    is the residue of the rules.
+    """
+    row = F.monotonically_increasing_id()
+    numbered = texts.select("file_id", row.alias("_row"), strip_form_labels(F.col("text")).alias("text"))
+    inside = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = numbered.select(
+        "file_id", F.shiftright("_row", 33).alias("_part"), F.floor(inside / batch_size).alias("_cut"),
+        (inside % batch_size + 1).alias("n"), "text")
     entry = F.struct("n", F.struct(F.col("n").cast("string").alias("id"), "text").alias("doc"))
-    batches = numbered.groupBy("batch").agg(
+    batches = numbered.groupBy("_part", "_cut").agg(  # at most batch_size rows each
         F.array_sort(F.collect_list(entry)).alias("_docs"),
         F.array_sort(F.collect_list(F.struct("n", "file_id"))).alias("_ids"))
     body = F.struct(
@@ -87,7 +105,8 @@ def entity_requests(texts: DataFrame, batch_size: int) -> DataFrame:
         F.struct(F.transform("_docs", lambda d: d["doc"]).alias("documents")).alias(
             "analysisInput"),
         F.struct(F.lit("latest").alias("modelVersion")).alias("parameters"))
-    return batches.select("batch", F.transform("_ids", lambda d: d["file_id"]).alias("file_ids"),
+    return batches.select(F.concat_ws("-", "_part", "_cut").alias("batch"),
+                          F.transform("_ids", lambda d: d["file_id"]).alias("file_ids"),
                           F.to_json(body).alias("request"))
 
 
@@ -180,11 +199,35 @@ def scan_texts(
     category, status_flag.
     """
     rows = rule_findings(texts, "text", detectors).select("file_id", "findings")
+    return settle(rows, entity_answers, verify_answers, detect_answers, skip_models).drop("_carried")
+
+
+def one_answer(answers: DataFrame, column: str) -> DataFrame:
+    """One answer per file: deliveries may repeat, and a file may have been asked in parts.
+
+    Answers to parts are arrays; their items are joined in the order of the parts.
+    """
+    if "part" not in answers.columns:
+        return answers.groupBy("file_id").agg(F.max(column).alias(column))
+    each = answers.groupBy("file_id", "part").agg(F.max(column).alias(column))
+    parts = F.array_sort(F.collect_list(F.struct("part", _items(F.col(column)).alias("items"))))
+    items = F.flatten(F.filter(F.transform(parts, lambda p: p["items"]), lambda i: i.isNotNull()))
+    readable = F.max(_items(F.col(column)).isNotNull())
+    joined = F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+    return each.groupBy("file_id").agg(F.when(readable, joined).otherwise(F.max(column)).alias(column))
+
+
+def settle(rows: DataFrame, entity_answers: DataFrame | None, verify_answers: DataFrame | None,
+            detect_answers: DataFrame | None, skip_models: bool) -> DataFrame:
+    """The answer tables joined to (file_id, findings) and settled; a column ``_carried`` goes along."""
+    if "_carried" not in rows.columns:
+        rows = rows.withColumn("_carried", F.lit(None).cast("string"))
 
     def joined(frame: DataFrame, table: DataFrame | None, column: str, out: str) -> DataFrame:
         if table is None:
             return frame.withColumn(out, F.lit(None).cast("string"))
-        return frame.join(table.select("file_id", F.col(column).alias(out)), "file_id", "left")
+        answers = one_answer(table, column).withColumnRenamed(column, out)
+        return frame.join(answers, "file_id", "left")
 
     rows = joined(rows, entity_answers, "response", "_ner")
     rows = joined(rows, None if skip_models else verify_answers, "content", "_verify")
@@ -212,24 +255,53 @@ def scan_texts(
         stage = F.when(by_rules, "regex").when(
             by_entities & (F.size("_unsure") > 0), "ner+llm_verify").when(
             by_entities, "ner").otherwise("llm_detect")
-    rows = rows.select("file_id", result.alias("findings"), stage.alias("stage"))
+    rows = rows.select("file_id", result.alias("findings"), stage.alias("stage"), "_carried")
     return rows.select(
-        "file_id", "findings", "stage", primary_category(F.col("findings")).alias("category"),
+        "file_id", "findings", "stage", "_carried", primary_category(F.col("findings")).alias("category"),
         F.when(F.size("findings") > 0, "flagged").otherwise("not_flagged").alias("status_flag"))
 
 
-def verify_requests(texts: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Question per file: the text's start and the indexed snippets of its unsure candidates."""
-    snippets = F.to_json(F.transform("candidates", lambda c, i: F.struct(
-        i.alias("index"), c["snippet"].alias("snippet"))))
-    body = F.concat(F.lit("Text:\n"), F.left("text", F.lit(V.VERIFY_TEXT_CHARS)),
+def unsure_candidates(texts: DataFrame, entity_answers: DataFrame,
+                      detectors: Iterable[str] | None = None) -> DataFrame:
+    """(file_id, text, candidates) of the residue whose entities need to be verified."""
+    found = F.filter(entity_findings(answered_entities(F.col("response"))),
+                     lambda f: F.coalesce(f["confidence"], F.lit(0.0)) < V.VERIFY_BELOW)
+    asked = one_answer(entity_answers, "response").select("file_id", found.alias("candidates"))
+    return residue(texts, detectors).join(asked.filter(F.size("candidates") > 0), "file_id")
+
+
+def verify_requests(asked: DataFrame, size: int = V.VERIFY_TEXT_CHARS) -> DataFrame:
+    """Questions per file, ``(file_id, part, start, request)``: windows of its text that hold unsure candidates.
+
+    ``asked`` holds file_id, text and candidates (see ``unsure_candidates``). A candidate is asked
+    about in the window of its first occurrence, one that does not occur in the first window; windows
+    share the length of the longest snippet, so none is cut in two. ``index`` counts in the file.
+    """
+    step = size - V.MAX_SNIPPET_CHARS
+    last = F.greatest(F.lit(0), F.ceil((F.length("text") - size) / step))
+    place = lambda c: F.greatest(F.call_function("locate", c["snippet"], F.col("text"), F.lit(1)) - 1, F.lit(0))
+    placed = F.transform("candidates", lambda c, i: F.struct(
+        F.least(F.floor(place(c) / step), last).cast("int").alias("part"), i.alias("index"),
+        c["snippet"].alias("snippet")))
+    rows = asked.withColumn("_placed", placed).withColumn(
+        "part", F.explode(F.array_distinct(F.transform("_placed", lambda p: p["part"]))))
+    snippets = F.to_json(F.transform(
+        F.filter("_placed", lambda p: p["part"] == F.col("part")),
+        lambda p: F.struct(p["index"].alias("index"), p["snippet"].alias("snippet"))))
+    start = F.col("part") * step
+    body = F.concat(F.lit("Text:\n"), F.substr("text", start + 1, F.lit(size)),
                     F.lit("\n\nSnippets to verify:\n"), snippets)
-    asked = candidates.filter(F.size("candidates") > 0)
-    return texts.join(asked, "file_id").select("file_id", body.alias("request"))
+    return rows.select("file_id", "part", start.alias("start"), body.alias("request"))
 
 
-def detect_requests(texts: DataFrame) -> DataFrame:
-    return texts.select("file_id", F.left("text", F.lit(V.DETECT_TEXT_CHARS)).alias("request"))
+def detect_requests(texts: DataFrame, entity_answers: DataFrame | None = None,
+                    verify_answers: DataFrame | None = None, detectors: Iterable[str] | None = None,
+                    size: int = V.DETECT_TEXT_CHARS) -> DataFrame:
+    """Windows ``(file_id, part, start, request)`` over the texts in which no tier found anything."""
+    rows = residue(texts, detectors).select(
+        "file_id", _no_findings().alias("findings"), F.col("text").alias("_carried"))
+    left = settle(rows, entity_answers, verify_answers, None, False).filter(F.col("stage") == "llm_detect")
+    return left.select("file_id", F.inline(windows(F.col("_carried"), size))).withColumnRenamed("text", "request")
 
 
 def run_summary(results: DataFrame) -> DataFrame:
@@ -270,13 +342,14 @@ def updated_cache(findings: DataFrame, cache: DataFrame, scorer: Scorer) -> Data
 def escalate(findings: DataFrame, cache: DataFrame, spread_by: list[str]) -> DataFrame:
     """Replace the confidence of low findings that have a verdict and mark them ``llm``.
 
-    The same snippet may occur in a third of all rows, so the key is salted.
+    The same snippet may occur in a third of all rows: adaptive execution splits such a key, and
+    findings that are sure get keys of their own.
     """
     low = F.col("confidence") < V.ESCALATE_BELOW
     keyed = findings.withColumn("key", F.when(
         low, verdict_key(F.col("category"), F.col("snippet"))).otherwise(F.concat(
             F.lit("-"), F.xxhash64(*spread_by).cast("string"))))
-    joined = salted_join(keyed, cache.select("key", "verdict"), "key", spread_by)
+    joined = keyed.join(cache.select("key", "verdict"), "key", "left")
     hit = F.col("verdict").isNotNull()
     return joined.withColumns({
         "confidence": F.coalesce("verdict", "confidence"),

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
 from sievemark.functions.governance import file_id, finding_id
-from sievemark.functions.ordering import salted_join
 from sievemark.functions.strings import suffix
 
 REGISTRY_COLUMNS = (
@@ -111,12 +110,24 @@ def apply_status(registry: DataFrame, updates: DataFrame, now: Column,
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in REGISTRY_COLUMNS])
 
 
+def known_decisions(decisions: DataFrame, action: str = "action") -> DataFrame:
+    return decisions.filter(F.col(action).isin(*V.ACTION_STATUS))
+
+
+def rejected_decisions(decisions: DataFrame, action: str = "action") -> DataFrame:
+    """The decisions with an action outside the vocabulary."""
+    return decisions.filter(~F.coalesce(F.col(action).isin(*V.ACTION_STATUS), F.lit(False)))
+
+
 def apply_decisions(table: DataFrame, decisions: DataFrame, key: str, column: str,
                     action: str = "action", order: str = "ts") -> DataFrame:
-    """Write the latest review action per id (``confirm_delete`` is stored as ``delete``)."""
+    """Write the latest review action per id (``confirm_delete`` is stored as ``delete``).
+
+    Unknown actions change nothing; ``rejected_decisions`` hands them back.
+    """
     status = _constant_map(V.ACTION_STATUS, F.col(action))
     last = latest_by(
-        decisions.select(F.col(key).alias("_id"), F.col(order).alias("_ts"),
+        known_decisions(decisions, action).select(F.col(key).alias("_id"), F.col(order).alias("_ts"),
                          status.alias("_status")), "_id", ["_ts"])
     joined = table.join(last, table[key] == last["_id"], "left")
     chosen = F.when(F.col("_id").isNotNull(), F.col("_status")).otherwise(F.col(column))
@@ -126,7 +137,7 @@ def apply_decisions(table: DataFrame, decisions: DataFrame, key: str, column: st
 def decision_outcomes(table: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     """Per decided id: the stored status and whether a row changed (false for unknown ids)."""
     status = _constant_map(V.ACTION_STATUS, F.col("action"))
-    last = latest_by(decisions.select(key, "ts", status.alias("status")), key, ["ts"])
+    last = latest_by(known_decisions(decisions).select(key, "ts", status.alias("status")), key, ["ts"])
     known = table.select(key, F.lit(True).alias("_known"))
     return last.join(known, key, "left").select(
         key, "status", F.coalesce("_known", F.lit(False)).alias("updated"))
@@ -176,11 +187,11 @@ def stored_findings(found: DataFrame, created_at: float) -> DataFrame:
 def replace_findings(old: DataFrame, new: DataFrame, rescanned: DataFrame) -> DataFrame:
     """Swap the findings of the rescanned files; a finding that reappears keeps its status.
 
-    One file may own a large share of the old findings, so they are matched against the
-    rescanned ids in salted pieces. Finding ids are hashes and spread by themselves.
+    One file may own a large share of the old findings: adaptive execution splits such a key in the
+    match with the rescanned ids. Finding ids are hashes and spread by themselves.
     """
     ids = rescanned.select("file_id").distinct()
-    untouched = salted_join(old, ids, "file_id", ["id"], "left_anti")
+    untouched = old.join(ids, "file_id", "left_anti")
     before = old.select("id", F.col("status").alias("_status"))
     carried = new.join(before, "id", "left").withColumn(
         "status", F.coalesce("_status", F.lit("open"))).drop("_status")

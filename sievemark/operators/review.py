@@ -9,7 +9,7 @@ from sievemark import fixed_values as V
 from sievemark.functions.governance import (
     is_past_retention, label, percent, priority, priority_name, priority_rank,
 )
-from sievemark.functions.ordering import salted_join, with_position
+from sievemark.functions.ordering import with_position
 from sievemark.functions.strings import base_name
 from sievemark.operators.ownership import responsibilities
 
@@ -17,12 +17,12 @@ IN_CYCLE = ("pending", "extended")
 
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
-    """The standing decision per file from a log of (file_id, action, ts)."""
+    """The standing decision per file from a log of (file_id, action, ts); unknown actions do not count."""
     names = {action: name for name, action in V.DECISION_ACTION.items()}
     pairs = [F.lit(x) for item in names.items() for x in item]
     chosen = F.try_element_at(F.create_map(*pairs), F.max_by("action", F.struct("ts", "action")))
-    return decisions.groupBy("file_id").agg(chosen.alias("decision")).filter(
-        F.col("decision").isNotNull())
+    known = decisions.filter(F.col("action").isin(*names))
+    return known.groupBy("file_id").agg(chosen.alias("decision"))
 
 
 def with_decision(files: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
@@ -125,7 +125,7 @@ def review_cycle(files: DataFrame) -> DataFrame:
     placed = with_position(cycle, [F.asc("user_id"), F.asc("last_modified"), F.asc("id")], "_at")
     stretch = placed.groupBy("user_id").agg(
         F.min("_at").alias("_first"), F.count("*").alias("cycle_size"))
-    rows = salted_join(placed, stretch, "user_id", ["id"], "inner")
+    rows = placed.join(stretch, "user_id")
     step = F.col("_at") - F.col("_first")
     rows = rows.withColumns({
         "position": step + 1,

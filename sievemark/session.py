@@ -22,6 +22,7 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sievemark.partitions", str(shuffle_partitions))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -64,3 +65,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows, written once as Parquet to the shared folder and read again."""
+    folder = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.fixed_values import TEXT_EXTENSIONS
-from sievemark.functions.ordering import spread_if_few
 from sievemark.functions.strings import base_name, suffix
 from sievemark.sources.parsers import PARSERS, html_text
 
@@ -131,11 +130,17 @@ def split_errors(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield frame.assign(text=[None if h is None else html_text(h) for h in frame["html"]])[
-            ["page_id", "text"]]
+        rows, held = [], 0
+        for page, html in frame.itertuples(index=False):
+            rows.append((page, None if html is None else html_text(html)))
+            held += len(rows[-1][1] or "")
+            if held > _BATCH_CHARS:
+                yield pd.DataFrame(rows, columns=["page_id", "text"])
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["page_id", "text"])
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """Text nodes of every (page_id, html) row, joined by newlines."""
-    rows = spread_if_few(pages.select("page_id", "html"))
-    return rows.mapInPandas(_pages, "page_id bigint, text string")
+    return pages.select("page_id", "html").mapInPandas(_pages, "page_id bigint, text string")

@@ -63,23 +63,6 @@ def form_spans(text):
     return [(r.category, a, b, s, r.confidence) for r, a, b, s in _hits(_FORM, text)]
 
 
-def form_findings(text):
-    kept = []
-    spans = form_spans(text)
-    for category in dict.fromkeys(s[0] for s in spans):
-        until, mine = -1, []
-        for span in sorted((s for s in spans if s[0] == category), key=lambda s: (s[1], -s[4])):
-            if span[1] >= until:
-                mine.append(span)
-            elif span[4] > mine[-1][4]:
-                mine[-1] = span
-            else:
-                continue
-            until = span[2]
-        kept += mine
-    return sorted(kept, key=lambda s: (s[1], s[0]))
-
-
 TRICKY = [
     "", "   \n\t ", "no data here", "Tel: 1\n\nFax:\n\n 22 \n",
     "Müller Östergasse 12, 70173 Köln", "\x1c Phone:\x1d 12345678\x85", "TELEFAX: 0",

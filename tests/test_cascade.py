@@ -94,7 +94,7 @@ def test_entity_modes(spark):
 def test_batches_come_back_by_id(spark):
     texts = spark.createDataFrame([(f"f{i}", f"Label: t{i}") for i in range(5)],
                                   "file_id string, text string")
-    sent = cascade.entity_requests(texts, 2).collect()
+    sent = cascade.entity_requests(texts.coalesce(1), 2).collect()
     assert sorted(len(r.file_ids) for r in sent) == [1, 2, 2]
     answers = []
     for r in sent:
@@ -130,3 +130,44 @@ def test_scores_and_cache(spark):
     rows = {r.id: (r.confidence, r.detector)
             for r in cascade.escalate(findings, cache, ["id"]).collect()}
     assert rows == {1: (0.2, "llm"), 2: (0.2, "llm"), 3: (0.7, "regex"), 4: (0.8, "regex")}
+
+
+def test_repeated_answers_count_once_and_parts_are_joined(spark):
+    texts = spark.createDataFrame([("f", CLEAN), ("g", CLEAN)], "file_id string, text string")
+    ner = _answers(spark, [("f", _entities())] * 3 + [("g", _entities())], "response")
+    detect = spark.createDataFrame(
+        [("f", 1, '[{"category": "phone", "confidence": 0.5}]'), ("f", 0, '[{"category": "name", "confidence": 0.9}]'),
+         ("f", 0, '[{"category": "name", "confidence": 0.9}]'), ("g", 0, "no"), ("g", 1, "[]")],
+        "file_id string, part int, content string")
+    results = cascade.scan_texts(texts, ner, None, detect)
+    assert results.count() == 2 and cascade.run_summary(results).first().total == 2
+    rows = {r.file_id: [f.category for f in r.findings] for r in results.collect()}
+    assert rows == {"f": ["name", "phone"], "g": []}
+
+
+def test_windows_cover_the_whole_text(spark):
+    for size, shared, n in ((10, 0, 35), (10, 3, 35), (10, 3, 10), (10, 3, 11), (10, 3, 0), (10, 0, 40)):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        row = spark.createDataFrame([(text,)], "t string").select(cascade.windows(F.col("t"), size, shared)).first()[0]
+        assert all(w.text == text[w.start:w.start + size] for w in row)
+        assert [w.part for w in row] == list(range(len(row)))
+        assert {i for w in row for i in range(w.start, w.start + len(w.text))} == set(range(n))
+        assert all(b.start == a.start + size - shared for a, b in zip(row, row[1:], strict=False))
+
+
+def test_requests_hold_only_what_is_open_and_all_of_it(spark):
+    long = "nothing here " * 2000
+    texts = spark.createDataFrame([("rules", "mail a@b.cc"), ("long", long + "Rd 77"), ("sure", CLEAN), ("open", CLEAN)],
+                                  "file_id string, text string")
+    ner = _answers(spark, [("long", _entities(("Rd 77", "Address", 0.86), ("absent", "Person", 0.87))),
+                           ("sure", _entities(("Ann", "Person", 0.95))), ("rules", _entities(("x", "Address", 0.86)))],
+                   "response")
+    sent = [json.loads(r.request) for r in cascade.entity_requests(cascade.residue(texts), 2).collect()]
+    assert sum(len(s["analysisInput"]["documents"]) for s in sent) == 3
+    asked = cascade.verify_requests(cascade.unsure_candidates(texts, ner)).collect()
+    assert {(r.file_id, r.part) for r in asked} == {("long", 0), ("long", 4)}
+    last = next(r for r in asked if r.part == 4)
+    assert last.request.startswith("Text:\n" + (long + "Rd 77")[last.start:]) and '"index":0' in last.request
+    detect = cascade.detect_requests(texts, ner, _answers(spark, [("long", "[]")], "content")).collect()
+    parts = {f: "".join(r.request for r in sorted(detect) if r.file_id == f) for f in ("long", "open")}
+    assert parts == {"long": long + "Rd 77", "open": CLEAN} and {r.file_id for r in detect} == set(parts)

@@ -2,10 +2,9 @@ import html
 import re
 
 from pyspark.sql import functions as F
-from sievemark import fixed_values as V
 from sievemark.functions import governance as gov
-from sievemark.functions.ordering import salted_join, with_position
-from sievemark.functions.preview import explanation, with_preview
+from sievemark.functions.ordering import with_position
+from sievemark.functions.preview import explanation, redacted, with_preview
 from sievemark.operators import review
 
 
@@ -45,9 +44,7 @@ def _plain_preview(text, findings):
     out, cursor = "", 0
     esc = lambda s: html.escape(s).replace("&#x27;", "&#39;")
     for start, end, category in sorted(marks):
-        colour = V.CATEGORIES[category][3] if category in V.CATEGORIES else V.DEFAULT_COLOUR
-        out += esc(text[cursor:start]) + V.MARK_OPEN.replace("{colour}", colour)
-        out += esc(text[start:end]) + V.MARK_CLOSE
+        out += f'{esc(text[cursor:start])}<mark data-category="{category}">{esc(text[start:end])}</mark>'
         cursor = end
     return out + esc(text[cursor:])
 
@@ -102,14 +99,60 @@ def test_review_cycle_wraps_around_for_each_person(spark):
     assert got == want
 
 
-def test_salted_join_equals_plain_join(spark):
-    left = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(
-        F.col("id")).alias("k"))
-    right = spark.range(0, 400, 2).select(F.col("id").alias("k"), F.lit("v").alias("v"))
-    for how in ("left", "inner", "left_semi", "left_anti"):
-        got = salted_join(left, right, "k", ["id"], how)
-        want = left.join(right, "k", how)
-        assert sorted(got.select(*want.columns).collect()) == sorted(want.collect())
+def test_braces_in_a_file_name_stay(spark):
+    df = spark.createDataFrame([("a {n} {types}.txt", [("email", ["Art. 5"])])],
+                               "name string, findings array<struct<category:string,gdpr_articles:array<string>>>")
+    assert "“a {n} {types}.txt” was flagged" in df.select(explanation(F.col("name"), F.col("findings"))).first()[0]
+
+
+def test_many_marks_take_linear_time(spark):
+    text = " ".join(f"user{i}@mail.org" for i in range(20_000))
+    found = spark.createDataFrame([(text, [("email", w) for w in text.split()])],
+                                  "text string, findings array<struct<category:string,snippet:string>>")
+    assert with_preview(found).first().preview.count("<mark ") == 20_000
+
+
+def test_redaction_covers_overlapping_findings(spark):
+    df = spark.createDataFrame(
+        [("call Ann on 12345 now", [("name", 5, 8), ("phone", 12, 17)]), ("abcdef", [("x", 1, 5), ("y", 2, 3)]),
+         ("abcdef", [("x", 0, 3), ("y", 2, 6)]), ("none", [])],
+        "text string, findings array<struct<category:string,start:int,end:int>>")
+    assert [r[0] for r in df.select(redacted(F.col("text"), F.col("findings"))).collect()] == [
+        "call [name] on [phone] now", "a[x]f", "[x]", "none"]
+
+
+def test_adaptive_execution_splits_a_hot_key(spark):
+    """One key holds a third of the rows; the plain join must be dealt to several tasks."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
+             "spark.sql.shuffle.partitions")
+    before = {n: spark.conf.get(n, None) for n in names}
+    try:
+        for n, v in zip(names, ("-1", "16k", "8k", "1.5", "16"), strict=True):
+            spark.conf.set(n, v)
+        rows = spark.range(60_000).select(
+            F.concat(F.lit("id"), "id").alias("id"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("f"), F.col("id"))).alias("file_id"))
+        ids = spark.range(0, 60_000, 2).select(F.concat(F.lit("f"), "id").alias("file_id"))
+        joined = rows.join(ids, "file_id", "left_anti")
+        assert joined.count() == 20_000 + sum(1 for i in range(60_000) if i % 3 and i % 2)
+        joined.collect()
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_unknown_actions_change_nothing(spark):
+    from sievemark.operators import registry
+    files = spark.createDataFrame([("a", "keep"), ("b", None)], "file_id string, user_action string")
+    log = spark.createDataFrame([("a", "keep", 1), ("a", "archive", 2), ("b", "burn", 1)],
+                                "file_id string, action string, ts int")
+    after = registry.apply_decisions(files, log, "file_id", "user_action")
+    assert sorted(map(tuple, after.collect()), key=str) == [("a", "keep"), ("b", None)]
+    assert [tuple(r) for r in registry.decision_outcomes(files, log, "file_id").collect()] == [("a", "keep", True)]
+    assert {r.action for r in registry.rejected_decisions(log).collect()} == {"archive", "burn"}
+    assert [tuple(r) for r in review.latest_decisions(log).collect()] == [("a", "extended")]
 
 
 def test_review_figures(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievemark.functions.ordering import spread_if_few
+from sievemark.functions.ordering import spread
 from workload.forms_sql import COLUMNS, FIRST, FORMS, LAST, SOURCES, _pick
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -81,8 +81,8 @@ FROM lineitem"""
 DECISIONS = """
 SELECT 'f' || (event_id % 20000) AS file_id, ts,
        CASE event_type WHEN 'purchase' THEN 'confirm_delete' WHEN 'error' THEN 'false_positive'
-           ELSE 'keep' END AS action
-FROM events WHERE event_type <> 'view'"""
+           WHEN 'view' THEN 'archive' ELSE 'keep' END AS action
+FROM events WHERE event_type <> 'view' OR event_id % 3 = 0"""
 RUNS = """
 SELECT 'run' || d AS id, CASE WHEN d % 2 = 0 THEN 'full' ELSE 'delta' END AS type,
        CAST(1700000000 + d * 86400 AS DOUBLE) AS started_at,
@@ -95,7 +95,8 @@ FROM (SELECT CAST(dayofyear(ts) AS BIGINT) AS d, CAST(COUNT(*) AS BIGINT) AS n,
       FROM events GROUP BY dayofyear(ts)) AS e"""
 
 # Answers of the recogniser and the model, one shape per remainder of the document id; one
-# language has no answer, as when a request fails.
+# language has no answer, as when a request fails. Every seventh model answer is delivered twice.
+# Every third view is a review action outside the vocabulary.
 ENTITY_ANSWERS = """
 SELECT CAST(doc_id AS STRING) AS file_id, CASE doc_id % 8 WHEN 7 THEN '{oops' ELSE
     '{"results":{"documents":[{"id":"1","entities":[' || CASE doc_id % 8
@@ -112,13 +113,15 @@ SELECT CAST(doc_id AS STRING) AS file_id, CASE doc_id % 5
     WHEN 0 THEN '[{"index":0,"is_pii":true,"category":"email","confidence":0.7}]'
     WHEN 1 THEN '[{"index":0,"is_pii":false},{"index":9,"is_pii":true}]'
     WHEN 2 THEN 'no idea' ELSE '[{"index":0,"is_pii":true,"category":null}]' END AS content
-FROM documents WHERE lang <> 'fr'"""
+FROM documents CROSS JOIN (SELECT 0 AS delivery UNION ALL SELECT 1) AS twice
+WHERE lang <> 'fr' AND (delivery = 0 OR doc_id % 7 = 0)"""
 DETECT_ANSWERS = """
 SELECT CAST(doc_id AS STRING) AS file_id, CASE doc_id % 4
     WHEN 0 THEN '[{"category":"name","confidence":0.6},{"category":"name"},{"x":1},'
         || '{"category":"health_data","confidence":0.8}]'
     WHEN 1 THEN '[]' ELSE '{"category":"name"}' END AS content
-FROM documents WHERE lang <> 'de'"""
+FROM documents CROSS JOIN (SELECT 0 AS delivery UNION ALL SELECT 1) AS twice
+WHERE lang <> 'de' AND (delivery = 0 OR doc_id % 7 = 0)"""
 
 RELATIONS = {
     "forms": FORMS, "registry": REGISTRY, "listing": LISTING, "files": FILES, "users": USERS,
@@ -140,5 +143,5 @@ def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             table(spark, sf_dir, given).createOrReplaceTempView(given)
     if name == "forms":
         # The keys are spread before the texts are built from them.
-        return spread_if_few(spark.sql(SOURCES)).selectExpr(*COLUMNS)
+        return spread(spark.sql(SOURCES)).selectExpr(*COLUMNS)
     return spark.sql(sql)

@@ -265,12 +265,36 @@ ORACLE["explanation_prompts"] = _with("forms", f"""
 lines AS (SELECT path, string_agg('- ' || label || ' (' || CAST(floor(confidence * 100 + 0.5)
     AS INTEGER) || '% confidence): "' || snippet || '"', chr(10) ORDER BY start, category) AS ls
     FROM f GROUP BY path)
-SELECT forms.path, array_to_string([{', '.join(_q(x) for x in V.PROMPT_HEAD)},
+SELECT forms.path, CAST(w.part AS INTEGER) AS part, array_to_string([{', '.join(_q(x) for x in V.PROMPT_HEAD)},
     'File name: ' || regexp_extract(forms.path, '[^/]*$'), 'Source: '
     || {_SOURCE.replace('path', 'forms.path')}, '', 'Detected personal data:', ls, '',
-    'File excerpt:', repeat('"', 3) || left(text, 1200) || repeat('"', 3), '', 'Explanation:'],
-    chr(10)) AS prompt
-FROM lines JOIN forms ON forms.path = lines.path""")
+    'File excerpt:', repeat('"', 3)
+    || substring(w.text, CAST(w.part * 1200 + 1 AS BIGINT), 1200) || repeat('"', 3), '', 'Explanation:'], chr(10)) AS prompt
+FROM lines JOIN (SELECT path, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1200.0) AS BIGINT)))) AS part
+    FROM forms) AS w ON w.path = lines.path JOIN forms ON forms.path = lines.path""")
+_PRETTY = "array_to_string(list_transform(string_split(replace(category || '_x y', '_', ' '), ' '), " \
+          "lambda w: upper(w[1]) || w[2:]), ' ')"
+ORACLE["category_guide"] = _with("findings", f"""
+SELECT category, {_LABEL} AS label, {_PRETTY} AS unknown_label,
+    {_case('category', {k: v[1] for k, v in V.CATEGORIES.items()}, _q(V.DEFAULT_ICON))} AS icon,
+    {_case('category', {k: v[4] for k, v in V.CATEGORIES.items()}, "''")} AS reason
+FROM (SELECT DISTINCT category FROM findings) AS c""")
+ORACLE["redacted_texts"] = _with("forms", f"""
+, r AS ({_resolved('forms', 'path')}),
+o AS (SELECT path, category, start, "end", max("end") OVER w AS until,
+        lead(start) OVER (PARTITION BY path ORDER BY start, "end", category) AS next,
+        coalesce(max("end") OVER (PARTITION BY path ORDER BY start, "end", category
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM r WINDOW w AS (PARTITION BY path ORDER BY start, "end", category
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+j AS (SELECT forms.path, min(o.start) AS first, string_agg(
+        CASE WHEN o.start >= before THEN '[' || category || ']' ELSE '' END || CASE
+            WHEN coalesce(next, length(text)) > until
+            THEN substring(text, until + 1, coalesce(next, length(text)) - until) ELSE '' END,
+        '' ORDER BY o.start, o."end", category) AS rest
+    FROM o JOIN forms ON forms.path = o.path GROUP BY forms.path)
+SELECT forms.path, CASE WHEN rest IS NULL THEN text ELSE substring(text, 1, first) || rest END AS text
+FROM forms LEFT JOIN j ON j.path = forms.path""")
 
 # ---- registry figures -----------------------------------------------------------------------
 
@@ -367,10 +391,14 @@ SELECT l.file_id, '{{"file_id":"' || l.file_id || '","name":"' || l.name || '","
     || l.mime_type || '"}}' AS value
 FROM ({_LISTED}) AS l LEFT JOIN registry AS r ON r.file_id = l.file_id
 WHERE r.status_flag IS NULL OR r.status_flag = 'not_checked'""")
-_LAST = """last AS (SELECT file_id, arg_max(action, (ts, action)) AS action FROM decisions
+_ANY_LAST = """last AS (SELECT file_id, arg_max(action, (ts, action)) AS action FROM decisions
     GROUP BY file_id)"""
+_ACTIONS = ", ".join(_q(a) for a in V.ACTION_STATUS)
+_LAST = _ANY_LAST.replace("FROM decisions", f"FROM decisions WHERE action IN ({_ACTIONS})")
+ORACLE["rejected_decisions"] = _with("decisions", f"""
+SELECT action, count(*) AS n FROM decisions WHERE action NOT IN ({_ACTIONS}) GROUP BY action""")
 ORACLE["batch_status_update"] = _with("registry decisions", f"""
-, {_LAST} SELECT r.file_id,
+, {_ANY_LAST} SELECT r.file_id,
     CASE WHEN l.action IS NULL THEN status_flag WHEN action = 'keep' THEN 'not_flagged'
         ELSE 'flagged' END AS status_flag,
     CASE WHEN l.action IS NULL THEN detection_stage ELSE 'regex' END AS detection_stage,
@@ -618,22 +646,27 @@ SELECT count(*) AS total, count(*) FILTER (WHERE r OR findings <> '') AS with_pi
 ORACLE["tier_check"] = f"""WITH {_STAGED}
 SELECT CASE WHEN r THEN 'WARN' WHEN findings = '' THEN 'MISS' WHEN stage = 'llm_detect' THEN 'WARN'
     ELSE 'PASS' END AS outcome, count(*) AS files FROM staged GROUP BY 1"""
-ORACLE["entity_requests"] = """
-WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS file_id,
-                  row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS n FROM documents)
-SELECT (n - 1) // 25 AS batch, CAST(count(*) AS INTEGER) AS texts,
-       string_agg(file_id, '|' ORDER BY n) AS file_ids FROM p GROUP BY 1"""
+ORACLE["entity_requests"] = f"""WITH {_STAGED}
+SELECT file_id, md5(regexp_replace(text, {_q(V.FORM_LABEL)}, '', 'g')) AS digest, true AS well_formed
+FROM staged JOIN documents ON CAST(doc_id AS VARCHAR) = file_id WHERE NOT r"""
 ORACLE["batch_entities"] = """
 SELECT CAST(doc_id AS VARCHAR) AS file_id,
        CASE doc_id % 8 WHEN 0 THEN 'Person:P' || doc_id ELSE '' END AS entities
 FROM documents WHERE lang <> 'es' AND doc_id % 8 <> 7"""
-ORACLE["verify_requests"] = """
-SELECT CAST(doc_id AS VARCHAR) AS file_id, 'Text:' || chr(10) || left(text, 6000) || chr(10)
-    || chr(10) || 'Snippets to verify:' || chr(10) || '[{"index":0,"snippet":"'
-    || CASE doc_id % 8 WHEN 1 THEN 'A' ELSE 'M' END || doc_id || '"}]' AS request
-FROM documents WHERE lang <> 'es' AND doc_id % 8 IN (1, 4)"""
-ORACLE["detect_requests"] = """
-SELECT CAST(doc_id AS VARCHAR) AS file_id, left(text, 8000) AS request FROM documents"""
+_VERIFY_STEP = V.VERIFY_TEXT_CHARS - V.MAX_SNIPPET_CHARS
+ORACLE["verify_requests"] = f"""WITH {_STAGED},
+a AS (SELECT file_id, text, CASE m8 WHEN 1 THEN 'A' ELSE 'M' END || file_id AS snippet
+      FROM staged JOIN documents ON CAST(doc_id AS VARCHAR) = file_id WHERE NOT r AND answered AND m8 IN (1, 4)),
+p AS (SELECT *, CAST(least(greatest(strpos(text, snippet) - 1, 0) // {_VERIFY_STEP}, greatest(0, CAST(ceil(
+      (length(text) - {V.VERIFY_TEXT_CHARS}) / CAST({_VERIFY_STEP} AS DOUBLE)) AS BIGINT))) AS INTEGER) AS part FROM a)
+SELECT file_id, part, part * {_VERIFY_STEP} AS start, 'Text:' || chr(10)
+    || substring(text, part * {_VERIFY_STEP} + 1, {V.VERIFY_TEXT_CHARS}) || chr(10) || chr(10)
+    || 'Snippets to verify:' || chr(10) || '[{{"index":0,"snippet":"' || snippet || '"}}]' AS request FROM p"""
+ORACLE["detect_requests"] = f"""WITH {_STAGED},
+w AS (SELECT file_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / {V.DETECT_TEXT_CHARS}.0) AS BIGINT))))
+      AS part FROM staged JOIN documents ON CAST(doc_id AS VARCHAR) = file_id WHERE stage = 'llm_detect')
+SELECT file_id, CAST(part AS INTEGER) AS part, CAST(part * {V.DETECT_TEXT_CHARS} AS INTEGER) AS start,
+    substring(text, CAST(part * {V.DETECT_TEXT_CHARS} + 1 AS BIGINT), {V.DETECT_TEXT_CHARS}) AS request FROM w"""
 ORACLE["stripped_labels"] = _with(
     "forms", f"SELECT path, regexp_replace(text, {_q(V.FORM_LABEL)}, '', 'g') AS text FROM forms")
 ORACLE["verdict_cache"] = _with("findings", """
@@ -713,9 +746,10 @@ SELECT tp, fp, fn, (SELECT count(*) FROM forms) AS files, labels, round(p, 6) AS
 
 # ---- media answers --------------------------------------------------------------------------
 
-_SHOWN = "CASE WHEN lang IN ('en', 'de') THEN text ELSE '' END"
-ORACLE["image_texts"] = f"""
-SELECT doc_id, CAST(length({_SHOWN}) AS INTEGER) AS chars, md5({_SHOWN}) AS digest FROM documents"""
+ORACLE["image_texts"] = """
+SELECT doc_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS digest FROM (
+    SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END AS t FROM documents
+    UNION ALL SELECT doc_id, text FROM documents) AS both_shapes"""
 ORACLE["video_texts"] = f"""
 SELECT conv_id, turn, md5(CASE WHEN t = '' THEN role WHEN t = role THEN role
     ELSE t || chr(10) || chr(10) || role END) AS digest
@@ -745,5 +779,11 @@ SELECT CAST(d.doc_id AS VARCHAR) AS file_id, 'doc ' || d.doc_id AS name,
 FROM documents AS d LEFT JOIN (SELECT doc_id, arg_min(category, rule) AS category
     FROM ({_DOC_ROWS}) AS g GROUP BY doc_id) AS f ON f.doc_id = d.doc_id"""
 
+ORACLE["stream_malformed"] = f"""
+SELECT CAST(d.doc_id AS VARCHAR) AS file_id, CASE WHEN f.doc_id IS NULL THEN 'not_flagged' ELSE 'flagged' END
+    AS status_flag
+FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_DOC_ROWS}) AS g) AS f ON f.doc_id = d.doc_id
+WHERE d.doc_id % 5 <> 0"""
+
 # ``_with`` is written in front of bodies that go on with further named relations.
 ORACLE = {name: sql.replace(") \n,", "),").replace(") ,", "),") for name, sql in ORACLE.items()}

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from sievemark import fixed_values as V
 from sievemark.functions import governance as gov
 from sievemark.functions import preview
-from sievemark.functions.ordering import salted_join, spread_if_few
+from sievemark.functions.ordering import spread
 from sievemark.functions.rules import DETECTORS, explode_findings, with_document_findings
 from sievemark.functions.spans import with_form_findings
 from sievemark.functions.strings import base_name
 from sievemark.operators import cascade, evaluate, kpis, ownership, registry, review
 from sievemark.plans import scan
-from sievemark.session import scratch_folder
+from sievemark.session import scratch_folder, written
 from sievemark.sources import media
 from sievemark.sources.files import page_texts
 from sievemark.streaming import consumers
@@ -51,7 +51,7 @@ def _round(df: DataFrame, *columns: str) -> DataFrame:
 # ---- document rules -------------------------------------------------------------------------
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_if_few(table(spark, sf, "documents").select("doc_id", "text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _forms(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,20 +112,20 @@ def flag_status(spark, sf):
 
 @query
 def page_source_findings(spark, sf):
-    pages = spread_if_few(table(spark, sf, "pages").select("page_id", "html"))
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"))
     found = with_document_findings(pages, "html")
     return explode_findings(found, ["page_id"]).select("page_id", "category", "snippet")
 
 
 @query
 def html_text_findings(spark, sf):
-    found = with_document_findings(page_texts(table(spark, sf, "pages")))
+    found = with_document_findings(page_texts(spread(table(spark, sf, "pages"))))
     return explode_findings(found, ["page_id"]).select("page_id", "ord", "category", "snippet")
 
 
 @query
 def conversation_exposure(spark, sf):
-    turns = spread_if_few(table(spark, sf, "conversations").select("conv_id", "role", "text"))
+    turns = spread(table(spark, sf, "conversations").select("conv_id", "role", "text"))
     found = with_document_findings(turns)
     return found.groupBy("role").agg(
         F.count("*").alias("turns"), F.count_if(F.size("findings") > 0).alias("flagged"))
@@ -189,10 +189,30 @@ def explanations(spark, sf):
 
 @query
 def explanation_prompts(spark, sf):
+    """One prompt per window of the text, so that the model sees all of it."""
     found = with_form_findings(_forms(spark, sf)).filter(F.size("findings") > 0)
-    return found.select("path", preview.prompt(
+    found = found.withColumn("_w", F.explode(cascade.windows(F.col("text"), V.EXCERPT_CHARS)))
+    return found.select("path", F.col("_w.part").alias("part"), preview.prompt(
         base_name(F.col("path")), ownership.source_type(F.col("path")), F.col("findings"),
-        F.col("text")).alias("prompt"))
+        F.col("_w.text")).alias("prompt"))
+
+
+@query
+def category_guide(spark, sf):
+    """Every category in use with the label, sign and reason that reviewers see."""
+    used = relation(spark, sf, "findings").select("category").distinct()
+    odd = F.concat(F.col("category"), F.lit("_x y"))
+    return used.select("category", gov.pretty_label(F.col("category")).alias("label"),
+                       gov.pretty_label(odd).alias("unknown_label"),
+                       gov.icon(F.col("category")).alias("icon"),
+                       gov.reason(F.col("category")).alias("reason"))
+
+
+@query
+def redacted_texts(spark, sf):
+    """Forms with every form finding replaced by its category in brackets."""
+    found = with_form_findings(_forms(spark, sf))
+    return found.select("path", preview.redacted(F.col("text"), F.col("findings")).alias("text"))
 
 
 # ---- registry figures -----------------------------------------------------------------------
@@ -347,7 +367,7 @@ def finding_decisions_applied(spark, sf):
     """A file's last decision holds for all of its findings."""
     findings = relation(spark, sf, "findings")
     last = registry.latest_by(relation(spark, sf, "decisions"), "file_id", ["ts"])
-    decided = salted_join(findings, last, "file_id", ["id"], "inner").select("id", "action", "ts")
+    decided = findings.join(last, "file_id").select("id", "action", "ts")
     rows = registry.apply_decisions(findings, decided, "id", "status")
     return rows.groupBy("status").agg(F.count("*").alias("findings"))
 
@@ -392,8 +412,7 @@ def status_carryover(spark, sf):
     old = relation(spark, sf, "findings")
     rescanned = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O").select(
         F.concat(F.lit("f"), "o_orderkey").alias("file_id"))
-    again = salted_join(old.filter(F.col("confidence") > 0.6), rescanned, "file_id", ["id"],
-                        "left_semi")
+    again = old.filter(F.col("confidence") > 0.6).join(rescanned, "file_id", "left_semi")
     fresh = rescanned.select(
         F.concat(F.lit("x"), "file_id").alias("id"), "file_id", F.lit("email").alias("category"),
         F.lit("new").alias("snippet"), F.lit(0.98).alias("confidence"),
@@ -572,7 +591,7 @@ def user_categories(spark, sf):
 def _texts(spark, sf) -> DataFrame:
     documents = table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("file_id"), "text")
-    return spread_if_few(documents)
+    return spread(documents)
 
 
 def _cascade(spark, sf, **options) -> DataFrame:
@@ -612,8 +631,15 @@ def cascade_summary(spark, sf):
 
 @query
 def entity_requests(spark, sf):
-    return cascade.entity_requests(_texts(spark, sf), 25).select(
-        "batch", F.size("file_ids").alias("texts"), _joined("file_ids").alias("file_ids"))
+    """What the requests send: each text of the residue once, in batches of at most 25."""
+    sent = cascade.entity_requests(cascade.residue(_texts(spark, sf)), 25)
+    shape = "analysisInput struct<documents: array<struct<id: string, text: string>>>"
+    documents = F.from_json("request", shape)["analysisInput"]["documents"]
+    pairs = F.arrays_zip(F.col("file_ids"), documents.alias("documents"))
+    rows = sent.select(F.size("file_ids").alias("n"), F.posexplode(pairs).alias("at", "_p"))
+    return rows.select(
+        F.col("_p.file_ids").alias("file_id"), F.md5(F.col("_p.documents.text")).alias("digest"),
+        ((F.col("n") <= 25) & (F.col("_p.documents.id") == (F.col("at") + 1).cast("string"))).alias("well_formed"))
 
 
 @query
@@ -629,16 +655,20 @@ def batch_entities(spark, sf):
 
 @query
 def verify_requests(spark, sf):
-    texts = _texts(spark, sf)
-    candidates = relation(spark, sf, "entity_answers").select("file_id", F.filter(
-        cascade.entity_findings(cascade.answered_entities(F.col("response"))),
-        lambda f: f["confidence"] < V.VERIFY_BELOW).alias("candidates"))
-    return cascade.verify_requests(texts, candidates)
+    asked = cascade.unsure_candidates(_texts(spark, sf), relation(spark, sf, "entity_answers"))
+    return cascade.verify_requests(asked)
 
 
 @query
 def detect_requests(spark, sf):
-    return cascade.detect_requests(_texts(spark, sf))
+    return cascade.detect_requests(
+        _texts(spark, sf), relation(spark, sf, "entity_answers"), relation(spark, sf, "verify_answers"))
+
+
+@query
+def rejected_decisions(spark, sf):
+    rows = registry.rejected_decisions(relation(spark, sf, "decisions"))
+    return rows.groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query
@@ -681,8 +711,15 @@ def file_confusion(spark, sf):
 
 @query
 def detector_comparison(spark, sf):
+    """All rules and the mail rule alone, from one scan."""
+    forms = relation(spark, sf, "forms").select("path", "text")
+    found = evaluate.corpus_files(with_document_findings(forms)).withColumn("error", F.lit(None).cast("string"))
+    mails = F.filter("findings", lambda f: f["category"] == "email")
+    small = written(found.select("path", "is_pii", "error", F.size("findings").alias("n"),
+                                 F.size(mails).alias("mails")), "scanned")
     return evaluate.compare_detectors({
-        "rules": _judged(spark, sf), "emails only": _judged(spark, sf, detectors=["emails"])})
+        "rules": small.withColumnRenamed("n", "n_findings"),
+        "emails only": small.withColumnRenamed("mails", "n_findings")})
 
 
 @query
@@ -692,9 +729,10 @@ def tier_comparison(spark, sf):
         F.col("doc_id").cast("string").alias("file_id"), F.concat(
             F.when(F.col("source") == "src0", V.CLEAN_STEM_PREFIX).otherwise("doc_"), "doc_id",
             F.lit(".txt")).alias("path"))
-    rules = cascade.rule_findings(_texts(spark, sf)).select("file_id", "findings")
-    variants = {"rules": rules, "rules + entities": _cascade(spark, sf, skip_models=True),
-                "full cascade": _cascade(spark, sf)}
+    rules = written(cascade.rule_findings(_texts(spark, sf)).select("file_id", "findings"), "scanned")
+    answers = [relation(spark, sf, f"{kind}_answers") for kind in ("entity", "verify", "detect")]
+    variants = {"rules": rules, "rules + entities": cascade.settle(rules, *answers, skip_models=True),
+                "full cascade": cascade.settle(rules, *answers, skip_models=False)}
     return evaluate.compare_detectors({name: evaluate.corpus_files(truth).join(
         found.select("file_id", F.size("findings").alias("n_findings")), "file_id").withColumn(
         "error", F.lit(None).cast("string")) for name, found in variants.items()})
@@ -744,12 +782,13 @@ def tier_check(spark, sf):
 
 @query
 def image_texts(spark, sf):
-    """Documents wrapped as image answers: full text, annotation only, or empty."""
+    """Documents wrapped as image answers: full text or annotation only; every seventh answer is empty."""
     full = F.to_json(F.struct(F.struct("text").alias("fullTextAnnotation")))
     first = F.to_json(F.struct(
         F.array(F.struct(F.col("text").alias("description"))).alias("textAnnotations")))
-    answer = F.when(F.col("lang") == "en", full).when(F.col("lang") == "de", first).otherwise("{}")
-    return table(spark, sf, "documents").select(
+    answers = table(spark, sf, "documents").select("doc_id", F.explode(F.array(full, first)).alias("_answer"))
+    answer = F.when((F.col("doc_id") % 7 == 0) & F.col("_answer").startswith('{"full'), "{}").otherwise(F.col("_answer"))
+    return answers.select(
         "doc_id", F.length(media.image_text(answer)).alias("chars"),
         F.md5(media.image_text(answer)).alias("digest"))
 
@@ -821,14 +860,29 @@ def full_scan_findings(spark, sf):
     return _full_scan(spark, sf).findings.select("id", "file_id", "category", "status")
 
 
+def _scan_messages(spark, sf, value: Column, name: str) -> DataFrame:
+    """Documents as messages through the scanner stream, read straight from the given table."""
+    out = scratch_folder(spark, name)
+    documents = table(spark, sf, "documents")
+    rows = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    consumers.start_scanner(rows.select(value.alias("value")), out, f"{out}/checkpoint").awaitTermination()
+    return consumers.read_status(spark, out)
+
+
+def _message(*rest: Column) -> Column:
+    return F.to_json(F.struct(F.col("doc_id").cast("string").alias("file_id"),
+                              F.concat(F.lit("doc "), "doc_id").alias("name"), *rest))
+
+
 @query
 def stream_scan(spark, sf):
     """All documents as messages through the scanner stream; the result equals the batch scan."""
-    out = scratch_folder(spark, "stream-scan")
-    table(spark, sf, "documents").select(F.to_json(F.struct(
-        F.col("doc_id").cast("string").alias("file_id"),
-        F.concat(F.lit("doc "), "doc_id").alias("name"), "text")).alias("value")).repartition(
-        spark.sparkContext.defaultParallelism).write.text(f"{out}/messages")
-    messages = consumers.message_stream(spark, f"{out}/messages", 4)
-    consumers.start_scanner(messages, out, f"{out}/checkpoint").awaitTermination()
-    return consumers.read_status(spark, out).drop("batch_id")
+    return _scan_messages(spark, sf, _message(F.col("text")), "stream-scan").drop("batch_id")
+
+
+@query
+def stream_malformed(spark, sf):
+    """Every fifth message is cut off: it is set aside, the others are scanned."""
+    value = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(_message(F.col("text")))
+    rows = _scan_messages(spark, sf, value, "stream-malformed")
+    return rows.select("file_id", "status_flag")
