@@ -100,7 +100,7 @@ class MergeAutomaton:
 
     def _step(self, key: int) -> bool:
         """Fill in one entry of the table."""
-        if len(self.table) > 500_000:
+        if len(self.table) > 300_000:
             self.table.clear()
         found = self.table[key] = self._arc(key >> 20, key & 0xFFFFF, sys.maxsize)
         return found
@@ -206,11 +206,6 @@ def tokenizer_of(path: str) -> ByteTokenizer:
     return _LOADED[path]
 
 
-def splitter_of(path: str) -> Splitter:
-    with open(path, encoding="utf-8") as file:
-        return Splitter(checked(json.load(file)))
-
-
 def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_tokens`` and ``ids`` (little-endian 32-bit integers)."""
     schema = pa.schema([(id_column, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -220,7 +215,8 @@ def encode_texts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
         return len(ids) // 4, ids
 
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), text_of(text_column).alias("_text"))
-    return rows.mapInArrow(per_row(work, [id_column], schema), f"`{id_column}` long, n_tokens long, ids binary")
+    return rows.mapInArrow(per_row(work, [id_column], schema, at_end=lambda: tokenizer_of(path).memo.forget()),
+                           f"`{id_column}` long, n_tokens long, ids binary")
 
 
 def decode_ids(encoded: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
@@ -249,5 +245,5 @@ def round_trip(docs: DataFrame, path: str, id_column: str = "doc_id", text_colum
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()
 
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), text_of(text_column).alias("_text"))
-    return rows.mapInArrow(per_row(work, [id_column], schema),
+    return rows.mapInArrow(per_row(work, [id_column], schema, at_end=lambda: tokenizer_of(path).memo.forget()),
                            f"`{id_column}` long, n_tokens long, ids_sha256 string, decoded_sha256 string")

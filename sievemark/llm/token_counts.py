@@ -177,6 +177,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_column:
     text = text_of(text_column)
     rows = docs.select(F.col(id_column).cast("long").alias(id_column),
                        F.octet_length(text).cast("long").alias("n_bytes"), text.alias("_text"))
-    counted = rows.mapInArrow(per_row(work, [id_column, "n_bytes"], schema),
+    counted = rows.mapInArrow(per_row(
+        work, [id_column, "n_bytes"], schema, at_end=lambda: counter_of(model_path).memo.forget()),
                               f"`{id_column}` long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

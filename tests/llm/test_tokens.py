@@ -94,6 +94,12 @@ def test_empty_tables(spark):
     assert id_blocks.read_ids(spark, folder).count() == 0
 
 
+def test_file_encoder_agrees(library):
+    some = texts() + [f"a{chr(i)} {chr(i)}b" for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    encode = id_blocks.encoder_of(BYTES).encode
+    assert [encode(t) for t in some] == ids_of(library, some)
+
+
 @pytest.mark.parametrize("ids", [
     [0], [7] * 5000, list(range(5000)), [0, 2**32 - 1] * 3, [3] * 99 + [50_000], [1] * 300 + [2**20] * 2 + [5] * 4000])
 def test_blocks_keep_all_ids(ids):
