@@ -215,18 +215,19 @@ def flagged_per_responsible(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 def scan_run(results: DataFrame, run_id: str, scan_type: str, started_at: float,
              finished_at: float) -> DataFrame:
-    """The record of one run over (skipped, size_bytes, n_findings) rows, in one pass."""
-    scanned = ~F.col("skipped")
+    """The record of one run over (skipped, failed, size_bytes, n_findings) rows, in one pass."""
+    scanned = ~F.col("skipped") & ~F.col("failed")
     return results.agg(
         F.count_if(scanned).alias("files_scanned"),
         F.coalesce(F.sum(F.when(scanned, F.col("size_bytes"))), F.lit(0)).alias("bytes_scanned"),
         F.count_if(scanned & (F.col("n_findings") > 0)).alias("files_flagged"),
         F.count_if(F.col("skipped")).alias("files_skipped"),
+        F.count_if(F.col("failed")).alias("files_failed"),
     ).select(
         F.lit(run_id).alias("id"), F.lit(scan_type).alias("type"),
         F.lit(float(started_at)).alias("started_at"),
         F.lit(float(finished_at)).alias("finished_at"),
-        "files_scanned", "bytes_scanned", "files_flagged", "files_skipped",
+        "files_scanned", "bytes_scanned", "files_flagged", "files_skipped", "files_failed",
         F.lit("done").alias("status"), F.lit(100.0).alias("progress_pct"))
 
 

@@ -39,8 +39,8 @@ def resolve_ownership(files: DataFrame, users: DataFrame) -> DataFrame:
 
     A personal file goes to the employee named in it, else to the first employee; a shared file
     goes to its steward, else to the first employee. The fallback employee and the stewards
-    present are scalar subqueries. Files without a usable name get a key of their own, and a
-    name found in very many files is salted, so neither piles up on one join key.
+    present are scalar subqueries. Files without a usable name get a key of their own; a name found
+    in very many files is left to the skew handling of adaptive execution.
     """
     employees = users.filter(F.col("role") == "employee")
     first = employees.agg(F.min_by("id", F.struct("name", "id"))).scalar()

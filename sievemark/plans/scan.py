@@ -11,8 +11,8 @@ from sievemark.fixed_values import SCAN_EXTENSIONS
 from sievemark.functions.governance import file_id
 from sievemark.functions.rules import explode_findings
 from sievemark.functions.spans import with_form_findings
-from sievemark.operators import kpis, ownership, registry
-from sievemark.session import cut_lineage
+from sievemark.operators import cascade, kpis, ownership, registry
+from sievemark.session import cut_lineage, written
 from sievemark.sources.files import list_files, read_texts, split_errors, texts_of
 
 
@@ -20,6 +20,8 @@ class ScanResult(NamedTuple):
     files: DataFrame
     findings: DataFrame
     run: DataFrame
+    errors: DataFrame
+    verdicts: DataFrame | None = None
 
 
 def detect(texts: DataFrame) -> DataFrame:
@@ -35,26 +37,46 @@ def detect(texts: DataFrame) -> DataFrame:
 
 def apply_scan(detected: DataFrame, skipped: DataFrame, files: DataFrame, findings: DataFrame,
                users: DataFrame, run_id: str, scan_type: str, started_at: float,
-               finished_at: float) -> ScanResult:
-    """Next versions of the files and findings tables, and the run's record."""
+               finished_at: float, failed: DataFrame | None = None,
+               scorer: cascade.Scorer | None = None, verdicts: DataFrame | None = None) -> ScanResult:
+    """Next versions of the files and findings tables, the run's record, and the unreadable files.
+
+    ``failed`` holds (path, size_bytes, error). With a ``scorer``, findings of low confidence are
+    scored once per category and snippet; ``verdicts`` is the cache so far, its next version comes back.
+    """
+    if failed is None:
+        failed = detected.limit(0).select("path", "size_bytes", F.lit("").alias("error"))
     owned = ownership.resolve_ownership(detected.drop("findings"), users)
     next_files = registry.mark_scanned(
         registry.upsert_files(files, owned), detected.select("id"), finished_at)
     rows = explode_findings(detected.withColumnRenamed("id", "file_id"), ["file_id"])
+    if scorer:
+        if verdicts is None:
+            verdicts = rows.limit(0).select(F.lit("").alias("key"), F.lit(0.0).alias("verdict"))
+        verdicts = written(cascade.updated_cache(rows, verdicts, scorer), "verdicts")
+        rows = cascade.escalate(rows, verdicts, ["file_id", "start"])
     next_findings = registry.replace_findings(
         findings, registry.stored_findings(rows, finished_at),
         detected.select(F.col("id").alias("file_id")))
-    seen = detected.select(F.lit(False).alias("skipped"), "size_bytes",
-                           F.size("findings").alias("n_findings")).unionByName(
-        skipped.select(F.lit(True).alias("skipped"), "size_bytes", F.lit(0).alias("n_findings")))
-    run = kpis.scan_run(seen, run_id, scan_type, started_at, finished_at)
-    return ScanResult(next_files, next_findings, run)
+
+    def seen(frame: DataFrame, is_skipped: bool, is_failed: bool, n: Column) -> DataFrame:
+        return frame.select(F.lit(is_skipped).alias("skipped"), F.lit(is_failed).alias("failed"),
+                            "size_bytes", n.alias("n_findings"))
+
+    every = seen(detected, False, False, F.size("findings")).unionByName(
+        seen(skipped, True, False, F.lit(0))).unionByName(seen(failed, False, True, F.lit(0)))
+    run = kpis.scan_run(every, run_id, scan_type, started_at, finished_at)
+    return ScanResult(next_files, next_findings, run, failed, verdicts)
 
 
 def scan_folder(spark: SparkSession, root: str, files: DataFrame, findings: DataFrame,
                 users: DataFrame, run_id: str, started_at: float, finished_at: float,
-                scan_type: str = "full") -> ScanResult:
-    """Scan a folder tree. A delta scan decides on metadata and opens only changed files."""
+                scan_type: str = "full", scorer: cascade.Scorer | None = None,
+                verdicts: DataFrame | None = None) -> ScanResult:
+    """Scan a folder tree. A delta scan decides on metadata and opens only changed files.
+
+    Files that cannot be read are handed back in ``errors`` and counted in the run.
+    """
     if scan_type == "delta":
         chosen = registry.delta_selection(list_files(spark, root, SCAN_EXTENSIONS), files)
         texts = texts_of(chosen.filter(~F.col("skipped")))
@@ -62,9 +84,10 @@ def scan_folder(spark: SparkSession, root: str, files: DataFrame, findings: Data
     else:
         texts = read_texts(spark, root, SCAN_EXTENSIONS)
         skipped = list_files(spark, root, SCAN_EXTENSIONS).limit(0)
-    readable, _ = split_errors(texts)
+    readable, failed = split_errors(texts)
+    failed = written(failed.select("path", "size_bytes", "error"), "scan-errors")
     return apply_scan(detect(readable), skipped, files, findings, users, run_id, scan_type,
-                      started_at, finished_at)
+                      started_at, finished_at, failed, scorer, verdicts)
 
 
 def drive_workflow(known: DataFrame, listing: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:

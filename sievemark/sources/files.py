@@ -122,6 +122,37 @@ def texts_of(files: DataFrame) -> DataFrame:
     return rows.repartition(tasks, "path").mapInPandas(_open_and_parse, _TEXT)
 
 
+def _parse_contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        rows, held = [], 0
+        for path, ending, content in frame.itertuples(index=False):
+            text = error = None
+            try:
+                text = PARSERS[ending](bytes(content))
+            except Exception as problem:  # a bad file must not end the run
+                error = f"{type(problem).__name__}: {problem}"
+            rows.append((path, text, error))
+            held += len(text or "")
+            if held > _BATCH_CHARS:
+                yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+
+
+def texts_of_contents(files: DataFrame) -> DataFrame:
+    """(path, content) rows, from a table or a reader, to (path, text, error); nothing is opened here."""
+    rows = files.select("path", suffix(base_name(F.col("path"))).alias("ending"), "content")
+    none = F.lit(None).cast("string")
+    plain = rows.filter(F.col("ending").isin(*TEXT_EXTENSIONS)).select(
+        "path", decode_text(F.col("content")).alias("text"), none.alias("error"))
+    parsed = rows.filter(F.col("ending").isin(*PARSED_EXTENSIONS)).mapInPandas(
+        _parse_contents, "path string, text string, error string")
+    other = rows.filter(~F.col("ending").isin(*TEXT_EXTENSIONS, *PARSED_EXTENSIONS)).select(
+        "path", none.alias("text"), F.concat(F.lit("unsupported file type: "), "ending").alias("error"))
+    return plain.unionByName(parsed).unionByName(other)
+
+
 def split_errors(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Readable rows, and the failed ones with their error."""
     return (texts.filter(F.col("error").isNull()).drop("error"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sievemark.operators.cascade import primary_category, rule_findings
-from sievemark.operators.registry import apply_status
+from sievemark.operators.registry import apply_status, latest_by
 
 TEXT_MESSAGE = "file_id string, name string, text string"
 EXTRACTION_MESSAGE = "file_id string, name string, mime_type string"
@@ -103,3 +103,13 @@ def read_status(spark: SparkSession, out: str) -> DataFrame:
 def current_registry(registry: DataFrame, status: DataFrame, now: Column) -> DataFrame:
     """The registry with the last status of every file; unknown files are ignored."""
     return apply_status(registry, status.drop("name"), now, ["batch_id"])
+
+
+def rejected(spark: SparkSession, out: str) -> DataFrame:
+    """The messages set aside so far, for repair and another delivery."""
+    return spark.read.option("recursiveFileLookup", "true").text(f"{out}/bad")
+
+
+def compact_status(spark: SparkSession, out: str, folder: str) -> None:
+    """Write the last status of every file to ``folder``; the log of small batches can go then."""
+    latest_by(read_status(spark, out), "file_id", ["batch_id"]).write.mode("overwrite").parquet(folder)

@@ -765,8 +765,25 @@ ORACLE["full_scan_run"] = _with("forms", f"""
 SELECT 'run1' AS id, 'full' AS type, CAST({NOW} AS DOUBLE) AS started_at,
     CAST({NOW + 60} AS DOUBLE) AS finished_at, count(*) AS files_scanned,
     CAST(sum(strlen(text)) AS BIGINT) AS bytes_scanned, (SELECT count(*) FROM f) AS files_flagged,
-    CAST(0 AS BIGINT) AS files_skipped, 'done' AS status, CAST(100 AS DOUBLE) AS progress_pct
+    CAST(0 AS BIGINT) AS files_skipped, (SELECT count(*) FROM customer) AS files_failed,
+    'done' AS status, CAST(100 AS DOUBLE) AS progress_pct
 FROM forms""")
+ORACLE["full_scan_errors"] = "SELECT 'unsupported file type: .pdf' AS error, count(*) AS files FROM customer"
+ORACLE["full_scan_escalated"] = _with("forms", f"""
+SELECT substring(sha256(substring(sha256(path), 1, 16) || ':' || category || ':' || start), 1, 16) AS id,
+    round(CASE WHEN confidence < 0.75 AND length(snippet) > 9 THEN 0.9
+        WHEN confidence < 0.75 AND length(snippet) > 8 THEN 1.0 ELSE confidence END, 6) AS confidence,
+    CASE WHEN confidence < 0.75 AND length(snippet) > 8 THEN 'llm' ELSE 'regex' END AS detector
+FROM ({_resolved('forms', 'path')}) AS s""")
+ORACLE["plain_texts"] = """
+SELECT '/in/doc_' || doc_id || '.txt' AS path, md5(text || chr(65533)) AS digest FROM documents WHERE doc_id % 4 = 0"""
+ORACLE["csv_texts"] = """
+SELECT '/in/doc_' || doc_id || '.csv' AS path, md5('id' || chr(9) || 'text' || chr(10) || doc_id || chr(9) || text)
+    AS digest FROM documents WHERE doc_id % 4 = 1"""
+ORACLE["ingest_errors"] = """
+SELECT '/in/doc_' || doc_id || CASE doc_id % 4 WHEN 2 THEN '.docx' ELSE '.XYZ' END AS path,
+    CASE doc_id % 4 WHEN 2 THEN 'BadZipFile: File is not a zip file' ELSE 'unsupported file type: .xyz' END AS error
+FROM documents WHERE doc_id % 4 > 1"""
 ORACLE["full_scan_files"] = _with("forms", f"""
 SELECT {_SOURCE} AS source_type, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
     count(*) FILTER (WHERE {_SOURCE} = 'onedrive') AS owned,
@@ -785,5 +802,12 @@ SELECT CAST(d.doc_id AS VARCHAR) AS file_id, CASE WHEN f.doc_id IS NULL THEN 'no
 FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_DOC_ROWS}) AS g) AS f ON f.doc_id = d.doc_id
 WHERE d.doc_id % 5 <> 0"""
 
+ORACLE["stream_redelivery"] = ORACLE["stream_malformed"].replace("WHERE d.doc_id % 5 <> 0", "")
+ORACLE["stream_duplicates_registry"] = f"""
+SELECT file_id, status_flag, pii_category FROM ({ORACLE["stream_scan"]}) AS s"""
+ORACLE["stream_extraction"] = """
+SELECT CAST(doc_id AS VARCHAR) AS file_id, CASE WHEN doc_id % 6 = 0 THEN 'lost' ELSE md5(text) END AS digest
+FROM documents"""
+
 # ``_with`` is written in front of bodies that go on with further named relations.
 ORACLE = {name: sql.replace(") \n,", "),").replace(") ,", "),") for name, sql in ORACLE.items()}

@@ -18,7 +18,7 @@ from sievemark.operators import cascade, evaluate, kpis, ownership, registry, re
 from sievemark.plans import scan
 from sievemark.session import scratch_folder, written
 from sievemark.sources import media
-from sievemark.sources.files import page_texts
+from sievemark.sources.files import page_texts, split_errors, texts_of_contents
 from sievemark.streaming import consumers
 from workload.derived import relation, table
 
@@ -833,12 +833,16 @@ def _empty_store(spark, sf) -> tuple[DataFrame, DataFrame]:
     return files, findings
 
 
-def _full_scan(spark, sf) -> scan.ScanResult:
+def _full_scan(spark, sf, **options) -> scan.ScanResult:
     texts = _form_files(spark, sf)
     files, findings = _empty_store(spark, sf)
     skipped = texts.select("size_bytes").limit(0)
-    return scan.apply_scan(scan.detect(texts), skipped, files, findings,
-                           relation(spark, sf, "users"), "run1", "full", NOW, NOW + 60)
+    # Every customer has a file that cannot be read.
+    failed = table(spark, sf, "customer").select(
+        F.concat(F.lit("/share/lost/"), "c_custkey", F.lit(".pdf")).alias("path"),
+        F.lit(7).cast("bigint").alias("size_bytes"), F.lit("unsupported file type: .pdf").alias("error"))
+    return scan.apply_scan(scan.detect(texts), skipped, files, findings, relation(spark, sf, "users"),
+                           "run1", "full", NOW, NOW + 60, failed, **options)
 
 
 @query
@@ -860,6 +864,46 @@ def full_scan_findings(spark, sf):
     return _full_scan(spark, sf).findings.select("id", "file_id", "category", "status")
 
 
+@query
+def full_scan_escalated(spark, sf):
+    """Findings of a scan whose unsure ones were scored by the rule that stands in for a model."""
+    found = _full_scan(spark, sf, scorer=_length_scorer).findings
+    return found.select("id", F.round("confidence", 6).alias("confidence"), "detector")
+
+
+@query
+def full_scan_errors(spark, sf):
+    return _full_scan(spark, sf).errors.groupBy("error").agg(F.count("*").alias("files"))
+
+
+def _contents(spark, sf) -> DataFrame:
+    """Documents as files: text with foreign line ends and a broken byte, tables, broken and unknown kinds."""
+    kind = F.col("doc_id") % 4
+    lines = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    cells = F.concat(F.lit("id,text\r\n"), "doc_id", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\r\n'))
+    content = F.when(kind == 0, F.concat(lines.cast("binary"), F.unhex(F.lit("FF")))).when(
+        kind == 1, cells.cast("binary")).otherwise(F.col("text").cast("binary"))
+    ending = F.when(kind == 0, ".txt").when(kind == 1, ".csv").when(kind == 2, ".docx").otherwise(".XYZ")
+    return table(spark, sf, "documents").select(
+        F.concat(F.lit("/in/doc_"), "doc_id", ending).alias("path"), content.alias("content"))
+
+
+def _ingested(ending: str) -> Query:
+    def run(spark, sf):
+        rows = texts_of_contents(_contents(spark, sf)).filter(F.col("path").endswith(ending))
+        return rows.select("path", F.md5("text").alias("digest"))
+    return run
+
+
+QUERIES["plain_texts"], QUERIES["csv_texts"] = _ingested(".txt"), _ingested(".csv")
+
+
+@query
+def ingest_errors(spark, sf):
+    _, failed = split_errors(texts_of_contents(_contents(spark, sf)))
+    return failed.select("path", "error")
+
+
 def _scan_messages(spark, sf, value: Column, name: str) -> DataFrame:
     """Documents as messages through the scanner stream, read straight from the given table."""
     out = scratch_folder(spark, name)
@@ -886,3 +930,51 @@ def stream_malformed(spark, sf):
     value = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(_message(F.col("text")))
     rows = _scan_messages(spark, sf, value, "stream-malformed")
     return rows.select("file_id", "status_flag")
+
+
+@query
+def stream_duplicates_registry(spark, sf):
+    """Every message is delivered twice; the registry holds each file once, with its last status."""
+    documents = table(spark, sf, "documents")
+    twice = F.explode(F.array(_message(F.col("text")), _message(F.col("text"))))
+    status = _scan_messages(spark, sf, twice, "stream-twice")
+    known = documents.select(*[
+        (F.col("doc_id").cast("string") if c == "file_id" else F.lit(None).cast("string")).alias(c)
+        for c in registry.REGISTRY_COLUMNS])
+    rows = consumers.current_registry(known, status, F.lit("now"))
+    return rows.select("file_id", "status_flag", "pii_category")
+
+
+@query
+def stream_redelivery(spark, sf):
+    """Every fifth message arrives with a stray bracket, is set aside, repaired and delivered again."""
+    whole = _message(F.col("text"))
+    first = scratch_folder(spark, "stream-first")
+    rows = spark.readStream.schema(table(spark, sf, "documents").schema).option(
+        "pathGlobFilter", "documents*.parquet").parquet(sf)
+    value = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("["), whole)).otherwise(whole)
+    consumers.start_scanner(rows.select(value.alias("value")), first, f"{first}/checkpoint").awaitTermination()
+    again = scratch_folder(spark, "stream-again")
+    consumers.rejected(spark, first).select(F.substring("value", 2, 2**31 - 1).alias("value")).write.text(f"{again}/in")
+    consumers.start_scanner(consumers.message_stream(spark, f"{again}/in"), again, f"{again}/checkpoint").awaitTermination()
+    consumers.compact_status(spark, again, f"{again}/compact")
+    done = consumers.read_status(spark, first).select("file_id", "status_flag")
+    return done.unionByName(spark.read.parquet(f"{again}/compact").select("file_id", "status_flag"))
+
+
+@query
+def stream_extraction(spark, sf):
+    """Files announced by name and type become text messages; every sixth cannot be extracted."""
+    documents = table(spark, sf, "documents")
+    out = scratch_folder(spark, "stream-extraction")
+    contents = documents.filter(F.col("doc_id") % 6 != 0).select(F.col("doc_id").cast("string").alias("file_id"), "text")
+    rows = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    consumers.start_extraction(
+        rows.select(_message(F.lit("text/plain").alias("mime_type")).alias("value")),
+        lambda messages: messages.join(contents, "file_id", "left"), out, f"{out}/checkpoint").awaitTermination()
+    sent = spark.read.option("recursiveFileLookup", "true").text(f"{out}/text")
+    message = F.from_json("value", "file_id string, text string")
+    done = sent.select(message["file_id"].alias("file_id"), F.md5(message["text"]).alias("digest"))
+    lost = consumers.rejected(spark, out).select(
+        F.from_json("value", "file_id string")["file_id"].alias("file_id"), F.lit("lost").alias("digest"))
+    return done.unionByName(lost)
