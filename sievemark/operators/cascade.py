@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
+from sievemark.functions.governance import clamp
 from sievemark.functions.rules import with_document_findings
 from sievemark.functions.strings import to_java
 
@@ -322,7 +323,7 @@ def verdict_key(category: Column, snippet: Column) -> Column:
 def parse_score(reply: Column) -> Column:
     """The first 0..1 number in a model's reply, clamped; NULL without one."""
     number = F.nullif(F.regexp_extract(reply, r"[01](?:\.\d+)?", 0), F.lit("")).try_cast("double")
-    return F.when(number.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    return F.when(number.isNotNull(), clamp(number, F.lit(0.0), F.lit(1.0)))
 
 
 def unscored(findings: DataFrame, cache: DataFrame) -> DataFrame:

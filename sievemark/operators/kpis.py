@@ -68,6 +68,14 @@ def owner_exists(registry: DataFrame, owner: str) -> bool:
     return not registry.filter(F.col("owner") == owner).isEmpty()
 
 
+def owner_states(registry: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each asked ``owner``: unknown, known without flagged files, or with flagged files."""
+    known = registry.groupBy("owner").agg(F.count_if(_flagged()).alias("_n"))
+    rows = asked.select("owner").distinct().join(known, "owner", "left")
+    return rows.select("owner", F.when(F.col("_n").isNull(), "unknown").when(
+        F.col("_n") == 0, "empty").otherwise("flagged").alias("state"))
+
+
 def owner_files(registry: DataFrame, owner: str | None = None) -> DataFrame:
     """Flagged files as the owner sees them, newest first; all owners when none is named."""
     rows = registry.filter(F.col("status_flag") == "flagged")

@@ -386,6 +386,11 @@ _UPSERTED = f"""SELECT coalesce(r.file_id, l.file_id) AS file_id,
     r.status_flag, r.detection_stage, r.pii_category, r.user_action
     FROM registry AS r FULL JOIN ({_LISTED}) AS l ON r.file_id = l.file_id"""
 ORACLE["registry_upsert"] = _with("registry listing", _UPSERTED)
+ORACLE["owner_states"] = _with("registry listing", f"""
+, asked AS (SELECT owner FROM ({_LISTED}) AS l UNION SELECT owner FROM registry),
+n AS (SELECT owner, count(*) FILTER (WHERE status_flag = 'flagged') AS n FROM registry GROUP BY owner)
+SELECT asked.owner, CASE WHEN n IS NULL THEN 'unknown' WHEN n = 0 THEN 'empty' ELSE 'flagged' END AS state
+FROM asked LEFT JOIN n ON n.owner = asked.owner WHERE asked.owner <> ''""")
 ORACLE["unchecked_files"] = _with("registry listing", f"""
 SELECT l.file_id, '{{"file_id":"' || l.file_id || '","name":"' || l.name || '","mime_type":"'
     || l.mime_type || '"}}' AS value
@@ -471,6 +476,7 @@ ORACLE["one_person_files"] = _with("files findings", f"""
 , {_PER_FILE} SELECT id, path, last_modified, n_findings, categories
 FROM files JOIN per_file ON id = file_id
 WHERE owner_user_id = 'u0' OR master_of_data_user_id = 'u0'""")
+ORACLE["one_person_files_oldest_first"] = ORACLE["one_person_files"]
 ORACLE["source_breakdown"] = _with("files findings", f"""
 , {_PER_FILE} SELECT source_type, count(*) AS n_files,
     CAST(coalesce(sum(n_findings), 0) AS BIGINT) AS n_findings,
@@ -568,6 +574,9 @@ ORACLE["file_list"] = _with("files findings", f"""
     {_NAME.format(r='risk_rank')} AS priority, n_findings
 FROM files JOIN risk ON id = file_id
 WHERE risk_rank < 2 AND contains(lower(regexp_extract(path, '[^/]*$')), 'it_access')""")
+ORACLE["file_list_by_risk"] = ORACLE["file_list_by_findings"] = _with("files findings", f"""
+, {_RISK} SELECT id, regexp_extract(path, '[^/]*$') AS name,
+    {_NAME.format(r='risk_rank')} AS priority, n_findings FROM files JOIN risk ON id = file_id""")
 ORACLE["visible_findings"] = _with(
     "findings", "SELECT id, file_id, category, confidence FROM findings WHERE confidence >= 0.8")
 ORACLE["api_findings"] = _with("registry", f"""

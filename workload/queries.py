@@ -258,6 +258,14 @@ def one_owner_flagged_files(spark, sf):
         "finding_categories", _joined("finding_categories"))
 
 
+@query
+def owner_states(spark, sf):
+    """Asked are all owners of new files: some have files already, some do not."""
+    asked = registry.ingest_listing(_raw_listing(spark, sf)).select("owner").union(
+        _registry(spark, sf).select("owner")).filter("owner <> ''")
+    return kpis.owner_states(_registry(spark, sf), asked)
+
+
 @query
 def clean_owners(spark, sf):
     return kpis.clean_owners(_registry(spark, sf))
@@ -453,6 +461,12 @@ def one_person_files(spark, sf):
     return rows.select("id", "path", "last_modified", "n_findings", "categories")
 
 
+@query
+def one_person_files_oldest_first(spark, sf):
+    rows = ownership.files_for_user(relation(spark, sf, "files"), relation(spark, sf, "findings"), "u0")
+    return rows.select("id", "path", "last_modified", "n_findings", "categories")
+
+
 @query
 def source_breakdown(spark, sf):
     return ownership.source_breakdown(relation(spark, sf, "files"), relation(spark, sf, "findings"))
@@ -556,6 +570,16 @@ def file_list(spark, sf):
     return rows.select("id", "name", "priority", "n_findings")
 
 
+def _listed(sort: str) -> Query:
+    def run(spark, sf):
+        rows = review.file_list(relation(spark, sf, "files"), relation(spark, sf, "findings"), sort=sort)
+        return rows.select("id", "name", "priority", "n_findings")
+    return run
+
+
+QUERIES["file_list_by_risk"], QUERIES["file_list_by_findings"] = _listed("risk"), _listed("findings")
+
+
 @query
 def visible_findings(spark, sf):
     return review.visible_findings(relation(spark, sf, "findings"), 0.8).select(
