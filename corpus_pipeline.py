@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemark.llm import bpe, exact_dedup, near_dedup, source_mix, toxicity
-from sievemark.llm.frames import table, written
+from sievemark.llm.frames import small_batches, table, written
 from sievemark.llm.queries import toxicity_model
 
 #: Not expressible in SQL (the toxicity model); tested against a plain version instead.
@@ -17,6 +17,7 @@ ORACLE_SQL = None
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model takes for toxic go."""
+    small_batches(spark)
     return toxicity.without_toxic(docs, toxicity_model(spark, docs, sf_dir))
 
 

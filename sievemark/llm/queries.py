@@ -7,49 +7,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import bpe, exact_dedup, id_blocks, language_model, near_dedup, source_mix, token_counts, top_k, toxicity, url_filter
-from sievemark.llm.frames import crc_of, table
+from sievemark.llm.frames import crc_of, small_batches, table
 from sievemark.session import scratch_folder
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     """Learned from the labels of ids that are not held out."""
     return toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_of("doc_id") % 4 != 2)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", (crc_of("doc_id") % 4 == 2).alias("held_out"), "score", "predicted")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+        documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = crc_of("doc_id") % 5 == 1
-    scored = language_model.score_texts(table(spark, sf_dir, "documents"), ~held_out)
+    scored = language_model.score_texts(documents(spark, sf_dir), ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score",
                          "score", "perplexity")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.find_copies(table(spark, sf_dir, "documents")).drop("in_history")
+    return exact_dedup.find_copies(documents(spark, sf_dir)).drop("in_history")
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(table(spark, sf_dir, "documents"))
+    return source_mix.mix(documents(spark, sf_dir))
 
 
 def op7_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "ids")
     id_blocks.write_ids(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+        documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), folder)
     return id_blocks.read_ids(spark, folder).drop("ids")
 
 
@@ -66,7 +71,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.group_near_copies(table(spark, sf_dir, "documents"))
+    return near_dedup.group_near_copies(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (

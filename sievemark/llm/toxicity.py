@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.frames import per_row, text_of
+from sievemark.llm.frames import per_row, text_of, tidy
 
-SAMPLE, TERMS, LEAST_CHI = 20_000, 4096, 33.0
+SAMPLE, TERMS, LEAST_CHI = 20_000, 4096, 45.0
 #: A term must occur in so many examples, and in one of so many.
 LEAST_DOCS, LEAST_PART = 4, 400
 BLOCK, NEIGHBOURS = 64, 16
@@ -199,11 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     known = (labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).where(may_learn)
              .groupBy(F.col(id_column).cast("long").alias("_id"))
              .agg(F.max((F.col(label_column) == 1).cast("int")).alias("_toxic"))
-             .withColumn("_order", F.xxhash64("_id", F.lit(1))).orderBy("_order", "_id").limit(sample))
+             .withColumn("_order", F.xxhash64("_id", F.lit(1))))
+    # Hashes are even, so a bound on them leaves about twice the sample to be ordered.
+    part = min(1.0, 2 * sample / max(known.count(), 1))
+    known = known.where(F.col("_order") <= min((1 << 63) - 1, int(part * (1 << 64)) - (1 << 63))).orderBy("_order", "_id").limit(sample)
     drawn = spark.createDataFrame(known.toArrow())  # at most ``sample`` rows
     text = text_of(text_column).alias("_text")
     texts = (docs.select(F.col(id_column).cast("long").alias("_id"), text)
-             .join(F.broadcast(drawn), "_id").select("_id", "_text", "_toxic", "_order"))
+             .join(F.broadcast(drawn), "_id").select("_id", "_text", "_toxic", "_order")
+             .dropDuplicates(["_text", "_toxic"]))  # copies would lend their words too much weight
     example = F.pmod(F.col("_order"), F.lit(5)) != 0
     n = {r[0]: r[1] for r in drawn.where(example).groupBy("_toxic").count().collect()}
     toxic, other = n.get(1, 0), n.get(0, 0)
@@ -211,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     chi = ((toxic + other) * F.pow(a * other - b * toxic, 2)
            / ((a + b) * (toxic + other - a - b + 1) * F.lit(float(max(toxic * other, 1)))))
     chosen = (texts.where(example).select("_id", "_text", "_toxic")
-              .mapInArrow(_term_counts, "term binary, toxic long, other long")
+              .mapInArrow(tidy(_term_counts), "term binary, toxic long, other long")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
               .where(F.col("toxic") + F.col("other") >= max(LEAST_DOCS, (toxic + other) / LEAST_PART)).where(a * other > b * toxic)
               .withColumn("_chi", chi).where(F.col("_chi") >= LEAST_CHI)
@@ -229,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(terms)), -1)),
                                           pa.array(np.append(counts, rows))], names=["term", "docs"])
 
-    counted = dict(docs.select(text).mapInArrow(frequencies, "term long, docs long")
+    counted = dict(docs.select(text).mapInArrow(tidy(frequencies), "term long, docs long")
                    .groupBy("term").agg(F.sum("docs")).collect())
     all_docs = counted.get(-1, 0)
     idf = np.array([np.log((1 + all_docs) / (1 + counted.get(t, 0))) + 1 for t in range(len(terms))])
@@ -278,4 +282,4 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
             low = [shared.value.score(value.as_py() or "")[0] < threshold for value in batch.column(at)]
             yield batch.filter(pa.array(low, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
