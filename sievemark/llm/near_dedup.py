@@ -12,8 +12,9 @@
    compared with the pivot: exact intersection of the full sets. That gives links, and components.
 4. The rest. Two members of a list can be linked though not both are linked with the pivot. Of members in
    different components, those are compared whose sets can be similar enough: what both share with the
-   pivot is at most the smaller of the two shares, and what they share beyond it is counted, in full, by
-   inverted lists over the shingles that the pivot lacks. Such pairs pass the union-sketch estimate (the
+   pivot is at most the smaller of the two shares, so they must share a number of shingles that the pivot
+   lacks. Inverted lists over these, again with only the rarest as far as that number demands, bring such
+   pairs together, and what they share beyond the pivot is counted in full. Such pairs pass the union-sketch estimate (the
    part of the union's smallest values that both hold, at least ``LEAST_ESTIMATE``: six deviations below
    0.75) and are then verified on the full sets.
 5. Connected components of all links.
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.frames import Memo, text_of, words_of, written
+from sievemark.llm.frames import Memo, text_of, tidy, words_of, written
 
 SHINGLE, SKETCH = 5, 96
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
@@ -99,7 +100,7 @@ def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
                     _lists([s[:SKETCH] for s in sets])], schema=schema)
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_of(text_column).alias("_text"))
-    return rows.mapInArrow(run, "doc_id long, n long, key binary, sketch array<bigint>")
+    return rows.mapInArrow(tidy(run), "doc_id long, n long, key binary, sketch array<bigint>")
 
 
 def list_entries(classes: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str)
 
     own = F.col(id_column).cast("long")
     rows = docs.where(own.isNotNull()).select(own.alias("x"), place(own).alias("_at"), text_of(text_column).alias("_t"))
-    return rows.mapInArrow(run, "x long, set array<bigint>").join(ids.select("x"), "x", "left_semi")
+    return rows.mapInArrow(tidy(run), "x long, set array<bigint>").join(ids.select("x"), "x", "left_semi")
 
 
 def linked(inter: Column, first: Column, second: Column) -> Column:
@@ -201,14 +202,26 @@ def other_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
     reach = lambda most: (UNDER + OVER) * most >= OVER * (F.col("nxa") + F.col("nxb"))
     close = [s.where((UNDER * F.col(f"i{k}") >= OVER * F.col(f"nx{k}"))) for s, k in zip(sides, "ab", strict=True)]
     without = (close[0].join(close[1], "p").where(differ & reach(F.least("ia", "ib")))).select("xa", "xb")
-    beyond = members.select("p", "x", "nx", "i", "c", F.explode("beyond").alias("value"))
-    both = (beyond.groupBy("p", "value").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"))
-            .where("_lo < _hi").select("p", "value"))
-    beyond = beyond.join(both, ["p", "value"])
-    more = [beyond.select("p", "value", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "i", "c")]) for s in "ab"]
-    counted = (more[0].join(more[1], ["p", "value"]).where(differ)
-               .groupBy("p", "xa", "xb", "nxa", "nxb", "ia", "ib").agg(F.count("*").alias("_shared")))
-    with_more = counted.where(reach(F.least("ia", "ib") + F.col("_shared"))).select("xa", "xb")
+    # A partner of x has 0.75 of its size or more, so beyond the pivot both share ``need`` values at least.
+    # With the values of a star in one order, rare ones first, such a pair meets in the first entries.
+    beyond = members.select("p", "x", "c", "nx", "i", F.explode("beyond").alias("value"))
+    both = (beyond.groupBy("p", "value").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("held"))
+            .where("_lo < _hi").select("p", "value", "held"))
+    need = F.greatest(F.lit(1), F.ceil((OVER * F.col("nx") - UNDER * F.col("i")) / F.lit(UNDER)))
+    first = (beyond.join(both, ["p", "value"]).groupBy("p", "x", "c", "nx", "i")
+             .agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("_values"))
+             .withColumn("_left", (F.size("_values") - need + 1).cast("int")).where("_left > 0")
+             .select("p", "x", "c", "nx", "i", F.size("_values").alias("_all"),
+                     F.posexplode(F.slice("_values", 1, F.col("_left"))).alias("_at", "_v"))
+             .select("p", "x", "c", "nx", "i", (F.col("_all") - F.col("_at")).alias("rest"), F.col("_v.value").alias("value")))
+    entry = [first.select("p", "value", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "c", "i", "rest")]) for s in "ab"]
+    # Where a pair first meets, it can share no more than the values from there on.
+    able = reach(F.least("ia", "ib") + F.least("resta", "restb"))
+    met = entry[0].join(entry[1], ["p", "value"]).where(differ & able).select("p", "xa", "xb").distinct()
+    whole = [members.select("p", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "i", "beyond")]) for s in "ab"]
+    shared = F.size(F.array_intersect("beyonda", "beyondb"))
+    with_more = (met.join(whole[0], ["p", "xa"]).join(whole[1], ["p", "xb"])
+                 .where(reach(F.least("ia", "ib") + shared)).select("xa", "xb"))
     return without.unionByName(with_more).distinct().select(F.col("xa").alias("x"), F.col("xb").alias("p"))
 
 
