@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from sievemark import fixed_values as V
 from workload.derived import RELATIONS
-from workload.forms_sql import FORMS
 
 ORACLE: dict[str, str] = {}
 NOW = 1_700_000_000.0
