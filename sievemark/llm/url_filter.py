@@ -5,9 +5,13 @@ comes from the link graph between hosts: hosts of which most pages are allowed b
 seeds, those of which most are blocked are distrusted seeds. Personalised PageRank carries trust from
 the trusted seeds along links, and distrust from the distrusted seeds against them (who links to a bad
 host is suspect). Both are computed together, round by round, until the ranks change by less than
-``TOLERANCE`` in sum; a host is blocked if its distrust exceeds ``threshold`` times its trust and
-``least`` times the mean distrust of the seeds (so that a host is not blocked for what lies far behind
-its links).
+``TOLERANCE`` in sum; a host whose distrust exceeds ``threshold`` times its trust is suspect.
+
+How much distrust reaches a host also depends on how many others link to the same hosts, so its height
+says nothing by itself. What counts is the host's own exposure: the chance that a walk along its links,
+which goes on with probability ``DAMPING`` and ends at hosts that are not suspect, comes to a distrusted
+seed. A suspect host is blocked if its exposure is over ``least`` (so that a host is not blocked for what
+lies far behind its links).
 
 Links are counted per pair of hosts before they are joined, so a host with a third of all pages is few
 rows. Ranks are written to the shared folder every few rounds, which cuts the lineage.
@@ -92,6 +96,31 @@ def propagate(links: DataFrame, seeds: DataFrame) -> DataFrame:
             return ranks
 
 
+def exposure(links: DataFrame, suspects: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The chance of coming along ``links`` from suspect hosts to distrusted seeds: ``host, rank``.
+
+    Seeds have 1. ``suspects`` and ``seeds`` hold ``host``, each once.
+    """
+    sums = links.groupBy("src").agg(F.sum("weight").alias("_all"))
+    edges = written(links.join(sums, "src").select(
+        F.col("src").alias("_from"), F.col("dst").alias("host"), (F.col("weight") / F.col("_all")).alias("share"))
+        .join(suspects.join(seeds, "host", "left_anti").select(F.col("host").alias("_from")), "_from"), "suspect-links")
+    base = written(seeds.select("host", F.lit(1.0).alias("rank")), "distrusted")
+    ranks = base
+    while True:
+        for _ in range(ROUNDS):
+            last = ranks
+            ranks = base.unionByName(
+                last.join(edges, "host").select(F.col("_from").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
+                .groupBy("host").agg(F.sum("rank").alias("rank")))
+        # Exposures only grow from round to round.
+        both = written(ranks.withColumn("_change", F.col("rank")).unionByName(last.withColumn("_change", -F.col("rank")))
+                       .groupBy("host").agg(F.max("rank").alias("rank"), F.sum("_change").alias("_change")), "exposure")
+        ranks = both.select("host", "rank")
+        if (both.agg(F.max(F.abs("_change"))).first()[0] or 0.0) < TOLERANCE:
+            return ranks
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 1.0, least: float = 0.25,
           id_column: str = "page_id",
           url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -109,15 +138,16 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], threshold: float = 1.0
                  F.avg((F.coalesce("_action", F.lit("")) == "block").cast("int")).alias("_blocked")))
     seeds = most.select(F.when(F.col("_allowed") > 0.5, "trust").when(F.col("_blocked") > 0.5, "distrust").alias("kind"),
                         "host").where("kind IS NOT NULL")
-    ranks = propagate(host_links(pages, url_column, html_column), seeds)
+    links = written(host_links(pages, url_column, html_column), "links")
+    ranks = propagate(links, seeds)
     zero = F.lit(0.0)
-    mean = (ranks.where("kind = 'distrust'").join(seeds.where("kind = 'distrust'").select("host"), "host")
-            .agg(F.avg("rank")).first()[0] or 0.0)
-    hosts = written(
+    suspects = written(
         ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "trust", F.col("rank"))).alias("_trust"),
                                   F.sum(F.when(F.col("kind") == "distrust", F.col("rank"))).alias("_distrust"))
-        .where(F.coalesce("_distrust", zero) > F.greatest(threshold * F.coalesce("_trust", zero), F.lit(least * mean)))
-        .select("host", F.lit("block").alias("_host_verdict")), "blocked-hosts")
+        .where(F.coalesce("_distrust", zero) > threshold * F.coalesce("_trust", zero)).select("host"), "suspects")
+    exposed = exposure(links, suspects, seeds.where("kind = 'distrust'").select("host"))
+    hosts = written(suspects.join(exposed.where(F.col("rank") > least), "host")
+                    .select("host", F.lit("block").alias("_host_verdict")), "blocked-hosts")
     return (judged.join(hosts, "host", "left")
             .select(id_column, "host", "path", "rule",
                     F.coalesce("_action", "_host_verdict", F.lit("allow")).alias("verdict")))

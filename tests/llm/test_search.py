@@ -108,3 +108,26 @@ def test_hosts_are_judged_by_the_graph(spark):
         (4, "http://good.org/fr/a", link.format("http://neighbour.example.com/")),
         (5, "http://neighbour.example.com/", link.format("http://bad.net/") + link.format("http://good.org/"))])
     assert {i: v[3] for i, v in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+@pytest.mark.parametrize("linkers", [1, 4, 300])
+def test_every_linker_of_a_blocked_host_is_blocked(spark, linkers):
+    link = "<a href='http://{}/'>t</a>"
+    rows = [(i, f"http://farm{i}.example.com/", link.format("bad.net")) for i in range(linkers)]
+    rows += [(1000, "http://bad.net/x", ""), (1001, "http://good.org/fr/a", link.format("read.example.com")),
+             (1002, "http://read.example.com/", link.format("bad.net") + link.format("good.org")),
+             (1003, "http://portal.example.com/", link.format("bad.net") + "".join(link.format(f"s{i}.com") for i in range(9))),
+             (1004, "http://behind.example.com/", link.format("farm0.example.com")),
+             (1005, "http://far.example.com/", link.format("portal.example.com"))]
+    got = {i: v[3] for i, v in judged(spark, rows).items()}
+    assert {got[i] for i in range(linkers)} == {"block"}
+    assert [got[i] for i in range(1000, 1006)] == ["block", "allow", "allow", "allow", "block", "allow"]
+
+
+def test_exposure_is_the_chance_of_coming_to_a_seed(spark):
+    links = {("a", "bad"): 1.0, ("a", "b"): 3.0, ("b", "a"): 1.0, ("b", "c"): 1.0, ("bad", "a"): 1.0, ("c", "bad"): 1.0}
+    frame = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src string, dst string, weight double")
+    hosts = lambda *names: spark.createDataFrame([(n,) for n in names], "host string")
+    got = {r.host: r["rank"] for r in url_filter.exposure(frame, hosts("a", "b", "bad"), hosts("bad")).collect()}
+    a = 0.85 * 0.25 / (1 - 0.85 * 0.75 * 0.85 * 0.5)
+    assert got == {"bad": 1.0, "a": pytest.approx(a, abs=1e-5), "b": pytest.approx(0.85 * 0.5 * a, abs=1e-5)}
