@@ -1,16 +1,19 @@
 """Operator 6: mixing sources to target weights with a low-discrepancy schedule. DataFrame functions only.
 
 The documents of a source, in the order of a hash of their ids, form a line of words that is cut into
-blocks of equal length, the total over ``SLOTS``. The schedule has ``SLOTS`` places; place i gets the
-van der Corput point i (its bits reversed, over ``SLOTS``), and the cumulative targets map the point to
-a source. So every stretch of the schedule holds each source in proportion, and each source has its
-share of places to within one. The places of a source are ranked; rank r takes block r modulo the
+blocks of equal length, about the total over ``SLOTS``. The schedule has ``SLOTS`` places; place i gets
+the van der Corput point i (its bits reversed, over ``SLOTS``), and the cumulative targets map the point
+to a source. A source whose size or target is under ``FINE`` such blocks has a finer grid of its own:
+its blocks are halved until there are so many, and its places lie at fractions of a place. So every
+stretch of the schedule holds each source in proportion, and each source has its share of places to
+within one, however small it is. The places of a source are ranked; rank r takes block r modulo the
 number of blocks, in pass r / blocks, and passes beyond the limit take nothing. What a document gives is
 the overlap of its words with the blocks taken, repeats counted.
 
 Hot sources: sums are taken per source and hash bucket first, and words are placed on the line inside
 such a bucket, shifted by the buckets before it. Only the list of sources (one row each) is ordered as
-a whole. The number of places does not grow with the data, the length of a block does.
+a whole. The number of places does not grow with the words, the length of a block does; a source on a
+finer grid adds a few thousand.
 
 Null texts have no words, a null source is a source of its own and comes last. Documents without words
 are never taken. Repeated rows are documents of their own, in a tie on the line either may come first.
@@ -28,6 +31,8 @@ from sievemark.llm.frames import WORD, text_of, written
 #: Places of the schedule, as a power of two; hash buckets per source; places per ranking bucket.
 SLOT_BITS, BUCKET_BITS, RANK_BITS = 18, 12, 10
 SLOTS = 1 << SLOT_BITS
+#: Blocks that a source and its target have at least.
+FINE = 1024
 WEIGHTS = (5, 2, 1)
 
 
@@ -77,26 +82,37 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> tup
     return ranked.withColumn("target", target), total
 
 
+def with_blocks(sources: DataFrame, total: int) -> DataFrame:
+    """Adds how often each source halves the places (``halved``) and its number of ``blocks``."""
+    span = max(total, 1)
+    least = F.least(F.col("source_size"), F.col("target"))
+    halved = F.ceil(F.log2(F.lit(FINE * span / SLOTS) / least))
+    return (sources.withColumn("halved", F.when(least > 0, F.greatest(halved, F.lit(0))).otherwise(0).cast("int"))
+            .withColumn("blocks", F.greatest(F.lit(1), F.ceil(
+                F.col("source_size") * F.pow(F.lit(2.0), "halved") * F.lit(SLOTS / span))).cast("long")))
+
+
 def schedule(sources: DataFrame, total: int, most: int) -> DataFrame:
-    """One row per place of the schedule: ``slot, s, block, pass``."""
+    """One row per place of the schedule: ``slot, s, block, pass``; fractions of a slot on finer grids."""
     line = Window.orderBy("s")  # one row per source
+    places = F.pow(F.lit(2.0), F.col("halved") + SLOT_BITS)
     end = F.sum("target").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    bounds = sources.withColumn("_end", F.least(F.ceil(end * F.lit(SLOTS / max(total, 1))), F.lit(SLOTS)))
-    bounds = bounds.withColumn("_start", F.coalesce(F.lag("_end").over(line), F.lit(0)))
+    bounds = with_blocks(sources, total).withColumn("_to", F.least(end / F.lit(float(max(total, 1))), F.lit(1.0)))
+    bounds = (bounds.withColumn("_start", F.ceil(F.coalesce(F.lag("_to").over(line), F.lit(0.0)) * places))
+              .withColumn("_end", F.ceil(F.col("_to") * places)))
     points = bounds.where("_end > _start").select(
-        "s", "source_size", F.explode(F.sequence("_start", F.col("_end") - 1)).alias("_point"))
-    bits = F.reverse(F.lpad(F.bin("_point"), SLOT_BITS, "0"))
-    slots = points.select("s", "source_size", F.conv(bits, 2, 10).cast("long").alias("slot"))
-    slots = slots.withColumn("_part", F.shiftright("slot", RANK_BITS))
+        "s", "blocks", "halved", F.explode(F.sequence("_start", F.col("_end") - 1)).alias("_point"))
+    bits = F.reverse(F.lpad(F.bin("_point"), F.col("halved") + SLOT_BITS, F.lit("0")))
+    slot = F.conv(bits, 2, 10).cast("double") / F.pow(F.lit(2.0), "halved")
+    slots = points.select("s", "blocks", slot.alias("slot"))
+    slots = slots.withColumn("_part", F.floor(F.col("slot") / (1 << RANK_BITS)))
     counts = slots.groupBy("s", "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("s").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("s", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("s", "_part").orderBy("slot")) - 1
-    blocks = F.expr(f"(source_size - 1) * {SLOTS} div {max(total, 1)} + 1")
     return (slots.join(shifts, ["s", "_part"]).withColumn("_rank", F.col("_before") + inside)
-            .withColumn("_blocks", blocks)
-            .select("slot", "s", (F.col("_rank") % F.col("_blocks")).alias("block"),
-                    F.expr("_rank div _blocks").alias("pass"))
+            .select("slot", "s", (F.col("_rank") % F.col("blocks")).alias("block"),
+                    F.expr("_rank div blocks").alias("pass"))
             .where(F.col("pass") < most))
 
 
@@ -119,15 +135,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_c
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources, total = with_targets(sources, weights, most)
     sources = written(sources, "targets")
-    known = sources.select(_key(F.col("source")).alias("_key"), "s", "source_size", "target")
+    known = with_blocks(sources, total).select(
+        _key(F.col("source")).alias("_key"), "s", "source_size", "target", "blocks")
     rows = sized.withColumn("_key", _key(F.col("source"))).join(known, "_key").drop("_key", "source")
     times = (schedule(sources.select("s", "source_size", "target"), total, most)
              .groupBy("s", "block").agg(F.count("*").alias("_times")))
-    span = max(total, 1)
-    first = F.expr(f"start * {SLOTS} div {span}")
-    last = F.expr(f"(start + size - 1) * {SLOTS} div {span}")
-    begin = F.expr(f"(block * {span} + {SLOTS - 1}) div {SLOTS}")
-    end = F.expr(f"((block + 1) * {span} + {SLOTS - 1}) div {SLOTS}")
+    # Block j holds the words from j * size / blocks on, so all blocks are evenly full.
+    first = F.expr("start * blocks div source_size")
+    last = F.expr("(start + size - 1) * blocks div source_size")
+    begin = F.expr("(block * source_size + blocks - 1) div blocks")
+    end = F.expr("((block + 1) * source_size + blocks - 1) div blocks")
     overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), end) - F.greatest("start", begin))
     pieces = (on_the_line(rows.where("size > 0")).withColumn("block", F.explode(F.sequence(first, last)))
               .withColumn("_words", overlap).where("_words > 0"))

@@ -58,6 +58,25 @@ def test_targets_and_taken_words(spark, sizes):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
+@pytest.mark.parametrize("total", [5_000_000, 5_000_000_000])
+def test_small_sources_reach_their_targets_in_a_large_mix(spark, monkeypatch, total):
+    small = {"a": 1, "b": 500, "c": 2000, "d": 2500, "e": 10_000, "f": 30_000}
+    sizes = small | {"y": total // 2, "z": total // 2 - sum(small.values())}
+    # The text of a row says how many words it stands for.
+    monkeypatch.setattr(source_mix, "number_of_words", lambda text: text.cast("long"))
+    rows, r = [], random.Random(3)
+    for source, size in sizes.items():
+        while size > 0:
+            n = min(size, r.randint(1, 60) if source in small else total // 50)
+            rows.append((len(rows), str(n), source))
+            size -= n
+    source, taken = {i: s for i, _, s in rows}, defaultdict(int)
+    for row in source_mix.mix(documents(spark, rows)).collect():
+        taken[source[row.doc_id]] += row.taken
+    for s, target in plain_targets(sizes, (5, 2, 1), 3).items():
+        assert abs(taken[s] - target) <= max(1, 0.005 * target), s
+
+
 def test_schedule_spreads_every_source(spark):
     sources = spark.createDataFrame([(0, 1000, 500.0), (1, 1000, 300.0), (2, 100, 200.0)],
                                     "s long, source_size long, target double")
