@@ -27,16 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievemark.llm.bpe import SPLIT, byte_letters, checked
+from sievemark.llm.bpe import SPLIT, byte_letters, checked, tokenizer_of
 from sievemark.llm.frames import shuffle_partitions, text_of, tidy
 
 MAGIC = b"PFR1"
 BLOCK_IDS, CHUNK_IDS, PERCENTILE = 4096, 1 << 18, 99
+#: tiktoken cannot split about a million whitespace characters in a row; runs from this length on go around it.
+LONG_RUN = 100_000
 HEAD, BLOCK_HEAD = struct.Struct("<4sIQI"), struct.Struct("<IBII")
 CHUNKS = ("shard int, chunk int, start long, n_ids long, doc_ids array<bigint>, lengths array<bigint>, "
           "payload binary")
@@ -101,10 +104,12 @@ class IdEncoder:
     """Whole texts to the ids that the tokenizers library gives for a byte-level BPE file.
 
     The file's vocabulary is loaded into tiktoken, which merges several times faster and remembers
-    nothing between texts; that both agree is tested over all code points.
+    nothing between texts; that both agree is tested over all code points. Its split pattern fails on very
+    long runs of whitespace; these are cut out as the pattern would and merged by the automaton of ``bpe``.
     """
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special, letter = checked(spec), byte_letters()
@@ -114,9 +119,25 @@ class IdEncoder:
         if order != sorted(order):
             raise ValueError("ids do not follow the order of the merges")
         self.engine = tiktoken.Encoding("ids", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+        self.special = tuple(special)
+        self.long_run = regex.compile(r"\s{%d,}+" % LONG_RUN)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if len(text) < LONG_RUN:
+            return self._split_and_merged(text)
+        parts, here = [], 0
+        for run in self.long_run.finditer(text):
+            first, end = run.span()
+            # Before a word, the last character of the run belongs to what follows.
+            if end < len(text) and not text.startswith(self.special, end):
+                end -= 1
+            ids = tokenizer_of(self.path).automaton.encode(text[first:end].encode())
+            parts += [self._split_and_merged(text[here:first]), np.array(ids, "<u4").tobytes()]
+            here = end
+        return b"".join([*parts, self._split_and_merged(text[here:])])
+
+    def _split_and_merged(self, text: str) -> bytes:
         return self.engine.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
 
 

@@ -100,6 +100,15 @@ def test_file_encoder_agrees(library):
     assert [encode(t) for t in some] == ids_of(library, some)
 
 
+@pytest.mark.parametrize("run", [" ", " \t\u3000"])
+def test_file_encoder_takes_very_long_whitespace(library, run):
+    run *= 2_000_000 // len(run)
+    short = run[:150_000]
+    some = [run + "a", short, "a b" + short + "\n!", "x" + short + "<|endoftext|>" + short + "<|endo", short + " é" + short]
+    encode = id_blocks.encoder_of(BYTES).encode
+    assert [encode(t) for t in some] == ids_of(library, some)
+
+
 @pytest.mark.parametrize("ids", [
     [0], [7] * 5000, list(range(5000)), [0, 2**32 - 1] * 3, [3] * 99 + [50_000], [1] * 300 + [2**20] * 2 + [5] * 4000])
 def test_blocks_keep_all_ids(ids):
