@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm import bpe, exact_dedup, id_blocks, language_model, near_dedup, source_mix, token_counts, top_k, toxicity, url_filter
+from sievemark.llm import (
+    bpe, exact_dedup, id_blocks, language_model, near_dedup, quality_forest, source_mix, token_counts, top_k, toxicity,
+    url_filter)
 from sievemark.llm.frames import crc_of, small_batches, table
 from sievemark.session import scratch_folder
 
@@ -74,9 +76,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near_copies(documents(spark, sf_dir))
 
 
+def op12_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_bpe_round_trip, op4_language_model, op5_exact_dedup, op6_source_mix, op7_id_blocks,
-    op8_top_k, op9_url_filter, op10_near_dedup)}
+    op8_top_k, op9_url_filter, op10_near_dedup, op12_quality_forest)}
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
