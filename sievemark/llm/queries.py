@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemark.llm import (
-    bpe, exact_dedup, id_blocks, language_model, near_dedup, quality_forest, source_mix, token_counts, top_k, toxicity,
-    url_filter)
+    bpe, exact_dedup, id_blocks, language_model, lexical, near_dedup, quality_forest, source_mix, spelling, token_counts,
+    top_k, toxicity, url_filter)
 from sievemark.llm.frames import crc_of, small_batches, table
 from sievemark.session import scratch_folder
 
@@ -76,13 +76,24 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.group_near_copies(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op12_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_token_counts, op3_bpe_round_trip, op4_language_model, op5_exact_dedup, op6_source_mix, op7_id_blocks,
-    op8_top_k, op9_url_filter, op10_near_dedup, op12_quality_forest)}
+    op8_top_k, op9_url_filter, op10_near_dedup, op11_lexical_search, op12_quality_forest,
+    op13_spelling_variants)}
+#: Terms of the lexical search, as a pattern of the SQL engine.
+TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORACLE: dict[str, str] = {
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
@@ -99,4 +110,21 @@ ORACLE: dict[str, str] = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
             FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_lexical_search": rf"""
+        WITH t AS (SELECT 'd' AS side, row_number() OVER () AS row, doc_id AS id, text FROM documents
+            UNION ALL SELECT 'i', row_number() OVER (), item_id, text FROM benchmark),
+        s AS (SELECT side, row, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '{TERMS}')) AS term FROM t),
+        p AS (SELECT side, row, id, term, count(*) AS tf FROM s GROUP BY ALL),
+        n AS (SELECT row, sum(tf)::BIGINT AS n FROM p WHERE side = 'd' GROUP BY row),
+        c AS (SELECT count(*) AS documents, sum(n)::BIGINT AS length FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM p WHERE side = 'd' GROUP BY term), c),
+        r AS (SELECT i.row, i.id AS item_id, d.row AS d_row, d.id AS doc_id, CAST(sum(i.tf * w * ((1000000000 * d.tf)
+                // (1000 * d.tf + 8 * (100 - 75 + (75 * n * documents) // length)))) AS BIGINT) AS score
+            FROM p i JOIN p d ON d.side = 'd' AND i.side = 'i' AND d.term = i.term JOIN w ON w.term = i.term
+            JOIN n ON n.row = d.row, c GROUP BY ALL),
+        o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id, d_row) AS INTEGER) AS rank,
+            doc_id, score FROM r WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }
