@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sievemark.fixed_values import TEXT_EXTENSIONS
 from sievemark.functions.strings import base_name, suffix
 from sievemark.sources.parsers import PARSERS, html_text
+from sievemark.sources.tree import by_bytes, list_tree, open_system
 
 PARSED_EXTENSIONS = tuple(PARSERS)
 _BATCH_CHARS = 16_000_000
@@ -44,40 +45,16 @@ def decode_text(content: Column) -> Column:
 def read_texts(spark: SparkSession, root: str, extensions: Iterable[str] | None = None) -> DataFrame:
     """Text of every file below ``root``; unsupported and broken files carry an error instead.
 
-    Plain text is read and decoded by Spark; the zipped and marked-up formats are opened by path
-    on the executors. The rest is listed without reading a byte.
+    The tree is listed once, by tasks; folders that cannot be listed are rows with an error.
     """
-    wanted = None if extensions is None else tuple(e.lower() for e in extensions)
-
-    def chosen(endings: Iterable[str]) -> list[str]:
-        return [e for e in endings if wanted is None or e in wanted]
-
-    parts = []
-    if chosen(TEXT_EXTENSIONS):
-        plain = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-            "pathGlobFilter", _glob(chosen(TEXT_EXTENSIONS))).load(root)
-        parts.append(plain.select(*_metadata(), decode_text(F.col("content")).alias("text"),
-                                  F.lit(None).cast("string").alias("error")))
-    if chosen(PARSED_EXTENSIONS):
-        parts.append(texts_of(list_files(spark, root, chosen(PARSED_EXTENSIONS))))
-    other = list_files(spark, root, wanted).withColumn("ending", suffix(base_name(F.col("path"))))
-    other = other.filter(~F.col("ending").isin(*TEXT_EXTENSIONS, *PARSED_EXTENSIONS))
-    parts.append(other.select(
-        "path", "size_bytes", "last_modified", F.lit(None).cast("string").alias("text"),
-        F.concat(F.lit("unsupported file type: "), F.col("ending")).alias("error")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    listing = list_tree(spark, root, extensions)
+    closed = listing.where(F.col("error").isNotNull()).withColumn("text", F.lit(None).cast("string"))
+    return texts_of(listing.where(F.col("error").isNull()).drop("error")).unionByName(closed)
 
 
 def _open_and_parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
-
     def load(path: str) -> bytes:
-        uri = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not (
-            path.startswith("file:///")) else path
-        system, place = fs.FileSystem.from_uri(uri)
+        system, place = open_system(path)
         with system.open_input_stream(place) as stream:
             return stream.read()
 
@@ -85,9 +62,7 @@ def _open_and_parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if ending in TEXT_EXTENSIONS:
             text = load(path).decode("utf-8", errors="replace")
             return text.replace("\r\n", "\n").replace("\r", "\n")
-        if ending in PARSERS:
-            return PARSERS[ending](load(path))
-        raise ValueError(f"unsupported file type: {ending}")
+        return PARSERS[ending](load(path))
 
     def flush(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(
@@ -98,7 +73,10 @@ def _open_and_parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for path, size, modified, ending in frame.itertuples(index=False):
             text = error = None
             try:
-                text = text_of(path, ending)
+                if ending in TEXT_EXTENSIONS or ending in PARSERS:
+                    text = text_of(path, ending)
+                else:
+                    error = f"unsupported file type: {ending}"
             except Exception as problem:  # a bad file must not end the run
                 error = f"{type(problem).__name__}: {problem}"
             rows.append((path, size, modified, text, error))
@@ -113,13 +91,12 @@ def _open_and_parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def texts_of(files: DataFrame) -> DataFrame:
     """Text of chosen files only, opened by the executors.
 
-    Only paths are shuffled, so that a few folders of large files do not end up in one task, and
-    a worker hands texts back in pieces of bounded size.
+    Only paths are shuffled, dealt so that each task opens about as many bytes; a worker hands texts
+    back in pieces of bounded size. ``files`` is a written table: it is counted before.
     """
     rows = files.select("path", "size_bytes", "last_modified",
                         suffix(base_name(F.col("path"))).alias("ending"))
-    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(tasks, "path").mapInPandas(_open_and_parse, _TEXT)
+    return by_bytes(rows).mapInPandas(_open_and_parse, _TEXT)
 
 
 def _parse_contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

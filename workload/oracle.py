@@ -784,14 +784,13 @@ SELECT substring(sha256(substring(sha256(path), 1, 16) || ':' || category || ':'
     CASE WHEN confidence < 0.75 AND length(snippet) > 8 THEN 'llm' ELSE 'regex' END AS detector
 FROM ({_resolved('forms', 'path')}) AS s""")
 ORACLE["plain_texts"] = """
-SELECT '/in/doc_' || doc_id || '.txt' AS path, md5(text || chr(65533)) AS digest FROM documents WHERE doc_id % 4 = 0"""
+SELECT '/in/doc_' || doc_id || '.txt' AS path, md5(text || chr(65533)) AS digest FROM documents"""
 ORACLE["csv_texts"] = """
 SELECT '/in/doc_' || doc_id || '.csv' AS path, md5('id' || chr(9) || 'text' || chr(10) || doc_id || chr(9) || text)
-    AS digest FROM documents WHERE doc_id % 4 = 1"""
+    AS digest FROM documents"""
 ORACLE["ingest_errors"] = """
-SELECT '/in/doc_' || doc_id || CASE doc_id % 4 WHEN 2 THEN '.docx' ELSE '.XYZ' END AS path,
-    CASE doc_id % 4 WHEN 2 THEN 'BadZipFile: File is not a zip file' ELSE 'unsupported file type: .xyz' END AS error
-FROM documents WHERE doc_id % 4 > 1"""
+SELECT '/in/doc_' || doc_id || ending AS path, error FROM documents CROSS JOIN (VALUES
+    ('.docx', 'BadZipFile: File is not a zip file'), ('.XYZ', 'unsupported file type: .xyz')) AS kinds(ending, error)"""
 ORACLE["full_scan_files"] = _with("forms", f"""
 SELECT {_SOURCE} AS source_type, count(*) AS files, CAST(sum(strlen(text)) AS BIGINT) AS bytes,
     count(*) FILTER (WHERE {_SOURCE} = 'onedrive') AS owned,
@@ -804,13 +803,17 @@ SELECT CAST(d.doc_id AS VARCHAR) AS file_id, 'doc ' || d.doc_id AS name,
 FROM documents AS d LEFT JOIN (SELECT doc_id, arg_min(category, rule) AS category
     FROM ({_DOC_ROWS}) AS g GROUP BY doc_id) AS f ON f.doc_id = d.doc_id"""
 
-ORACLE["stream_malformed"] = f"""
+_STATUS_ROWS = f"""
 SELECT CAST(d.doc_id AS VARCHAR) AS file_id, CASE WHEN f.doc_id IS NULL THEN 'not_flagged' ELSE 'flagged' END
     AS status_flag
-FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_DOC_ROWS}) AS g) AS f ON f.doc_id = d.doc_id
-WHERE d.doc_id % 5 <> 0"""
+FROM documents AS d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_DOC_ROWS}) AS g) AS f ON f.doc_id = d.doc_id"""
+ORACLE["stream_malformed"] = f"""
+SELECT file_id, status_flag, CAST(NULL AS VARCHAR) AS message, 1 AS n FROM ({_STATUS_ROWS} WHERE d.doc_id % 5 <> 0) AS s
+UNION ALL
+SELECT NULL, 'bad', md5(line), CAST(count(*) AS INTEGER)
+FROM (SELECT unnest(string_split('{{' || text, chr(10))) AS line FROM documents WHERE doc_id % 5 = 0) AS l GROUP BY md5(line)"""
 
-ORACLE["stream_redelivery"] = ORACLE["stream_malformed"].replace("WHERE d.doc_id % 5 <> 0", "")
+ORACLE["stream_redelivery"] = _STATUS_ROWS
 ORACLE["stream_duplicates_registry"] = f"""
 SELECT file_id, status_flag, pii_category FROM ({ORACLE["stream_scan"]}) AS s"""
 ORACLE["stream_extraction"] = """

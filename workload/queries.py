@@ -901,15 +901,14 @@ def full_scan_errors(spark, sf):
 
 
 def _contents(spark, sf) -> DataFrame:
-    """Documents as files: text with foreign line ends and a broken byte, tables, broken and unknown kinds."""
-    kind = F.col("doc_id") % 4
+    """Every document as four files: text with foreign line ends and a broken byte, a table, a broken and an unknown kind."""
     lines = F.replace("text", F.lit("\n"), F.lit("\r\n"))
     cells = F.concat(F.lit("id,text\r\n"), "doc_id", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"\r\n'))
-    content = F.when(kind == 0, F.concat(lines.cast("binary"), F.unhex(F.lit("FF")))).when(
-        kind == 1, cells.cast("binary")).otherwise(F.col("text").cast("binary"))
-    ending = F.when(kind == 0, ".txt").when(kind == 1, ".csv").when(kind == 2, ".docx").otherwise(".XYZ")
-    return table(spark, sf, "documents").select(
-        F.concat(F.lit("/in/doc_"), "doc_id", ending).alias("path"), content.alias("content"))
+    plain = F.concat(lines.cast("binary"), F.unhex(F.lit("FF")))
+    shapes = {".txt": plain, ".csv": cells.cast("binary"), ".docx": F.col("text").cast("binary"), ".XYZ": F.lit(b"?")}
+    shape = F.explode(F.array(*[F.struct(F.lit(e).alias("ending"), c.alias("content")) for e, c in shapes.items()]))
+    return table(spark, sf, "documents").select("doc_id", shape.alias("_shape")).select(
+        F.concat(F.lit("/in/doc_"), "doc_id", "_shape.ending").alias("path"), "_shape.content")
 
 
 def _ingested(ending: str) -> Query:
@@ -928,9 +927,8 @@ def ingest_errors(spark, sf):
     return failed.select("path", "error")
 
 
-def _scan_messages(spark, sf, value: Column, name: str) -> DataFrame:
+def _scan_messages(spark, sf, value: Column, out: str) -> DataFrame:
     """Documents as messages through the scanner stream, read straight from the given table."""
-    out = scratch_folder(spark, name)
     documents = table(spark, sf, "documents")
     rows = spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
     consumers.start_scanner(rows.select(value.alias("value")), out, f"{out}/checkpoint").awaitTermination()
@@ -945,15 +943,20 @@ def _message(*rest: Column) -> Column:
 @query
 def stream_scan(spark, sf):
     """All documents as messages through the scanner stream; the result equals the batch scan."""
-    return _scan_messages(spark, sf, _message(F.col("text")), "stream-scan").drop("batch_id")
+    return _scan_messages(spark, sf, _message(F.col("text")), scratch_folder(spark, "stream-scan")).drop("batch_id")
 
 
 @query
 def stream_malformed(spark, sf):
-    """Every fifth message is cut off: it is set aside, the others are scanned."""
+    """Every fifth message is cut off: it is set aside as it came, the others are scanned."""
     value = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("{"), F.col("text"))).otherwise(_message(F.col("text")))
-    rows = _scan_messages(spark, sf, value, "stream-malformed")
-    return rows.select("file_id", "status_flag")
+    out = scratch_folder(spark, "stream-malformed")
+    rows = _scan_messages(spark, sf, value, out)
+    # A message with line ends is several lines of the side folder's text files.
+    aside = consumers.rejected(spark, out)
+    return rows.select("file_id", "status_flag", F.lit(None).cast("string").alias("message"), F.lit(1).alias("n")).unionByName(
+        aside.groupBy(F.md5("value").alias("message")).agg(F.count("*").cast("int").alias("n")).select(
+            F.lit(None).cast("string").alias("file_id"), F.lit("bad").alias("status_flag"), "message", "n"))
 
 
 @query
@@ -961,7 +964,7 @@ def stream_duplicates_registry(spark, sf):
     """Every message is delivered twice; the registry holds each file once, with its last status."""
     documents = table(spark, sf, "documents")
     twice = F.explode(F.array(_message(F.col("text")), _message(F.col("text"))))
-    status = _scan_messages(spark, sf, twice, "stream-twice")
+    status = _scan_messages(spark, sf, twice, scratch_folder(spark, "stream-twice"))
     known = documents.select(*[
         (F.col("doc_id").cast("string") if c == "file_id" else F.lit(None).cast("string")).alias(c)
         for c in registry.REGISTRY_COLUMNS])
