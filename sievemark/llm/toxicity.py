@@ -1,28 +1,32 @@
 """Operator 1: toxicity from the nearest labelled examples.
 
-Fitting. From the labels that may be learned from, ``SAMPLE`` rows are drawn by a hash of their id (the
-bound of all that is fitted). Their terms (words; stems, that is the first four and six bytes of longer
-words; stems that make a certain share of all words) are counted per class in Spark; the ``TERMS`` terms with the largest chi-square in favour of toxic texts
-make the vocabulary. Document frequencies of these terms are counted over all documents. Four fifths of
-the sample are the examples, as unit TF-IDF vectors in an inverted index; the rest calibrates.
-
-Scoring. The index is cut into blocks of ``BLOCK`` examples and knows, per term and block, the largest
-weight. A text visits the blocks by falling upper bound and stops when no further block can hold one of
-the ``k`` nearest: the cosines are exact. Neighbours vote with the inverse of their distance; the vote is
-mapped by monotone regression on the calibration part to a probability. Texts without a neighbour get
-the share of toxic ones among such texts of the sample. The neighbours are the evidence.
-
-The model is a few hundred kilobytes whatever the data, and is sent to the workers; scoring is one narrow map.
-Null texts count as empty, empty texts have no neighbour. Ties among neighbours go to the example that
-comes first in the hash order of the sample. Several labels of an id count as toxic if one is; null
-labels and ids are not learned from. Without any label every text gets 0. Repeated rows, very long
-texts and further columns need no special care.
+Fitting. From the labels that may be learned from, ``SAMPLE`` rows are drawn by a hash of their id (the bound of all that is
+fitted). Equal texts are one example. The terms of a text are its words, the stems of its longer words (the first four
+and six bytes), and for each stem the marks that its share of all words reaches. Every term of every example is in the
+vocabulary. A term weighs its TF (logarithm of its share of the words) times its IDF (over all documents) times its relevance: how
+much more often than expected it occurs in toxic examples, at least 1, to the third power. Four fifths of the sample are the
+examples, toxic and clean ones, as unit vectors; the rest calibrates.
+
+Index. Similar examples are brought together in blocks of ``BLOCK``. Terms that few examples hold have posting lists; of the
+``COMMON`` most widespread ones each block stores its weights and, as the block's maxima, the largest weight of each.
+
+Scoring. The posting lists give every example its part of the cosine from the rarer terms. With the block maxima this bounds
+what any example of a block can reach. A block is completed only where its bound is not below the k-th best
+cosine known so far, starting with the blocks of largest bound, so what is skipped cannot be among the ``k`` nearest. The
+best are computed once more in full: the cosines are exact. Neighbours vote with the inverse of their distance
+together with a weak vote of the prior; the vote is mapped by monotone regression on the calibration part to a probability.
+Texts without a neighbour get the share of toxic ones among such texts of the sample. The neighbours are the evidence.
+
+The model is bounded by the sample and is sent to the workers; scoring is one narrow map. Null texts count as empty, empty
+texts have no neighbour. Ties among neighbours go to the example that comes first in the hash order of the
+sample. Several labels of an id, or of equal texts, count as toxic if one is; null labels and ids are not learned from.
+Without any label every text gets 0. Repeated rows, very long texts and further columns need no special care.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,133 +34,169 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.frames import per_row, text_of, tidy
+from sievemark.llm.frames import Memo, text_of, tidy, written
 
-SAMPLE, TERMS, LEAST_CHI = 20_000, 4096, 45.0
-#: A term must occur in so many examples, and in one of so many.
-LEAST_DOCS, LEAST_PART = 4, 400
-BLOCK, NEIGHBOURS = 64, 16
+#: The most labelled rows that are learned from.
+SAMPLE = 3_000
+BLOCK, NEIGHBOURS, COMMON = 64, 16, 1024
 #: Bytes of the stems of longer words, and the marks of the shares of all words that a stem can reach.
 STEMS = (4, 6)
-LEVELS = ((b"", 0.0), (b"1", 0.002), (b"2", 0.008), (b"3", 0.03))
+LEVELS = ((b"*", 0.0), (b"*1", 0.002), (b"*2", 0.008), (b"*3", 0.03))
+#: Occurrences that a term's counts are drawn to the expected by; the prior's part in a vote.
+DOUBT, PRIOR = 2.0, 0.2
+#: Texts scored together.
+BATCH = 128
+#: Room for the rounding of single precision, in which blocks are bounded and completed.
+ROUNDING = 1e-4
 #: ASCII letters and digits stay, A-Z lower-cased; other ASCII separates words.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_in(text: str) -> Counter:
-    return Counter(text.encode("utf-8", "replace").translate(PLAIN).split())
-
-
-def stems_of(word: bytes) -> list[bytes]:
-    return [word[:n] for n in STEMS if len(word) > n]
+def terms_in(text: str) -> tuple[dict[bytes, int], int]:
+    """All terms of a text with their counts, and its number of words."""
+    words = Counter(text.encode("utf-8", "replace").translate(PLAIN).split())
+    size = words.total()
+    found, stems = dict(words), {}
+    for word, n in words.items():
+        for length in STEMS:
+            if len(word) > length:
+                stem = word[:length]
+                stems[stem] = stems.get(stem, 0) + n
+    for stem, n in stems.items():
+        for mark, least in LEVELS:
+            if n >= least * size:
+                found[stem + mark] = n
+    return found, size
 
 
-def levels_of(stem: bytes, share: float) -> list[bytes]:
-    """A stem's terms: that it occurs, and for each level that its share of all words reaches it."""
-    return [stem + b"*" + mark for mark, least in LEVELS if share >= least]
+Vector = tuple[np.ndarray, np.ndarray]
+Neighbours = tuple[np.ndarray, np.ndarray]
 
 
-def terms_in(text: str) -> Counter:
-    """All terms of a text with their counts."""
-    words = words_in(text)
-    terms, stems, size = Counter(words), Counter(), words.total()
-    for word, n in words.items():
-        for stem in stems_of(word):
-            stems[stem] += n
-    for stem, n in stems.items():
-        for term in levels_of(stem, n / size):
-            terms[term] = n
-    return terms
+def block_order(points: np.ndarray, size: int = BLOCK) -> np.ndarray:
+    """An order that brings similar points together: halves along the direction of largest spread, down to blocks."""
+    order, todo = np.arange(len(points)), [(0, len(points))]
+    while todo:
+        low, high = todo.pop()
+        if high - low <= size:
+            continue
+        part = order[low:high]
+        inside = points[part] - points[part].mean(axis=0)
+        along = inside @ np.linalg.eigh(inside.T @ inside)[1][:, -1]
+        order[low:high] = part[np.argsort(np.round(along * np.sign(along[np.argmax(np.abs(along))]), 6), kind="stable")]
+        middle = low + -(-(high - low) // (2 * size)) * size  # whole blocks on the left
+        todo += [(low, middle), (middle, high)]
+    return order
 
 
 @dataclass
 class ToxicityModel:
-    """Vocabulary, block-max index of the examples, calibration. Plain arrays, made on the driver."""
+    """Vocabulary, examples, calibration. The index is made from them where it is needed."""
 
     terms: dict[bytes, int]
-    idf: np.ndarray
+    weights: np.ndarray
     example_ids: np.ndarray
     toxic: np.ndarray
-    #: Postings of term t: examples ``at[start[t]:start[t + 1]]`` with ``weight``, ascending.
+    #: Terms and weights of example i: ``[start[i]:start[i + 1]]``.
     start: np.ndarray
-    at: np.ndarray
+    term: np.ndarray
     weight: np.ndarray
     votes: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     chances: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))
     alone: float = 0.0
 
-    def __post_init__(self):
-        self.stems = {t.partition(b"*")[0] for t in self.terms if b"*" in t}
-        self.words = {t: i for t, i in self.terms.items() if b"*" not in t}
-        blocks = -(-len(self.toxic) // BLOCK)
-        edges = np.arange(blocks + 1) * BLOCK
-        self.cuts = [self.start[t] + np.searchsorted(self.at[self.start[t]:self.start[t + 1]], edges)
-                     for t in range(len(self.terms))]
-        self.most = np.zeros((len(self.terms), blocks), np.float64)
-        term = np.repeat(np.arange(len(self.terms)), np.diff(self.start))
-        np.maximum.at(self.most, (term, self.at // BLOCK), self.weight)
-
-    def vector(self, text: str) -> tuple[list[int], np.ndarray]:
-        """The unit TF-IDF vector of a text: terms and weights."""
-        words = words_in(text)
-        found: dict[int, int] = {self.words[w]: words[w] for w in words.keys() & self.words.keys()}
-        stems, size = Counter(), words.total()
-        for length in STEMS:
-            for word, n in words.items():
-                stem = word[:length]
-                if stem in self.stems and len(word) > length:
-                    stems[stem] += n
-        for stem, n in stems.items():
-            for term in levels_of(stem, n / size):
-                if term in self.terms:
-                    found[self.terms[term]] = n
-        terms = sorted(found)
-        weights = (1 + np.log([found[t] for t in terms])) * self.idf[terms] if terms else np.zeros(0)
-        return terms, weights / np.linalg.norm(weights) if terms else weights
-
-    def nearest(self, terms: list[int], weights: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, exact, best first."""
-        if not terms or not len(self.toxic):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms]
-        best, cosines = np.zeros(0, np.int64), np.zeros(0)
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == k and bound[block] < cosines[-1] - 1e-12):
-                break
-            sums = np.zeros(BLOCK)
-            for term, weight in zip(terms, weights.tolist(), strict=True):
-                cut = self.cuts[term]
-                first, last = cut[block], cut[block + 1]
-                if first < last:
-                    sums[self.at[first:last] - block * BLOCK] += weight * self.weight[first:last]
-            hit = np.flatnonzero(sums > 0)
-            best, cosines = np.concatenate([best, hit + block * BLOCK]), np.concatenate([cosines, sums[hit]])
-            order = np.lexsort((best, -np.round(cosines, 12)))[:k]
-            best, cosines = best[order], cosines[order]
-        return best, cosines
-
-    def vote(self, terms: list[int], weights: np.ndarray) -> tuple[float | None, np.ndarray, np.ndarray]:
-        best, cosines = self.nearest(terms, weights)
+    @staticmethod
+    def of(terms: dict[bytes, int], weights: np.ndarray, ids: list[int], toxic: list[int], vectors: list[Vector]) -> ToxicityModel:
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        join = lambda i, kind: np.concatenate([v[i] for v in vectors]).astype(kind) if vectors else np.zeros(0, kind)
+        return ToxicityModel(terms, weights, np.array(ids, np.int64), np.array(toxic, np.int64),
+                             np.append(0, np.cumsum(sizes)), join(0, np.int32), join(1, np.float64))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if not k.startswith("_")}
+
+    def index(self) -> Index:
+        if "_index" not in vars(self):
+            self._index = Index(self)
+        return self._index
+
+    def _prepare(self) -> None:
+        """Numbers for stems, and for each stem the terms of its levels (-1: not in the vocabulary)."""
+        stems: dict[bytes, int] = {}
+        marks = {mark: i for i, (mark, _) in enumerate(LEVELS)}
+        found = []
+        for term, number in self.terms.items():
+            stem, star, mark = term.partition(b"*")
+            if star:
+                found.append((stems.setdefault(stem, len(stems)), marks[star + mark], number))
+        self._levels = np.full((len(stems) + 1, len(LEVELS)), -1, np.int64)
+        for stem, level, number in found:
+            self._levels[stem, level] = number
+        self._least = np.array([least for _, least in LEVELS])
+        words, none = self.terms.get, len(stems)  # the last row stands for all other stems
+        short, long = STEMS
+
+        def parts(word: bytes) -> tuple[int, int, int]:
+            return (words(word, -1), stems.get(word[:short], none) if len(word) > short else none,
+                    stems.get(word[:long], none) if len(word) > long else none)
+
+        self._parts = Memo(parts)
+
+    def known(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
+        """The terms of a text that are in the vocabulary, ascending, their counts, and its number of words."""
+        if "_parts" not in vars(self):
+            self._prepare()
+        words = Counter(text.encode("utf-8", "replace").translate(PLAIN).split())
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0), 0
+        size = words.total()
+        parts = np.array(list(map(self._parts.__getitem__, words)))
+        counts = np.fromiter(words.values(), np.float64, len(words))
+        stems, at = np.unique(parts[:, 1:].T.ravel(), return_inverse=True)
+        sums = np.bincount(at, np.tile(counts, 2))[:, None]
+        levels = self._levels[stems]
+        reached = (levels >= 0) & (sums >= self._least * size)
+        whole = parts[:, 0] >= 0
+        terms = np.concatenate([parts[whole, 0], levels[reached]])
+        order = np.argsort(terms)
+        return terms[order], np.concatenate([counts[whole], np.broadcast_to(sums, levels.shape)[reached]])[order], size
+
+    def vector(self, text: str) -> Vector:
+        """The unit vector of a text: terms, ascending, and weights."""
+        terms, counts, size = self.known(text)
+        if not len(terms):
+            return terms, counts
+        weights = np.log1p(1000 * counts / size) * self.weights[terms]
+        return terms, weights / np.linalg.norm(weights)
+
+    def vote(self, near: Neighbours) -> float | None:
+        best, cosines = near
         if not len(best):
-            return None, best, cosines
-        close = 1 / (1 - np.minimum(cosines, 1) + 0.05)
-        return float((close * self.toxic[best]).sum() / close.sum()), best, cosines
-
-    def score(self, text: str) -> tuple[float, list[dict]]:
-        vote, best, cosines = self.vote(*self.vector(text))
-        evidence = [{"example_id": i, "cosine": c, "toxic": t} for i, c, t in zip(
+            return None
+        close = cosines / (1 - np.minimum(cosines, 1) + 0.05)
+        prior = self.toxic.mean()
+        return float((close @ self.toxic[best] + PRIOR * prior) / (close.sum() + PRIOR))
+
+    def scores(self, texts: list[str]) -> list[tuple[float, Neighbours]]:
+        near = self.index().nearest([self.vector(text) for text in texts])
+        votes = [self.vote(n) for n in near]
+        return [(self.alone if v is None else float(np.interp(v, self.votes, self.chances)), n)
+                for v, n in zip(votes, near, strict=True)]
+
+    def evidence(self, near: Neighbours) -> list[dict]:
+        best, cosines = near
+        return [{"example_id": i, "cosine": c, "toxic": t} for i, c, t in zip(
             self.example_ids[best].tolist(), np.minimum(cosines, 1).tolist(), self.toxic[best].tolist(), strict=True)]
-        return (self.alone if vote is None else float(np.interp(vote, self.votes, self.chances))), evidence
 
-    def calibrate(self, vectors: list[tuple[list[int], np.ndarray]], toxic: list[int]) -> None:
+    def calibrate(self, vectors: list[Vector], toxic: list[int]) -> None:
         """Monotone regression of the labels on the votes (pool adjacent violators).
 
         Labels of texts without neighbours set the probability of such texts.
         """
         every = [*self.toxic.tolist(), *toxic]
-        alone = np.diff(np.searchsorted(np.sort(self.at), np.arange(len(self.toxic) + 1))) == 0
-        votes = [self.vote(*vector)[0] for vector in vectors]
-        without = self.toxic[alone].tolist() + [t for v, t in zip(votes, toxic, strict=True) if v is None]
+        near = [n for at in range(0, len(vectors), BATCH) for n in self.index().nearest(vectors[at:at + BATCH])]
+        votes = [self.vote(n) for n in near]
+        without = self.toxic[np.diff(self.start) == 0].tolist() + [t for v, t in zip(votes, toxic, strict=True) if v is None]
         self.alone = (sum(without) + sum(every) / len(every)) / (len(without) + 1)
         pools: list[list[float]] = []  # sum of votes, sum of labels, number
         for vote, label in sorted((v, t) for v, t in zip(votes, toxic, strict=True) if v is not None):
@@ -165,31 +205,136 @@ class ToxicityModel:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         if pools:
-            self.votes = np.array([0.0] + [p[0] / p[2] for p in pools] + [1.0])
             chances = [(p[1] + 0.1) / (p[2] + 0.2) for p in pools]
+            self.votes = np.array([0.0] + [p[0] / p[2] for p in pools] + [1.0])
             self.chances = np.maximum.accumulate([0.0] + chances + [max(chances)])
 
 
-def _index(vectors: list[tuple[list[int], np.ndarray]], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    term = np.array([t for ids, _ in vectors for t in ids], np.int64)
-    at = np.repeat(np.arange(len(vectors)), [len(ids) for ids, _ in vectors])
-    weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-    order = np.lexsort((at, term))
-    return np.searchsorted(term[order], np.arange(terms + 1)), at[order], weight[order]
-
-
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: in how many toxic and other texts (second column: text, third: label) a term occurs."""
+class Index:
+    """Block-max inverted index of a model's examples."""
+
+    def __init__(self, model: ToxicityModel, common: int = COMMON):
+        self.start, self.term, self.weight = model.start, model.term, model.weight
+        self.n, self.terms = len(model.toxic), len(model.weights)
+        self.blocks = -(-self.n // BLOCK)
+        self.query = np.zeros(self.terms)
+        row = np.repeat(np.arange(self.n), np.diff(self.start))
+        held = np.bincount(self.term, minlength=self.terms)
+        #: Column of each common term; -1: it has a posting list.
+        self.column = np.full(self.terms, -1, np.int64)
+        widest = np.argsort(-held, kind="stable")[:common]
+        widest = widest[held[widest] > 1]
+        self.column[widest] = np.arange(len(widest))
+        at = self.column[self.term]
+        self.full = np.zeros((self.blocks * BLOCK, len(widest)), np.float32)
+        self.full[row[at >= 0], at[at >= 0]] = self.weight[at >= 0]
+        self.full = self.full.reshape(self.blocks, BLOCK, len(widest))
+        self.most = self.full.max(axis=1) if self.n else np.zeros((0, len(widest)), np.float32)
+        rare = np.flatnonzero(at < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.posting_start = np.searchsorted(self.term[rare], np.arange(self.terms + 1))
+        self.posting_row, self.posting_weight = row[rare].astype(np.int32), self.weight[rare]
+        #: Blocks completed and blocks bounded, for tests and figures.
+        self.completed = self.bounded = 0
+
+    def _rare_part(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        first = self.posting_start[terms]
+        sizes = self.posting_start[terms + 1] - first
+        places = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        parts = self.posting_weight[places] * np.repeat(weights, sizes)
+        return np.bincount(self.posting_row[places], parts, minlength=self.blocks * BLOCK)
+
+    def _exact(self, vector: Vector, rows: np.ndarray) -> np.ndarray:
+        """Cosines with a few examples, each of which has terms, in double precision."""
+        self.query[vector[0]] = vector[1]
+        first = self.start[rows]
+        sizes = self.start[rows + 1] - first
+        offsets = np.cumsum(sizes) - sizes
+        places = np.repeat(first - offsets, sizes) + np.arange(sizes.sum())
+        out = np.add.reduceat(self.weight[places] * self.query[self.term[places]], offsets)
+        self.query[vector[0]] = 0
+        return out
+
+    def nearest(self, vectors: list[Vector], k: int = NEIGHBOURS) -> list[Neighbours]:
+        """The k nearest examples of each vector and their cosines, exact, best first."""
+        if not self.n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(vectors)
+        sums = np.zeros((len(vectors), self.blocks * BLOCK), np.float32)
+        asked = np.zeros((len(vectors), self.full.shape[2]), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            at = self.column[terms]
+            asked[i, at[at >= 0]] = weights[at >= 0]
+            sums[i] = self._rare_part(terms[at < 0], weights[at < 0])
+        in_blocks = sums.reshape(len(vectors), self.blocks, BLOCK)
+        bounds = in_blocks.max(axis=2) + asked @ self.most.T + ROUNDING / 2
+        done = np.repeat(np.array([[not len(terms)] for terms, _ in vectors]), self.blocks, axis=1)  # nothing can be near those
+
+        def complete(wanted: np.ndarray) -> None:
+            for block in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows = np.flatnonzero(wanted[:, block])
+                in_blocks[rows, block] += asked[rows] @ self.full[block].T
+            done[wanted] = True
+
+        kth = min(k, sums.shape[1])
+        # What is known of an example is never more than its cosine, so the k-th best known is a threshold.
+        threshold = lambda: -np.partition(-sums, kth - 1, axis=1)[:, kth - 1:kth]
+        first = np.zeros(bounds.shape, bool)
+        np.put_along_axis(first, np.argsort(-bounds, axis=1)[:, :2], True, axis=1)
+        complete(first & ~done)
+        complete(~done & (bounds >= threshold() - ROUNDING / 2))
+        self.completed += int(done.sum())
+        self.bounded += done.size
+        # A block that was not completed holds none of the k nearest: its bound is below the threshold.
+        low = threshold() - ROUNDING
+        in_blocks[~done] = -1
+        out = []
+        for i, vector in enumerate(vectors):
+            rows = np.flatnonzero((sums[i] >= low[i]) & (sums[i] > 0))
+            cosines = self._exact(vector, rows) if len(rows) else np.zeros(0)
+            order = np.lexsort((rows, -np.round(cosines, 12)))[:k]
+            order = order[cosines[order] > 0]
+            out.append((rows[order], cosines[order]))
+        return out
+
+
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many toxic and clean texts (``_text, _toxic``) each term occurs, counted per batch."""
     for batch in batches:
-        for start in range(0, batch.num_rows, 1024):
-            part = batch.slice(start, 1024)
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
             counts = Counter(), Counter()
-            for text, label in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                counts[label].update(terms_in(text).keys())
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                counts[label].update(terms_in(text)[0].keys())
             every = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays([
                 pa.array(every, pa.binary()), pa.array([counts[1][t] for t in every], pa.int64()),
-                pa.array([counts[0][t] for t in every], pa.int64())], names=["term", "toxic", "other"])
+                pa.array([counts[0][t] for t in every], pa.int64())], names=["term", "toxic", "clean"])
+
+
+def _frequencies(docs: DataFrame, text: Column, terms: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """In how many documents each term of the vocabulary occurs, and how many documents there are."""
+    width = len(terms)
+    shared = docs.sparkSession.sparkContext.broadcast(ToxicityModel.of(terms, np.ones(width), [], [], []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, rows = np.zeros(width + 1, np.int64), 0
+        for batch in batches:
+            for value in batch.column(0):
+                counts[shared.value.known(value.as_py())[0]] += 1
+            rows += batch.num_rows
+        counts[-1] = rows
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["term", "docs"])
+
+    counted = docs.select(text).mapInArrow(tidy(run), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[counted["term"].to_numpy()] = counted["docs"].to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def relevance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """How much more often than expected a term occurs in toxic examples, at least 1, to the third power."""
+    return np.maximum(1.0, (toxic + DOUBT) / ((toxic + clean) * share + DOUBT)) ** 3
 
 
 def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAMPLE, id_column: str = "doc_id",
@@ -205,69 +350,76 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
     known = known.where(F.col("_order") <= min((1 << 63) - 1, int(part * (1 << 64)) - (1 << 63))).orderBy("_order", "_id").limit(sample)
     drawn = spark.createDataFrame(known.toArrow())  # at most ``sample`` rows
     text = text_of(text_column).alias("_text")
-    texts = (docs.select(F.col(id_column).cast("long").alias("_id"), text)
-             .join(F.broadcast(drawn), "_id").select("_id", "_text", "_toxic", "_order")
-             .dropDuplicates(["_text", "_toxic"]))  # copies would lend their words too much weight
+    # Equal texts are one example: the first in the order of the sample, toxic if one of them is.
+    first = F.min(F.struct("_order", "_id")).alias("_first")
+    texts = written(docs.select(F.col(id_column).cast("long").alias("_id"), text)
+                    .join(F.broadcast(drawn), "_id").groupBy("_text").agg(F.max("_toxic").alias("_toxic"), first)
+                    .select("_text", "_toxic", "_first._order", "_first._id"), "examples")
     example = F.pmod(F.col("_order"), F.lit(5)) != 0
-    n = {r[0]: r[1] for r in drawn.where(example).groupBy("_toxic").count().collect()}
-    toxic, other = n.get(1, 0), n.get(0, 0)
-    a, b = F.col("toxic").cast("double"), F.col("other").cast("double")
-    chi = ((toxic + other) * F.pow(a * other - b * toxic, 2)
-           / ((a + b) * (toxic + other - a - b + 1) * F.lit(float(max(toxic * other, 1)))))
-    chosen = (texts.where(example).select("_id", "_text", "_toxic")
-              .mapInArrow(tidy(_term_counts), "term binary, toxic long, other long")
-              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-              .where(F.col("toxic") + F.col("other") >= max(LEAST_DOCS, (toxic + other) / LEAST_PART)).where(a * other > b * toxic)
-              .withColumn("_chi", chi).where(F.col("_chi") >= LEAST_CHI)
-              .orderBy(F.desc("_chi"), "term").limit(TERMS).select("term").collect())
-    terms = {bytes(r[0]): i for i, r in enumerate(chosen)}
-    empty = (np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    frame = ToxicityModel(terms, np.ones(len(terms)), np.zeros(0, np.int64), np.zeros(0, np.int64), *empty)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(len(terms), np.int64), 0
+    counted = (texts.where(example).select("_text", "_toxic")
+               .mapInArrow(tidy(_class_counts), "term binary, toxic long, clean long")
+               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow().sort_by("term"))
+    terms = {t: i for i, t in enumerate(counted["term"].to_pylist())}
+    sizes = {r[0]: r[1] for r in texts.where(example).groupBy("_toxic").count().collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    held, every = _frequencies(docs, text, terms)
+    weights = (np.log((1 + every) / (1 + held)) + 1) * relevance(counted["toxic"].to_numpy(), counted["clean"].to_numpy(), share)
+    frame = ToxicityModel.of(terms, weights, [], [], [])
+    shared = spark.sparkContext.broadcast(frame)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                counts[frame.vector(value.as_py())[0]] += 1
-            rows += batch.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(terms)), -1)),
-                                          pa.array(np.append(counts, rows))], names=["term", "docs"])
-
-    counted = dict(docs.select(text).mapInArrow(tidy(frequencies), "term long, docs long")
-                   .groupBy("term").agg(F.sum("docs")).collect())
-    all_docs = counted.get(-1, 0)
-    idf = np.array([np.log((1 + all_docs) / (1 + counted.get(t, 0))) + 1 for t in range(len(terms))])
-    frame = ToxicityModel(terms, idf, np.zeros(0, np.int64), np.zeros(0, np.int64), *empty)
+            made = [shared.value.vector(value.as_py()) for value in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[1:], pa.array([t for t, _ in made], pa.list_(pa.int32())),
+                pa.array([w for _, w in made], pa.list_(pa.float64()))], ["_toxic", "_order", "_id", "terms", "weights"])
+
     # The sample comes to the driver as vectors over the vocabulary.
-    schema = pa.schema([("_id", pa.int64()), ("_toxic", pa.int32()), ("_order", pa.int64()),
-                        ("terms", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64()))])
-    rows = (texts.select("_id", "_toxic", "_order", "_text")
-            .mapInArrow(per_row(lambda value: frame.vector(value), ["_id", "_toxic", "_order"], schema),
-                        "_id long, _toxic int, _order long, terms array<bigint>, weights array<double>")
-            .toArrow().to_pylist())
-    rows.sort(key=lambda r: (r["_order"], r["_id"]))
-    vectors = [((r["terms"], np.array(r["weights"])), r) for r in rows]
-    # Examples with the same leading term share blocks, so that few blocks have high bounds.
-    examples = sorted((v for v in vectors if v[1]["_order"] % 5), key=lambda e: (
-        e[0][0][int(np.argmax(e[0][1]))] if e[0][0] else len(terms), e[1]["_order"]))
-    model = ToxicityModel(
-        terms, idf, np.array([r["_id"] for _, r in examples], np.int64),
-        np.array([r["_toxic"] for _, r in examples], np.int64), *_index([v for v, _ in examples], len(terms)))
-    rest = [v for v in vectors if not v[1]["_order"] % 5]
-    if vectors:
-        model.calibrate([v for v, _ in rest], [r["_toxic"] for _, r in rest])
+    rows = texts.select("_text", "_toxic", "_order", "_id").mapInArrow(
+        tidy(vectors), "_toxic int, _order long, _id long, terms array<int>, weights array<double>").toArrow()
+    rows = sorted(zip(*(rows[c].to_pylist() for c in ("_order", "_id", "_toxic")), rows["terms"], rows["weights"], strict=True),
+                  key=lambda r: r[:2])
+    as_vector = lambda r: (np.array(r[3].values, np.int64), np.array(r[4].values, float))
+    examples, rest = [r for r in rows if r[0] % 5], [r for r in rows if not r[0] % 5]
+    found = [as_vector(r) for r in examples]
+    order = block_order(projected(found, len(terms)))
+    model = ToxicityModel.of(terms, weights, [examples[i][1] for i in order], [examples[i][2] for i in order],
+                             [found[i] for i in order])
+    if rows:
+        model.calibrate([as_vector(r) for r in rest], [r[2] for r in rest])
     return model
 
 
+def projected(vectors: list[Vector], terms: int, dimensions: int = 24) -> np.ndarray:
+    """The vectors by random signs in few dimensions, from a fixed seed."""
+    signs = np.random.default_rng(1).choice(np.float32([-1, 1]), (terms, dimensions))
+    return np.array([w @ signs[t] for t, w in vectors]).reshape(len(vectors), dimensions)
+
+
+def _in_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                yield work(batch.slice(start, BATCH))
+
+    return tidy(run)
+
+
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_column: str = "doc_id",
           text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``score``, ``predicted`` and the ``evidence``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    near = pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])
-    schema = pa.schema([(id_column, pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(near))])
+    near = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        scored = shared.value.scores(part.column(1).to_pylist())
+        return pa.RecordBatch.from_arrays([
+            part.column(0), pa.array([s for s, _ in scored], pa.float64()),
+            pa.array([shared.value.evidence(n) for _, n in scored], near)], [id_column, "score", "evidence"])
+
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), text_of(text_column).alias("_text"))
     scored = rows.mapInArrow(
-        per_row(lambda text: shared.value.score(text), [id_column], schema),
+        _in_batches(work),
         f"`{id_column}` long, score double, evidence array<struct<example_id: bigint, cosine: double, toxic: int>>")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -277,9 +429,8 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_column)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [shared.value.score(value.as_py() or "")[0] < threshold for value in batch.column(at)]
-            yield batch.filter(pa.array(low, pa.bool_()))
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [value.as_py() or "" for value in part.column(at)]
+        return part.filter(pa.array([s < threshold for s, _ in shared.value.scores(texts)], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return docs.mapInArrow(_in_batches(work), docs.schema)

@@ -30,43 +30,151 @@ def toy(spark, n=400):
 def test_toxic_texts_score_higher_and_evidence_is_labelled(spark):
     docs, labels = toy(spark)
     model = toxicity.fit(docs, labels, crc_of("doc_id") % 4 != 2)
-    assert b"vileword" in model.terms and b"nastything" in model.terms
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert {i for i, r in got.items() if r.predicted} == {i for i in got if i % 5 == 0}
     assert all(0 <= r.score <= 1 for r in got.values())
-    assert {e.toxic for e in got[0].evidence} == {1} and got[1].evidence == []
+    assert {e.toxic for e in got[0].evidence} == {1} and {e.toxic for e in got[1].evidence} == {0}
     held = {i for i in got if zlib.crc32(str(i).encode()) % 4 == 2}
     assert not held & {e.example_id for r in got.values() for e in r.evidence}
     left = toxicity.without_toxic(docs, model)
     assert left.schema == docs.schema and {r.doc_id for r in left.collect()} == {i for i in got if i % 5}
 
 
-def test_nearest_examples_are_exact():
+def toxicity_rows(spark, sf):
+    docs = [(r.doc_id, r.text or "") for r in table(spark, sf, "documents").collect()]
+    toxic = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}
+    return docs, toxic
+
+
+def plain_terms(text):
+    """Terms of a text by their definition, one word at a time."""
+    tokens = text.encode().translate(toxicity.PLAIN).split()
+    found = Counter(tokens)
+    for length in (4, 6):
+        for stem in {t[:length] for t in tokens if len(t) > length}:
+            n = sum(t.startswith(stem) and len(t) > length for t in tokens)
+            found[stem + b"*"] = n
+            for mark, least in ((b"*1", 0.002), (b"*2", 0.008), (b"*3", 0.03)):
+                if n / len(tokens) >= least:
+                    found[stem + mark] = n
+    return found, len(tokens)
+
+
+def test_model_and_scores_against_brute_force(spark):
+    """Examples, weights, cosines over all terms, votes: all done again in plain loops."""
+    docs, toxic = toxicity_rows(spark, "/root/testdata/sf0.001")
+    model = toxicity.fit(table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels"),
+                         crc_of("doc_id") % 4 != 2)
+    order = {r.doc_id: r.o for r in table(spark, "/root/testdata/sf0.001", "documents").selectExpr(
+        "doc_id", "xxhash64(doc_id, 1) AS o").collect()}
+    learn = {}
+    for i, text in docs:
+        if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2:
+            best, label = learn.get(text, ((order[i], i), 0))
+            learn[text] = min(best, (order[i], i)), max(label, toxic[i])
+    examples = {i: (plain_terms(text), label) for text, ((o, i), label) in learn.items() if o % 5}
+    a, b = Counter(), Counter()
+    for (terms, _), label in examples.values():
+        (a if label else b).update(terms.keys())
+    share = sum(label for _, label in examples.values()) / len(examples)
+    held = Counter(t for _, text in docs for t in plain_terms(text)[0])
+    weight = {t: (math.log((1 + len(docs)) / (1 + held[t])) + 1) * max(1, (a[t] + 2) / ((a[t] + b[t]) * share + 2)) ** 3
+              for t in set(a) | set(b)}
+    assert set(model.terms) == set(weight) and set(model.example_ids.tolist()) == set(examples)
+
+    def unit(terms, size):
+        v = {t: math.log1p(1000 * n / size) * weight[t] for t, n in terms.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: unit(*terms) for i, (terms, _) in examples.items()}
+    scored = {r.doc_id: r for r in toxicity.score(table(spark, "/root/testdata/sf0.001", "documents"), model).collect()}
+    for i, text in docs[:120]:
+        q = unit(*plain_terms(text))
+        cosines = {e: sum(x * v.get(t, 0) for t, x in q.items()) for e, v in vectors.items()}
+        best = sorted((c for c in cosines.values() if c > 0), reverse=True)[:16]
+        assert np.allclose([e.cosine for e in scored[i].evidence], np.minimum(best, 1), atol=1e-9)
+        assert all(abs(cosines[e.example_id] - e.cosine) < 1e-9 and examples[e.example_id][1] == e.toxic
+                   for e in scored[i].evidence)
+        votes = [(c / (1 - min(c, 1) + 0.05), t) for c, t in ((e.cosine, e.toxic) for e in scored[i].evidence)]
+        vote = (sum(w * t for w, t in votes) + 0.2 * share) / (sum(w for w, _ in votes) + 0.2) if votes else None
+        want = model.alone if vote is None else np.interp(vote, model.votes, model.chances)
+        assert scored[i].score == pytest.approx(want, abs=1e-9)
+
+
+def model_of(dense, toxic=None, order=None):
+    vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense]
+    terms = dense.shape[1]
+    return toxicity.ToxicityModel.of({str(i).encode(): i for i in range(terms)}, np.ones(terms), list(range(len(dense))),
+                                     [0] * len(dense) if toxic is None else toxic, vectors)
+
+
+@pytest.mark.parametrize("common", [0, 7, 1000])
+def test_nearest_examples_are_exact(common):
     rng = np.random.default_rng(4)
     n, terms = 700, 30
     dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.15)
     dense[::7] = dense[0]  # ties
     dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
-    vectors = [(np.flatnonzero(v).tolist(), v[np.flatnonzero(v)]) for v in dense]
-    model = toxicity.ToxicityModel({str(i).encode(): i for i in range(terms)}, np.ones(terms), np.arange(n),
-                                   np.zeros(n, np.int64), *toxicity._index(vectors, terms))
-    for _ in range(50):
-        q = rng.random(terms) * (rng.random(terms) < 0.2)
-        q /= max(np.linalg.norm(q), 1e-9)
-        best, cosines = model.nearest(np.flatnonzero(q).tolist(), q[np.flatnonzero(q)], 10)
+    index = toxicity.Index(model_of(dense), common)
+    queries = [q / max(np.linalg.norm(q), 1e-9) for q in rng.random((60, terms)) * (rng.random((60, terms)) < 0.2)] + [np.zeros(terms)]
+    got = index.nearest([(np.flatnonzero(q), q[np.flatnonzero(q)]) for q in queries], 10)
+    for q, (best, cosines) in zip(queries, got, strict=True):
         truth = np.round(dense @ q, 12)
         order = [i for i in np.lexsort((np.arange(n), -truth)) if truth[i] > 0][:10]
         assert best.tolist() == order and np.allclose(cosines, truth[order])
 
 
+def test_blocks_that_cannot_hold_a_neighbour_are_skipped():
+    rng = np.random.default_rng(5)
+    # Four groups of examples with terms of their own, as languages have; one query in each.
+    dense = np.zeros((2000, 400))
+    for g in range(4):
+        dense[g * 500:(g + 1) * 500, g * 100:(g + 1) * 100] = rng.random((500, 100)) * (rng.random((500, 100)) < 0.3)
+    dense = dense[rng.permutation(2000)]
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense]
+    dense = dense[toxicity.block_order(toxicity.projected(vectors, 400))]
+    index = toxicity.Index(model_of(dense))
+    got = index.nearest([(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense[::100]])
+    assert index.completed < index.bounded * 0.6  # a quarter of the blocks holds the neighbours
+    for row, (best, cosines) in zip(dense[::100], got, strict=True):
+        assert np.allclose(cosines, np.sort(dense @ row)[::-1][:16])
+
+
 def test_calibration_is_monotone():
-    model = toxicity.ToxicityModel({b"t": 0}, np.ones(1), np.arange(2), np.array([0, 1]),
-                                   np.array([0, 2]), np.array([0, 1]), np.array([1.0, 1.0]))
-    model.calibrate([([0], np.array([1.0]))] * 6 + [([], np.zeros(0))] * 4, [1, 0, 1, 0, 1, 1, 0, 0, 0, 1])
+    one, none = (np.array([0]), np.array([1.0])), (np.zeros(0, np.int64), np.zeros(0))
+    model = toxicity.ToxicityModel.of({b"t": 0}, np.ones(1), [0, 1], [0, 1], [one, one])
+    model.calibrate([one] * 6 + [none] * 4, [1, 0, 1, 0, 1, 1, 0, 0, 0, 1])
     assert (np.diff(model.chances) >= 0).all() and (np.diff(model.votes) >= 0).all()
     assert model.alone == pytest.approx((1 + 6 / 12) / 5)
 
 
+def test_few_toxic_labels_still_separate(spark):
+    """Thirty toxic labels in the sample."""
+    docs, toxic = toxicity_rows(spark, LARGER)
+    learnable = [i for i, _ in docs if i in toxic and zlib.crc32(str(i).encode()) % 4 != 2]
+    bad = [i for i in learnable if toxic[i]][:30]
+    keep = set(bad) | {i for i in learnable if not toxic[i]}
+    labels = spark.createDataFrame([(i, 1, toxic[i]) for i in sorted(keep)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(table(spark, LARGER, "documents"), labels, crc_of("doc_id") % 4 != 2, sample=20_000)
+    held = [(i, t) for i, t in docs if i in toxic and zlib.crc32(str(i).encode()) % 4 == 2]
+    scores = {i: s for part in range(0, len(held), 64)
+              for (i, _), (s, _) in zip(held[part:part + 64], model.scores([t for _, t in held[part:part + 64]]), strict=True)}
+    pairs = [(scores[i] > scores[j]) + (scores[i] == scores[j]) / 2 for i in scores for j in scores if toxic[i] > toxic[j]]
+    assert np.mean(pairs) > 0.9
+
+
+def test_neighbours_and_scores_are_spread(spark):
+    docs, _ = toxicity_rows(spark, SF)
+    model = toxicity.fit(table(spark, SF, "documents"), table(spark, SF, "labels"), crc_of("doc_id") % 4 != 2)
+    rows = toxicity.score(table(spark, SF, "documents"), model).collect()
+    texts = dict(docs)
+    full = [r for r in rows if texts[r.doc_id].strip()]
+    assert np.mean([len(r.evidence) > 0 for r in full]) > 0.95
+    assert Counter(round(r.score, 6) for r in rows).most_common(1)[0][1] < 0.2 * len(rows)
+
+
 def test_toxicity_of_odd_rows_and_without_labels(spark):
     docs, labels = toy(spark)
     model = toxicity.fit(docs, labels, crc_of("doc_id") % 4 != 2)
