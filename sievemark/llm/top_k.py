@@ -1,33 +1,42 @@
 """Operator 8: exact top-k by inner product with the threshold algorithm over sorted lists.
 
-Candidates are dealt into blocks by a hash of their id. A block keeps one list per dimension, sorted by
-component. A query reads the lists of its non-zero dimensions from the end that suits the sign of its
-component, in rounds of growing depth; every vector met under sorted access gets its full score by random
-access. The best score of a vector not met yet is bounded by the product of the query with the
-components at the present depth. A query is done when that bound is below its k-th score (a bound equal
-to it could still hide a tie with a smaller id) or all vectors are met. All queries of a block of queries
-advance together. The k best of each block meet in one ranking per query.
+A task reads its candidates in blocks of ``CANDIDATES``. A block keeps one list per dimension, sorted by component. A
+query reads the lists of its non-zero dimensions from the end that suits the sign of its component. The best score
+of a vector not met yet is bounded by the product of the query with the components at the present depths. Each round goes
+deeper in the dimensions that hold the largest shares of this bound, not in all alike; every vector met there gets its full
+score by random access. A query is done with a block when the bound is below its k-th score (a bound equal to it could
+still hide a tie with a smaller id). The k-th score is carried from block to block, so a block whose largest components cannot
+beat it is left without a single access. When few vectors of a block are unmet they are scored at once.
 
-Queries are a stated set, matched in blocks: a block of queries meets a block of candidates, so memory is
-bounded by two blocks and the work is spread evenly whatever the data.
+Queries are a stated set, taken in blocks that are sent to the tasks: candidates are neither copied nor shuffled. The k
+best of each task meet in one ranking per query.
 
 Components are integers; products are summed in doubles while they are exact, else in 64-bit integers.
 Vectors that are null, hold nulls or non-finite components, or have no id take no part; shorter vectors
-count as ending in zeros. A query id counts once; vectors with the query's own id are no candidates,
-other repeated vectors each keep their row. Ties go to the smaller id. Fewer than k candidates give
-fewer rows, an empty table none; further columns are ignored.
+count as ending in zeros. A query id counts once (of several vectors the smallest); vectors with the query's own id are
+no candidates, other repeated vectors each keep their row. Ties go to the smaller id. Fewer than k candidates give
+fewer rows, an empty table none; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES, QUERIES = 1024, 1024
-#: Depth of the first round, and how much deeper each further round goes.
-FIRST_DEPTH, DEEPER = 16, 4
+from sievemark.llm.frames import tidy, written
+from sievemark.session import scratch_folder
+
+#: Vectors of a block of candidates, and components of a block of queries.
+CANDIDATES, QUERY_CELLS = 16_384, 1 << 20
+#: Depth of the first access to a list, and how much deeper each further one goes.
+FIRST_DEPTH, DEEPER = 8, 2
+#: Part of the dimensions that a round goes deeper in; part of a block that is scored at once when it alone is unmet.
+LEADING, REST = 8, 4
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
@@ -39,67 +48,103 @@ def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: flo
                        F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))).alias("v"))
 
 
-def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = column.combine_chunks()
-    lengths = rows.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = rows.flatten().to_numpy(zero_copy_only=False)
-    if (lengths == width).all():
-        return flat.reshape(len(lengths), width)
-    out = np.zeros((len(lengths), width), np.int64)
-    out[np.arange(width) < lengths[:, None]] = flat
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    return [np.array(x, np.int64) for x in column.to_pylist()]
+
+
+def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), width), np.int64)
+    for i, row in enumerate(rows):
+        out[i, :len(row)] = row[:width]
     return out
 
 
-def _width(column: pa.ChunkedArray) -> int:
-    return max([0, *(len(x) for x in column.to_pylist())])
+class Best:
+    """The k best of each query so far, carried from block to block."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = [np.zeros(0, np.int64)] * queries
+        self.ids = [np.zeros(0, np.int64)] * queries
+        #: Vectors scored and vectors offered, for tests and figures.
+        self.scored = self.offered = 0
+
+    def kth(self, query: int) -> int | None:
+        return int(self.scores[query][-1]) if len(self.scores[query]) == self.k else None
+
+    def add(self, query: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        scores, ids = np.append(self.scores[query], scores), np.append(self.ids[query], ids)
+        order = np.lexsort((ids, -scores))[:self.k]
+        self.scores[query], self.ids[query] = scores[order], ids[order]
 
 
 class SortedLists:
     """A block of candidates: ids, components, and one sorted list per dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], vectors[order]
-        lists = np.argsort(self.vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.vectors, lists, axis=0)
-        self.place = np.empty_like(lists)
-        np.put_along_axis(self.place, lists, np.arange(len(ids))[:, None], axis=0)
-
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """The k best of each query: query id, candidate id, score."""
+        self.ids, self.vectors = ids, vectors
+        self.order = np.argsort(vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(vectors, self.order, axis=0)
+
+    def search(self, best: Best, query: int, query_id: int, vector: np.ndarray) -> None:
+        """Take what the block holds for one query into ``best``."""
         n = len(self.ids)
-        largest = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries).max(initial=0))
-        kind = np.float64 if largest * max(1, queries.shape[1]) < 2**53 else np.int64
-        vectors, queries = self.vectors.astype(kind), queries.astype(kind)
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        rising, falling = (up > 0).astype(np.float32), (down < 0).astype(np.float32)
-        open_, depth, found = np.arange(len(queries)), min(FIRST_DEPTH, n), []
-        while len(open_):
-            near_end = (self.place >= n - depth).astype(np.float32)
-            near_start = (self.place < depth).astype(np.float32)
-            met = (rising[open_] @ near_end.T + falling[open_] @ near_start.T) > 0
-            if depth == n:
-                met[:] = True  # also what only zero components lead to
-            own = query_ids[open_][:, None] == self.ids[None, :]
-            some = np.flatnonzero(met.any(axis=0))
-            scores = queries[open_] @ vectors[some].T
-            usable = (met & ~own)[:, some]
-            bound = up[open_] @ self.values[n - depth].astype(kind) + down[open_] @ self.values[depth - 1].astype(kind)
-            still = []
-            enough = usable.sum(axis=1) >= k
-            if kind == np.float64 and len(some) > k:
-                kth = -np.partition(np.where(usable, -scores, np.inf), k - 1, axis=1)[:, k - 1]
-            else:
-                kth = np.array([np.sort(s[u])[-k] if u.sum() >= k else 0 for s, u in zip(scores, usable, strict=True)])
-            for i, query in enumerate(open_.tolist()):
-                if depth < n and not (enough[i] and kth[i] > bound[i]):
-                    still.append(query)
-                    continue
-                pick = np.flatnonzero(usable[i] & (scores[i] >= kth[i])) if enough[i] else np.flatnonzero(usable[i])
-                pick = pick[np.argsort(-scores[i][pick], kind="stable")][:k]
-                found += [(int(query_ids[query]), int(self.ids[some[p]]), int(scores[i][p])) for p in pick]
-            open_, depth = np.array(still, np.int64), min(n, depth * DEEPER)
-        return found
+        best.offered += n
+        dims = np.flatnonzero(vector)
+        largest = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(vector).max(initial=0))
+        kind = np.float64 if largest * max(1, len(vector)) < 2**53 else np.int64
+        q, falling = vector[dims].astype(kind), vector[dims] < 0
+        depth = np.zeros(len(dims), np.int64)
+        unmet = np.ones(n, bool)
+
+        def score(rows: np.ndarray) -> None:
+            unmet[rows] = False
+            best.scored += len(rows)
+            rows = rows[self.ids[rows] != query_id]
+            if len(rows):
+                best.add(query, (self.vectors[rows][:, dims].astype(kind) @ q).astype(np.int64), self.ids[rows])
+
+        while True:
+            # The components at the present depths are the largest that a vector not met can have.
+            shares = q * self.values[np.where(falling, depth, n - 1 - depth), dims]
+            kth = best.kth(query)
+            if kth is not None and int(shares.sum()) < kth:
+                return
+            deeper = np.argsort(-shares, kind="stable")[:max(1, -(-len(dims) // LEADING))] if len(dims) else dims
+            goal = np.minimum(n, np.maximum(FIRST_DEPTH, depth[deeper] * DEEPER))
+            if not len(dims) or (goal == n).any() or unmet.sum() * REST <= n:
+                score(np.flatnonzero(unmet))
+                return
+            found = [self.order[d:g, dim] if f else self.order[n - g:n - d, dim] for d, g, dim, f in zip(
+                depth[deeper], goal, dims[deeper], falling[deeper], strict=True)]
+            rows = np.unique(np.concatenate(found))
+            depth[deeper] = goal
+            score(rows[unmet[rows]])
+
+
+def best_of_task(query_ids: np.ndarray, queries: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Best:
+    """Search the candidates of a task (``vec_id, v``) for a block of queries, block after block."""
+    best = Best(len(query_ids), k)
+    ids: list[np.ndarray] = []
+    rows: list[np.ndarray] = []
+
+    def search() -> None:
+        width = max(queries.shape[1], 1)  # what a candidate has beyond meets zeros
+        lists = SortedLists(np.concatenate(ids), _matrix(rows, width))
+        for query, (query_id, vector) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+            lists.search(best, query, query_id, np.pad(vector, (0, width - len(vector))))
+        ids.clear()
+        rows.clear()
+
+    for batch in batches:
+        if batch.num_rows:
+            ids.append(batch.column(0).to_numpy())
+            rows += _rows(batch.column(1))
+        if len(rows) >= CANDIDATES:
+            search()
+    if rows:
+        search()
+    return best
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_column: str = "vec_id",
@@ -108,28 +153,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.
 
     ``is_query`` is a condition on ``vec_id``.
     """
-    rows = quantized(vectors, id_column, vector_column, scale)
-    queries = rows.where(is_query).dropDuplicates(["vec_id"])
-    n, n_queries = rows.count(), queries.count()
-    blocks, query_blocks = max(1, -(-n // CANDIDATES)), max(1, -(-n_queries // QUERIES))
-
-    def deal(frame: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        return (frame.withColumn(own, F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(parts)))
-                .withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long")))))
-
-    def meet(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        found = []
-        if candidates.num_rows and asked.num_rows:
-            width = max(_width(candidates["v"]), _width(asked["v"]))
-            lists = SortedLists(candidates["vec_id"].to_numpy(), _matrix(candidates["v"], width))
-            found = lists.best(asked["vec_id"].to_numpy(), _matrix(asked["v"], width), k)
-        ids, others, scores = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "vec_id": pa.array(others, pa.int64()),
-                         "score": pa.array(scores, pa.int64())})
-
-    met = (deal(rows, "_block", blocks, "_queries", query_blocks).groupBy("_block", "_queries")
-           .cogroup(deal(queries, "_queries", query_blocks, "_block", blocks).groupBy("_block", "_queries"))
-           .applyInArrow(meet, "query_id long, vec_id long, score long"))
+    spark = vectors.sparkSession
+    rows = written(quantized(vectors, id_column, vector_column, scale), "vectors")
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = written(asked, "queries")
+    width = asked.agg(F.max(F.size("v"))).first()[0] or 0
+    folder = scratch_folder(spark, "top-k")
+    schema = "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(folder)
+    waiting = asked.toLocalIterator()
+    while block := list(islice(waiting, max(1, QUERY_CELLS // max(1, width)))):
+        _search_block(rows, block, width, k).write.mode("append").parquet(folder)
+    return spark.read.schema(schema).parquet(folder)
+
+
+def _search_block(rows: DataFrame, block: list, width: int, k: int) -> DataFrame:
+    query_ids = np.array([r[0] for r in block], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((query_ids, _matrix([np.array(r[1], np.int64) for r in block], width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = shared.value
+        best = best_of_task(ids, queries, k, batches)
+        sizes = [len(s) for s in best.scores]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))],
+            ["query_id", "vec_id", "score"])
+
+    met = rows.select("vec_id", "v").mapInArrow(tidy(run), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,58 @@ def test_exposure_is_the_chance_of_coming_to_a_seed(spark):
     got = {r.host: r["rank"] for r in url_filter.exposure(frame, hosts("a", "b", "bad"), hosts("bad")).collect()}
     a = 0.85 * 0.25 / (1 - 0.85 * 0.75 * 0.85 * 0.5)
     assert got == {"bad": 1.0, "a": pytest.approx(a, abs=1e-5), "b": pytest.approx(0.85 * 0.5 * a, abs=1e-5)}
+
+
+def local_search(vectors, queries, k=5, size=1000):
+    """All vectors through blocks of ``size``, without Spark."""
+    ids = np.arange(len(vectors))
+    best = top_k.Best(len(queries), k)
+    for at in range(0, len(vectors), size):
+        lists = top_k.SortedLists(ids[at:at + size], vectors[at:at + size])
+        for q, i in enumerate(queries):
+            lists.search(best, q, i, vectors[i])
+    return best
+
+
+def check_local(vectors, queries, best, k=5):
+    for q, i in enumerate(queries):
+        scores = vectors @ vectors[i]
+        order = [j for j in np.lexsort((np.arange(len(vectors)), -scores)) if j != i][:k]
+        assert best.ids[q].tolist() == order and best.scores[q].tolist() == scores[order].tolist()
+
+
+def test_few_vectors_are_scored_where_components_are_skewed():
+    rng = np.random.default_rng(6)
+    vectors = (rng.pareto(1.5, (8000, 6)) * 20).astype(np.int64)
+    queries = list(range(0, 8000, 400))
+    best = local_search(vectors, queries)
+    check_local(vectors, queries, best)
+    assert best.scored < best.offered / 4
+
+
+def test_blocks_that_cannot_beat_the_known_scores_are_left_alone():
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(-50, 50, (4000, 32))
+    vectors[:100] *= 40  # the first block holds all that counts
+    queries = list(range(0, 100, 10))
+    best = local_search(vectors, queries)
+    check_local(vectors, queries, best)
+    assert best.scored <= 1000 * len(queries)
+
+
+def test_odd_names_and_repeated_queries(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (3, [])]
+    vectors = spark.createDataFrame([(i, v, 0, "a", "b", "c") for i, v in rows],
+                                    "vec_id long, embedding array<float>, _block int, _queries string, v string, rank string")
+    got = sorted(map(tuple, top_k.search(vectors, F.col("vec_id") == 0, 5).collect()))
+    # The smaller of the two vectors of the query asks; both are no candidates.
+    assert got == [(0, 1, 1, 256 * 256), (0, 2, 2, 0), (0, 3, 3, 0)]
+
+
+@pytest.mark.parametrize("cells,candidates", [(10, 7), (1 << 20, 1 << 14)])
+def test_blocks_of_queries_and_candidates(spark, monkeypatch, cells, candidates):
+    monkeypatch.setattr(top_k, "QUERY_CELLS", cells)
+    monkeypatch.setattr(top_k, "CANDIDATES", candidates)
+    r = random.Random(2)
+    rows = [(i, [r.choice([-1.0, 0.0, 0.5, 3.0]) for _ in range(5)]) for i in range(150)]
+    assert search(spark, rows) == plain_top(rows, 5)
