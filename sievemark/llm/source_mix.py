@@ -128,32 +128,52 @@ def on_the_line(sized: DataFrame) -> DataFrame:
             .drop("_shift"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id",
-        text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``."""
+def _scheduled(docs: DataFrame, weights: tuple[int, ...], most: int, id_column: str, text_column: str, source_column: str
+               ) -> tuple[DataFrame, DataFrame]:
+    """Pieces of documents with the places of the schedule that take them (null ``slot``: none does); documents without words."""
     sized = written(sizes_of(docs, id_column, text_column, source_column), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources, total = with_targets(sources, weights, most)
     sources = written(sources, "targets")
     known = with_blocks(sources, total).select(
         _key(F.col("source")).alias("_key"), "s", "source_size", "target", "blocks")
-    rows = sized.withColumn("_key", _key(F.col("source"))).join(known, "_key").drop("_key", "source")
-    times = (schedule(sources.select("s", "source_size", "target"), total, most)
-             .groupBy("s", "block").agg(F.count("*").alias("_times")))
+    rows = sized.withColumn("_key", _key(F.col("source"))).join(known, "_key").drop("_key")
+    places = schedule(sources.select("s", "source_size", "target"), total, most)
     # Block j holds the words from j * size / blocks on, so all blocks are evenly full.
     first = F.expr("start * blocks div source_size")
     last = F.expr("(start + size - 1) * blocks div source_size")
-    begin = F.expr("(block * source_size + blocks - 1) div blocks")
-    end = F.expr("((block + 1) * source_size + blocks - 1) div blocks")
-    overlap = F.greatest(F.lit(0), F.least(F.col("start") + F.col("size"), end) - F.greatest("start", begin))
+    begin = F.greatest("start", F.expr("(block * source_size + blocks - 1) div blocks"))
+    end = F.least(F.col("start") + F.col("size"), F.expr("((block + 1) * source_size + blocks - 1) div blocks"))
     pieces = (on_the_line(rows.where("size > 0")).withColumn("block", F.explode(F.sequence(first, last)))
-              .withColumn("_words", overlap).where("_words > 0"))
-    taken = (pieces.join(times, ["s", "block"], "left")
-             .groupBy("s", "start", "doc_id", "size", "source_size", "target")
-             .agg(F.sum(F.col("_words") * F.coalesce("_times", F.lit(0))).alias("taken")))
+              .withColumns({"first_word": begin - F.col("start"), "words": end - begin}).where("words > 0"))
+    return pieces.join(places, ["s", "block"], "left"), rows.where("size = 0")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id",
+        text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken``; ``taken`` sums the mixture."""
+    pieces, empty = _scheduled(docs, weights, most, id_column, text_column, source_column)
+    used = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(F.lit(0))
+    taken = pieces.groupBy("s", "start", "doc_id", "size", "source_size", "target").agg(F.sum(used).alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return taken.select(*columns).unionByName(
-        rows.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*columns))
+    return taken.select(*columns).unionByName(empty.withColumn("taken", F.lit(0).cast("long")).select(*columns))
+
+
+def _in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows in the order of the schedule: partitions follow one another, each is sorted."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, id_column: str = "doc_id",
+            text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """The mixture itself, in the order of the schedule: ``slot, source, pass, doc_id, first_word, words``.
+
+    Each place holds the pieces of documents of one block: so many words of a document from a word (counted from 0) on. Any
+    stretch from the start holds every source to within a block of its share.
+    """
+    pieces, _ = _scheduled(docs, weights, most, id_column, text_column, source_column)
+    rows = pieces.where(F.col("slot").isNotNull())
+    return _in_order(rows, "slot", "s", "start", "doc_id").select("slot", "source", "pass", "doc_id", "first_word", "words")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3,
@@ -161,13 +181,20 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
                     source_column: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them: ``taken / size``, rounded; not at all for 0.
 
-    Rounding concerns the one or two documents of a source that lie across the edge of what is taken.
+    Copies stand at the places of the schedule that take the document first in each pass, so files and their rows
+    follow the mixture. Rounding concerns the one or two documents of a source that lie across the edge of what is taken.
     Rows that share an id, or have none, share one rounded number.
     """
-    times = written(
-        mix(docs, weights, most, id_column, text_column, source_column)
-        .groupBy(_key(F.col("doc_id").cast("string")).alias("_key"))
-        .agg(F.round(F.expr("try_divide(sum(taken), sum(size))")).cast("int").alias("_times")).where("_times > 0"), "times")
+    pieces = written(_scheduled(docs, weights, most, id_column, text_column, source_column)[0].select(
+        _key(F.col("doc_id").cast("string")).alias("_key"), "s", "start", "size", "slot", "pass", "words"), "pieces")
+    whole = pieces.groupBy("_key", "s", "start", "size").agg(
+        F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))).alias("taken")).groupBy("_key").agg(
+        F.round(F.expr("try_divide(sum(taken), sum(size))")).cast("int").alias("_times")).where("_times > 0")
+    # At most one place a pass and key.
+    places = (pieces.where(F.col("slot").isNotNull()).groupBy("_key", "pass").agg(F.min("slot").alias("slot"))
+              .groupBy("_key").agg(F.array_sort(F.collect_list("slot")).alias("_slots")))
+    times = written(whole.join(places, "_key"), "times")
     rows = docs.select(_key(F.col(id_column).cast("long").cast("string")).alias("_key"), F.struct("*").alias("_row"))
-    return (rows.join(times, "_key").select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
-            .select("_row.*"))
+    copies = rows.join(times, "_key").select("_key", "_row", "_slots", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+    slot = F.coalesce(F.try_element_at("_slots", F.col("_copy")), F.element_at("_slots", -1))
+    return _in_order(copies.withColumn("_slot", slot), "_slot", "_key", "_copy").select("_row.*")

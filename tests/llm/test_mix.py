@@ -117,3 +117,51 @@ def test_documents_come_as_often_as_taken(spark):
 def test_no_python_in_the_plan(spark):
     plan = source_mix.mix(documents(spark, rows_of({"a": 50, "b": 50})))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in NATIVE)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 3000, "b": 3000, "c": 3000}, {"a": 100, "b": 9000, "c": 50, None: 2000, "Z": 700}])
+def test_any_stretch_of_the_mixture_holds_each_source_in_proportion(spark, sizes):
+    rows = rows_of(sizes)
+    docs = documents(spark, rows)
+    mixture = source_mix.mixture(docs).collect()
+    slots = [r.slot for r in mixture]
+    assert slots == sorted(slots)  # collected in order of partitions: files follow the schedule
+    assert len({r.slot for r in mixture}) > 500
+    targets = plain_targets(sizes, (5, 2, 1), 3)
+    # A block is about a word here, or less: the total over the places, or a thousandth of the source.
+    block = {s: max(sum(sizes.values()) / source_mix.SLOTS, sizes[s] / source_mix.FINE, 1) for s in sizes}
+    held, at = defaultdict(int), 0
+    for part in range(1, 21):
+        edge = source_mix.SLOTS * part / 20
+        while at < len(mixture) and mixture[at].slot < edge:
+            held[mixture[at].source] += mixture[at].words
+            at += 1
+        for s in sizes:
+            assert abs(held[s] - targets[s] * part / 20) <= 2 * block[s] + 0.002 * targets[s], (s, part)
+    # What mix() says is the sum of the mixture, and no word is taken twice in a pass.
+    taken = defaultdict(int)
+    for r in mixture:
+        taken[r.doc_id] += r.words
+    size = {r.doc_id: r.size for r in source_mix.mix(docs).collect()}
+    assert {r.doc_id: r.taken for r in source_mix.mix(docs).collect() if r.taken} == dict(taken)
+    seen = defaultdict(set)
+    for r in mixture:
+        words_taken = set(range(r.first_word, r.first_word + r.words))
+        assert not words_taken & seen[r.doc_id, r["pass"]] and max(words_taken) < size[r.doc_id]
+        seen[r.doc_id, r["pass"]] |= words_taken
+
+
+def test_mixed_documents_stand_in_the_order_of_the_mixture(spark):
+    rows = rows_of({"a": 6000, "b": 6000, "c": 6000})
+    docs = documents(spark, rows)
+    first = {}
+    for r in source_mix.mixture(docs).collect():
+        first.setdefault((r.doc_id, r["pass"]), r.slot)
+    found = [r.doc_id for r in source_mix.mixed_documents(docs).collect()]
+    copies = defaultdict(int)
+    places = []
+    for i in found:
+        known = sorted(slot for (d, _), slot in first.items() if d == i)
+        places.append(known[min(copies[i], len(known) - 1)])
+        copies[i] += 1
+    assert places == sorted(places) and len(places) > 300
