@@ -11,9 +11,10 @@
 3. Stars. The member of a list whose values are most widespread is its pivot. Each other member is
    compared with the pivot: exact intersection of the full sets. That gives links, and components.
 4. The rest. Two members of a list can be linked though not both are linked with the pivot. Of members in
-   different components, those are compared whose sets can be similar enough: what both share with the
-   pivot is at most the smaller of the two shares, so they must share a number of shingles that the pivot
-   lacks. Inverted lists over these, again with only the rarest as far as that number demands, bring such
+   different components, those are compared whose sets can be similar enough. Either they share a number of
+   shingles that the pivot lacks, as what both share with the pivot is at most the smaller of the two shares; or
+   three quarters of each lie inside the pivot and are shared there. Inverted lists over the shingles beyond, and over those
+   inside the pivot, again with only the rarest as far as that number demands, bring such
    pairs together, and what they share beyond the pivot is counted in full. Such pairs pass the union-sketch estimate (the
    part of the union's smallest values that both hold, at least ``LEAST_ESTIMATE``: six deviations below
    0.75) and are then verified on the full sets.
@@ -188,7 +189,36 @@ def estimate(first: Column, second: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(first, second), smallest)) / F.greatest(F.size(smallest), F.lit(1))
 
 
-def other_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
+def rare_first(values: DataFrame, need: Column) -> DataFrame:
+    """Entries ``p, x, c, nx, i, value, rest`` of the inverted lists of stars.
+
+    ``values`` holds a row for each value of a member. With the values of a star in one order, rare ones first, two members that
+    share ``need`` of them meet in the first entries: all but ``need - 1`` of each. Values that members of one component alone
+    hold are left out. ``rest`` is how many entries a member has from here on.
+    """
+    both = (values.groupBy("p", "value").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("held"))
+            .where("_lo < _hi").select("p", "value", "held"))
+    return (values.join(both, ["p", "value"]).groupBy("p", "x", "c", "nx", "i")
+            .agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("_values"))
+            .withColumn("_left", (F.size("_values") - need + 1).cast("int")).where("_left > 0")
+            .select("p", "x", "c", "nx", "i", F.size("_values").alias("_all"),
+                    F.posexplode(F.slice("_values", 1, F.col("_left"))).alias("_at", "_v"))
+            .select("p", "x", "c", "nx", "i", (F.col("_all") - F.col("_at")).alias("rest"), F.col("_v.value").alias("value")))
+
+
+def meeting(entries: DataFrame, able: Column) -> DataFrame:
+    """Distinct pairs ``p, xa, xb`` of different components that meet in a list where ``able`` holds."""
+    sides = [entries.select("p", "value", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "c", "i", "rest")]) for s in "ab"]
+    differ = (F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb"))
+    return sides[0].join(sides[1], ["p", "value"]).where(differ & able).select("p", "xa", "xb").distinct()
+
+
+def reach(most: Column) -> Column:
+    """100 * inter >= 75 * (na + nb - inter), with the most that inter can be."""
+    return (UNDER + OVER) * most >= OVER * (F.col("nxa") + F.col("nxb"))
+
+
+def other_pairs(stars: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs ``x, p`` of one star, in different components, that can be linked; see step 4."""
     pivots = stars.select(F.col("p").alias("x"), "p", F.col("np").alias("nx"), F.col("np").alias("i"),
                           F.expr("cast(array() as array<bigint>)").alias("beyond")).dropDuplicates(["p"])
@@ -196,33 +226,23 @@ def other_pairs(stars: DataFrame, found: DataFrame) -> DataFrame:
     members = members.join(found, "x", "left").withColumn("c", F.coalesce("c", "x"))
     split = members.groupBy("p").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").select("p")
     members = written(members.join(split, "p", "left_semi"), "members")
-    sides = [members.select("p", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "i", "c")]) for s in "ab"]
-    differ = (F.col("xa") < F.col("xb")) & (F.col("ca") != F.col("cb"))
-    # 100 * inter >= 75 * (na + nb - inter), with the most that inter can be.
-    reach = lambda most: (UNDER + OVER) * most >= OVER * (F.col("nxa") + F.col("nxb"))
-    close = [s.where((UNDER * F.col(f"i{k}") >= OVER * F.col(f"nx{k}"))) for s, k in zip(sides, "ab", strict=True)]
-    without = (close[0].join(close[1], "p").where(differ & reach(F.least("ia", "ib")))).select("xa", "xb")
-    # A partner of x has 0.75 of its size or more, so beyond the pivot both share ``need`` values at least.
-    # With the values of a star in one order, rare ones first, such a pair meets in the first entries.
+    # A partner of x has 0.75 of its size or more and shares 0.75 of x's values at least. Without a common value
+    # beyond the pivot all of these lie inside it.
+    least = F.ceil(OVER * F.col("nx") / F.lit(UNDER))
+    close = members.where(UNDER * F.col("i") >= OVER * F.col("nx")).select("p", "x", "c", "nx", "i")
+    inside = (close.join(sets, "x").join(sets.select(F.col("x").alias("p"), F.col("set").alias("_pivot")), "p")
+              .select("p", "x", "c", "nx", "i", F.explode(F.array_intersect("set", "_pivot")).alias("value")))
+    within = meeting(rare_first(inside, least), reach(F.least("resta", "restb"))).select("xa", "xb")
+    # With common values beyond the pivot they share ``need`` of these at least.
     beyond = members.select("p", "x", "c", "nx", "i", F.explode("beyond").alias("value"))
-    both = (beyond.groupBy("p", "value").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("held"))
-            .where("_lo < _hi").select("p", "value", "held"))
     need = F.greatest(F.lit(1), F.ceil((OVER * F.col("nx") - UNDER * F.col("i")) / F.lit(UNDER)))
-    first = (beyond.join(both, ["p", "value"]).groupBy("p", "x", "c", "nx", "i")
-             .agg(F.array_sort(F.collect_list(F.struct("held", "value"))).alias("_values"))
-             .withColumn("_left", (F.size("_values") - need + 1).cast("int")).where("_left > 0")
-             .select("p", "x", "c", "nx", "i", F.size("_values").alias("_all"),
-                     F.posexplode(F.slice("_values", 1, F.col("_left"))).alias("_at", "_v"))
-             .select("p", "x", "c", "nx", "i", (F.col("_all") - F.col("_at")).alias("rest"), F.col("_v.value").alias("value")))
-    entry = [first.select("p", "value", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "c", "i", "rest")]) for s in "ab"]
     # Where a pair first meets, it can share no more than the values from there on.
-    able = reach(F.least("ia", "ib") + F.least("resta", "restb"))
-    met = entry[0].join(entry[1], ["p", "value"]).where(differ & able).select("p", "xa", "xb").distinct()
+    met = meeting(rare_first(beyond, need), reach(F.least("ia", "ib") + F.least("resta", "restb")))
     whole = [members.select("p", *[F.col(k).alias(f"{k}{s}") for k in ("x", "nx", "i", "beyond")]) for s in "ab"]
     shared = F.size(F.array_intersect("beyonda", "beyondb"))
     with_more = (met.join(whole[0], ["p", "xa"]).join(whole[1], ["p", "xb"])
                  .where(reach(F.least("ia", "ib") + shared)).select("xa", "xb"))
-    return without.unionByName(with_more).distinct().select(F.col("xa").alias("x"), F.col("xb").alias("p"))
+    return within.unionByName(with_more).distinct().select(F.col("xa").alias("x"), F.col("xb").alias("p"))
 
 
 def group_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -239,7 +259,7 @@ def group_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: s
     links = stars.where(is_link).select(F.col("x").alias("a"), F.col("p").alias("b"))
     found = components(links)
     small = rows.join(ids.withColumnRenamed("x", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("x"), "sketch")
-    others = (other_pairs(stars, found).join(small.withColumnRenamed("sketch", "_a"), "x")
+    others = (other_pairs(stars, found, sets).join(small.withColumnRenamed("sketch", "_a"), "x")
               .join(small.select(F.col("x").alias("p"), F.col("sketch").alias("_b")), "p")
               .where(estimate(F.col("_a"), F.col("_b")) >= LEAST_ESTIMATE).select("x", "p"))
     more = written(measured(others, sets).where(is_link).select(F.col("x").alias("a"), F.col("p").alias("b")), "others")

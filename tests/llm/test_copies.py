@@ -156,3 +156,38 @@ def test_estimate_is_exact_for_sets_within_the_sketch(spark):
 
 def test_schema_of_the_fixture(spark):
     assert documents(spark, []).schema == spark.createDataFrame([], SCHEMA).schema
+
+
+def test_a_star_of_excerpts_is_not_compared_all_with_all(spark):
+    """Two thousand excerpts of one long set, none linked with it: partners are found, pairs are not listed."""
+    rng = np.random.default_rng(3)
+    text = np.sort(rng.choice(1 << 40, 30_000, replace=False))
+    order = rng.permutation(30_000)  # words of neighbours have no neighbouring hashes
+    sets = {0: text}
+    for i in range(1, 2001):
+        at, size = int(rng.integers(0, 29_800)), int(rng.integers(80, 120))
+        own = rng.choice(1 << 41, int(rng.integers(0, 6))) + (1 << 40)
+        sets[i] = np.unique(np.concatenate([text[order[at:at + size]], own]))
+    inside = {i: np.intersect1d(s, text) for i, s in sets.items()}
+    stars = spark.createDataFrame(
+        [(i, 0, len(s), len(text), len(inside[i]), np.setdiff1d(s, text).tolist()) for i, s in sets.items() if i],
+        "x long, p long, nx int, np int, i int, beyond array<bigint>")
+    frame = spark.createDataFrame([(i, s.tolist()) for i, s in sets.items()], "x long, set array<bigint>")
+    found = near_dedup.other_pairs(stars, spark.createDataFrame([], "x long, c long"), frame)
+    pairs = {(r.x, r.p) for r in found.collect()}
+    small = {i: set(s.tolist()) for i, s in sets.items() if i}
+    holders = {}
+    for i, s in small.items():
+        for v in s:
+            holders.setdefault(v, []).append(i)
+    near = {(a, b) for members in holders.values() for a in members for b in members if a < b}
+    links = {(a, b) for a, b in near if 100 * len(small[a] & small[b]) >= 75 * len(small[a] | small[b])}
+    assert links <= pairs and len(links) > 1000
+    assert len(pairs) < 20 * len(links) and len(pairs) < 2000 * 2000 / 50
+
+
+def test_two_texts_under_one_id(spark):
+    base = words(1, 60)
+    rows = [(1, " ".join(base)), (1, " ".join(words(2, 60))), (2, " ".join(base[:58] + ["other"])), (3, " ".join(words(2, 60)))]
+    got = sorted(map(tuple, near_dedup.group_near_copies(documents(spark, rows)).select("doc_id", "component_id").collect()))
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
