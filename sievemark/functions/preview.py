@@ -6,98 +6,133 @@ import bisect
 import re
 from functools import reduce
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark import fixed_values as V
 from sievemark.functions.governance import confidence_percent, label
-from sievemark.functions.strings import computed_once
 
 _MARKS = "array<struct<start:int,end:int,category:string>>"
+#: Up to so many snippets are looked for one by one, more by one automaton.
+FEW = 12
+
+
+def _occurrences(text: str, snippets: set[str]) -> dict[str, list[int]]:
+    """Where each snippet starts, ascending; many snippets are found in one walk over the text."""
+    found: dict[str, list[int]] = {snippet: [] for snippet in snippets}
+    if len(snippets) > FEW:
+        machine = ahocorasick.Automaton()
+        for snippet in snippets:
+            machine.add_word(snippet, snippet)
+        machine.make_automaton()
+        for end, snippet in machine.iter(text):
+            found[snippet].append(end - len(snippet) + 1)
+        return found
+    for snippet, starts in found.items():
+        at = text.find(snippet)
+        while at >= 0:
+            starts.append(at)
+            at = text.find(snippet, at + 1)
+    return found
 
 
-def escape_html(text: Column) -> Column:
-    return reduce(lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])),
-                  V.HTML_ESCAPES, text)
-
-
-def _place(text: str, findings: list[dict]) -> list[dict]:
-    """Non-overlapping marks, one per finding whose snippet still has a free occurrence.
+def _place(text: str, findings: list[dict]) -> list[tuple[int, int, str]]:
+    """Non-overlapping marks (start, end, category), one per finding whose snippet still has a free occurrence.
 
     Marks are kept sorted, so a clash is found by bisection; a repeated snippet goes on where its
     last search ended.
     """
+    wanted = [((f["snippet"] or "").strip(), f["category"]) for f in findings]
+    places = _occurrences(text, {snippet for snippet, _ in wanted if len(snippet) > 1})
+    reached = dict.fromkeys(places, 0)
     starts: list[int] = []
     placed: dict[int, tuple[int, str]] = {}
-    reached: dict[str, int] = {}
-    for finding in findings:
-        snippet = (finding["snippet"] or "").strip()
+    for snippet, category in wanted:
         if len(snippet) < 2:
             continue
-        at = text.find(snippet, reached.get(snippet, 0))
-        while at >= 0:
-            i = bisect.bisect_left(starts, at + len(snippet))
-            if not i or placed[starts[i - 1]][0] <= at:
+        here, size = places[snippet], len(snippet)
+        n = reached[snippet]
+        while n < len(here):
+            i = bisect.bisect_left(starts, here[n] + size)
+            if not i or placed[starts[i - 1]][0] <= here[n]:
                 break
-            at = text.find(snippet, placed[starts[i - 1]][0])
-        reached[snippet] = at + len(snippet) if at >= 0 else len(text)
-        if at >= 0:
-            bisect.insort(starts, at)
-            placed[at] = (at + len(snippet), finding["category"])
-    return [{"start": s + 1, "end": placed[s][0] + 1, "category": placed[s][1]} for s in starts]
+            n = bisect.bisect_left(here, placed[starts[i - 1]][0], n + 1)
+        if n < len(here):
+            bisect.insort(starts, here[n])
+            placed[here[n]] = (here[n] + size, category)
+            n = bisect.bisect_left(here, here[n] + size, n + 1)
+        reached[snippet] = n
+    return [(s, *placed[s]) for s in starts]
 
 
 def _placed(texts: pa.Array, findings: pa.Array) -> pa.Array:
-    return pa.array([_place(t.as_py() or "", f.as_py() or []) for t, f in zip(texts, findings, strict=True)],
-                    pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string())])))
+    rows = [[{"start": start + 1, "end": end + 1, "category": category}
+             for start, end, category in _place(t.as_py() or "", f.as_py() or [])]
+            for t, f in zip(texts, findings, strict=True)]
+    return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("category", pa.string())])))
+
+
+def _wanted(findings: Column) -> Column:
+    return F.transform(findings, lambda f: F.struct(f["snippet"].alias("snippet"), f["category"].alias("category")))
 
 
 def marks(text: Column, findings: Column) -> Column:
     """Marks (1-based, end exclusive) of the findings in a text, ordered by start."""
-    wanted = F.transform(findings, lambda f: F.struct(f["snippet"].alias("snippet"), f["category"].alias("category")))
-    return F.arrow_udf(_placed, _MARKS)(text, wanted)
+    return F.arrow_udf(_placed, _MARKS)(text, _wanted(findings))
+
+
+def _escaped(text: str) -> str:
+    return reduce(lambda t, pair: t.replace(*pair), V.HTML_ESCAPES, text)
+
+
+def _marked(text: str, findings: list[dict]) -> str:
+    pieces, reached = [], 0
+    for start, end, category in _place(text, findings):
+        pieces += [_escaped(text[reached:start]), f'<mark data-category="{category}">', _escaped(text[start:end]), "</mark>"]
+        reached = end
+    return "".join([*pieces, _escaped(text[reached:])])
+
+
+def _previews(texts: pa.Array, findings: pa.Array) -> pa.Array:
+    return pa.array([None if t.as_py() is None else _marked(t.as_py(), f.as_py() or [])
+                     for t, f in zip(texts, findings, strict=True)], pa.string())
 
 
 def with_preview(df: DataFrame, text: str = "text", findings: str = "findings",
                  out: str = "preview") -> DataFrame:
-    """Add the escaped text with every marked snippet named by its category."""
-    work = computed_once(df, "_marks", marks(F.col(text), F.col(findings)))
-    placed, whole = F.col("_marks"), F.col(text)
+    """Add the escaped text with every marked snippet named by its category.
+
+    Marks are placed and the text is spliced in one Arrow pass, in time linear in text and findings.
+    """
+    return df.withColumn(out, F.arrow_udf(_previews, "string")(F.col(text), _wanted(F.col(findings))))
+
+
+def _cut_out(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text without its spans (sorted); ``until`` is the furthest end so far."""
+    pieces, until = [], 0
+    for start, end, category in spans:
+        if start >= until:
+            pieces += [text[until:start], f"[{category}]"]
+        until = max(until, end)
+    return "".join([*pieces, text[until:]])
 
-    def piece(m: Column, i: Column) -> Column:
-        begin = F.when(i == 0, 1).otherwise(F.try_element_at(placed, i)["end"])
-        opening = F.concat(F.lit('<mark data-category="'), m["category"], F.lit('">'))
-        return F.concat(escape_html(F.substring(whole, begin, m["start"] - begin)), opening,
-                        escape_html(F.substring(whole, m["start"], m["end"] - m["start"])),
-                        F.lit("</mark>"))
 
-    rest = F.coalesce(F.try_element_at(placed, F.lit(-1))["end"], F.lit(1))
-    tail = escape_html(F.substring(whole, rest, F.length(whole)))
-    return work.withColumn(
-        out, F.concat(F.array_join(F.transform(placed, piece), ""), tail)).drop("_marks")
+def _redacted(texts: pa.Array, findings: pa.Array) -> pa.Array:
+    return pa.array([None if t is None or f is None else _cut_out(t, sorted((s["start"], s["end"], s["category"]) for s in f))
+                     for t, f in zip(texts.to_pylist(), findings.to_pylist(), strict=True)], pa.string())
 
 
 def redacted(text: Column, findings: Column) -> Column:
     """The text with every finding (offsets from 0) replaced by its category in brackets.
 
     Where findings of different categories overlap, the first that starts is shown and the stretch
-    up to the last end is taken out.
+    up to the last end is taken out. One pass per text, in time linear in text and findings.
     """
-    spans = F.array_sort(F.transform(findings, lambda f: F.struct(
-        f["start"].alias("start"), f["end"].alias("end"), f["category"].alias("category"))))
-    ends = F.transform(spans, lambda s: s["end"])
-    # What is kept behind span i: from the furthest end so far to the next start.
-    pieces = F.transform(spans, lambda s, i: F.struct(
-        s["category"].alias("category"), s["start"].alias("start"),
-        F.array_max(F.slice(ends, F.lit(1), i + 1)).alias("until"),
-        F.coalesce(F.when(i > 0, F.array_max(F.slice(ends, F.lit(1), F.greatest(i, F.lit(1))))), F.lit(0)).alias("before"),
-        F.coalesce(F.try_element_at(spans, i + 2)["start"], F.length(text)).alias("next")))
-    shown = F.transform(pieces, lambda p: F.concat(
-        F.when(p["start"] >= p["before"], F.concat(F.lit("["), p["category"], F.lit("]"))).otherwise(F.lit("")),
-        F.substr(text, p["until"] + 1, F.greatest(p["next"] - p["until"], F.lit(0)))))
-    first = F.coalesce(F.try_element_at(spans, F.lit(1))["start"], F.length(text))
-    return F.concat(F.substr(text, F.lit(1), first), F.array_join(shown, ""))
+    spans = F.transform(findings, lambda f: F.struct(
+        f["start"].alias("start"), f["end"].alias("end"), f["category"].alias("category")))
+    return F.arrow_udf(_redacted, "string")(text, spans)
 
 
 def explanation(name: Column, findings: Column) -> Column:

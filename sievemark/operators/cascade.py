@@ -7,7 +7,9 @@ the joins with the answer tables move only ids and short arrays, and all share o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from sievemark import fixed_values as V
 from sievemark.functions.governance import clamp
 from sievemark.functions.rules import with_document_findings
 from sievemark.functions.strings import to_java
+from sievemark.session import scratch_folder
 
 FINDING = ("struct<category:string,snippet:string,pattern:string,source:string,"
            "confidence:double>")
@@ -262,13 +265,18 @@ def settle(rows: DataFrame, entity_answers: DataFrame | None, verify_answers: Da
         F.when(F.size("findings") > 0, "flagged").otherwise("not_flagged").alias("status_flag"))
 
 
-def unsure_candidates(texts: DataFrame, entity_answers: DataFrame,
-                      detectors: Iterable[str] | None = None) -> DataFrame:
-    """(file_id, text, candidates) of the residue whose entities need to be verified."""
+def unsure_in(left: DataFrame, entity_answers: DataFrame) -> DataFrame:
+    """(file_id, text, candidates) of the residue ``left`` whose entities need to be verified."""
     found = F.filter(entity_findings(answered_entities(F.col("response"))),
                      lambda f: F.coalesce(f["confidence"], F.lit(0.0)) < V.VERIFY_BELOW)
     asked = one_answer(entity_answers, "response").select("file_id", found.alias("candidates"))
-    return residue(texts, detectors).join(asked.filter(F.size("candidates") > 0), "file_id")
+    return left.join(asked.filter(F.size("candidates") > 0), "file_id")
+
+
+def unsure_candidates(texts: DataFrame, entity_answers: DataFrame,
+                      detectors: Iterable[str] | None = None) -> DataFrame:
+    """(file_id, text, candidates) of the texts' residue whose entities need to be verified."""
+    return unsure_in(residue(texts, detectors), entity_answers)
 
 
 def verify_requests(asked: DataFrame, size: int = V.VERIFY_TEXT_CHARS) -> DataFrame:
@@ -295,14 +303,47 @@ def verify_requests(asked: DataFrame, size: int = V.VERIFY_TEXT_CHARS) -> DataFr
     return rows.select("file_id", "part", start.alias("start"), body.alias("request"))
 
 
+def undetected_in(left: DataFrame, entity_answers: DataFrame | None = None, verify_answers: DataFrame | None = None,
+                  size: int = V.DETECT_TEXT_CHARS) -> DataFrame:
+    """Windows ``(file_id, part, start, request)`` over the residue ``left`` in which no tier found anything."""
+    rows = left.select("file_id", _no_findings().alias("findings"), F.col("text").alias("_carried"))
+    open_rows = settle(rows, entity_answers, verify_answers, None, False).filter(F.col("stage") == "llm_detect")
+    return open_rows.select("file_id", F.inline(windows(F.col("_carried"), size))).withColumnRenamed("text", "request")
+
+
 def detect_requests(texts: DataFrame, entity_answers: DataFrame | None = None,
                     verify_answers: DataFrame | None = None, detectors: Iterable[str] | None = None,
                     size: int = V.DETECT_TEXT_CHARS) -> DataFrame:
     """Windows ``(file_id, part, start, request)`` over the texts in which no tier found anything."""
-    rows = residue(texts, detectors).select(
-        "file_id", _no_findings().alias("findings"), F.col("text").alias("_carried"))
-    left = settle(rows, entity_answers, verify_answers, None, False).filter(F.col("stage") == "llm_detect")
-    return left.select("file_id", F.inline(windows(F.col("_carried"), size))).withColumnRenamed("text", "request")
+    return undetected_in(residue(texts, detectors), entity_answers, verify_answers, size)
+
+
+def stored_residue(texts: DataFrame, buckets: int, detectors: Iterable[str] | None = None) -> DataFrame:
+    """The residue, written once as a table bucketed by ``file_id``.
+
+    The rules run for the write and never again. All requests read this table, and where answers meet
+    the texts only the answers are shuffled: the table's buckets are its partitioning. The write is the one place where text
+    is shuffled. The table belongs to the session's catalog, its files to the shared folder.
+    """
+    spark = texts.sparkSession
+    name = f"residue_{uuid.uuid4().hex}"
+    (residue(texts, detectors).repartition(buckets, "file_id").write.bucketBy(buckets, "file_id").sortBy("file_id")
+     .option("path", scratch_folder(spark, "residue")).saveAsTable(name))
+    return spark.table(name)
+
+
+class ModelRequests(NamedTuple):
+    entities: DataFrame
+    verify: DataFrame
+    detect: DataFrame
+
+
+def model_requests(texts: DataFrame, entity_answers: DataFrame, verify_answers: DataFrame | None, buckets: int,
+                   batch_size: int = 25, detectors: Iterable[str] | None = None) -> ModelRequests:
+    """All three request tables from one scan of the texts; see ``stored_residue``."""
+    left = stored_residue(texts, buckets, detectors)
+    return ModelRequests(entity_requests(left, batch_size), verify_requests(unsure_in(left, entity_answers)),
+                         undetected_in(left, entity_answers, verify_answers))
 
 
 def run_summary(results: DataFrame) -> DataFrame:

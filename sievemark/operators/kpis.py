@@ -9,11 +9,11 @@ from sievemark.functions.governance import articles, label, percent, priority, t
 from sievemark.functions.ordering import with_position
 
 
-def _flagged() -> Column:
+def is_flagged() -> Column:
     return F.coalesce(F.col("status_flag") == "flagged", F.lit(False))
 
 
-def _processed() -> Column:
+def is_processed() -> Column:
     """A missing status counts as processed; only ``not checked`` does not."""
     return ~F.col("status_flag").eqNullSafe("not checked")
 
@@ -26,8 +26,8 @@ def totals(registry: DataFrame) -> DataFrame:
     """Registered, flagged and processed files and the flagged share of the processed ones."""
     counts = registry.agg(
         F.count("*").alias("total_files_registered"),
-        F.count_if(_flagged()).alias("total_files_flagged"),
-        F.count_if(_processed()).alias("total_files_processed"))
+        F.count_if(is_flagged()).alias("total_files_flagged"),
+        F.count_if(is_processed()).alias("total_files_processed"))
     return counts.withColumn("percentage_files_flagged", percent(
         F.col("total_files_flagged"), F.col("total_files_processed")))
 
@@ -41,7 +41,7 @@ def total_files_flagged(registry: DataFrame) -> DataFrame:
 
 
 def total_files_processed(registry: DataFrame) -> DataFrame:
-    return registry.filter(_processed()).agg(F.count("*").alias("value"))
+    return registry.filter(is_processed()).agg(F.count("*").alias("value"))
 
 
 def percentage_files_flagged(registry: DataFrame) -> DataFrame:
@@ -53,14 +53,14 @@ def owners(registry: DataFrame) -> DataFrame:
 
 
 def flagged_per_owner(registry: DataFrame) -> DataFrame:
-    counts = _owned(registry).filter(_flagged()).groupBy("owner").agg(
+    counts = _owned(registry).filter(is_flagged()).groupBy("owner").agg(
         F.count("*").alias("flagged_files"))
     return counts.orderBy(F.desc("flagged_files"), "owner")
 
 
 def clean_owners(registry: DataFrame) -> DataFrame:
     """Owners without a flagged file, in one pass instead of an anti-join."""
-    counts = _owned(registry).groupBy("owner").agg(F.count_if(_flagged()).alias("_n"))
+    counts = _owned(registry).groupBy("owner").agg(F.count_if(is_flagged()).alias("_n"))
     return counts.filter(F.col("_n") == 0).select("owner").orderBy("owner")
 
 
@@ -70,7 +70,7 @@ def owner_exists(registry: DataFrame, owner: str) -> bool:
 
 def owner_states(registry: DataFrame, asked: DataFrame) -> DataFrame:
     """For each asked ``owner``: unknown, known without flagged files, or with flagged files."""
-    known = registry.groupBy("owner").agg(F.count_if(_flagged()).alias("_n"))
+    known = registry.groupBy("owner").agg(F.count_if(is_flagged()).alias("_n"))
     rows = asked.select("owner").distinct().join(known, "owner", "left")
     return rows.select("owner", F.when(F.col("_n").isNull(), "unknown").when(
         F.col("_n") == 0, "empty").otherwise("flagged").alias("state"))
@@ -95,8 +95,8 @@ def owner_files(registry: DataFrame, owner: str | None = None) -> DataFrame:
 def snapshot(registry: DataFrame, label_text: str | None, captured_at: Column) -> DataFrame:
     """The figures of one moment as one row, from one pass; ``snapshot_owners`` has the owners."""
     per_owner = registry.groupBy("owner").agg(
-        F.count("*").alias("_all"), F.count_if(_flagged()).alias("_flagged"),
-        F.count_if(_processed()).alias("_processed"))
+        F.count("*").alias("_all"), F.count_if(is_flagged()).alias("_flagged"),
+        F.count_if(is_processed()).alias("_processed"))
     named = F.col("owner").isNotNull() & (F.col("owner") != "")
     zero = F.lit(0).cast("bigint")
     row = per_owner.agg(
@@ -120,7 +120,7 @@ def snapshot_owners(registry: DataFrame, label_text: str | None, captured_at: Co
     millions; order by ``flagged_files`` descending and ``owner`` to read it as a list.
     """
     return _owned(registry).groupBy("owner").agg(
-        F.count_if(_flagged()).alias("flagged_files")).select(
+        F.count_if(is_flagged()).alias("flagged_files")).select(
         captured_at.alias("captured_at"), F.lit(label_text or "manual").alias("run_label"),
         "owner", "flagged_files")
 
@@ -152,7 +152,7 @@ def owner_exposure(registry: DataFrame) -> DataFrame:
     Ranks come from range partitions and the total from a scalar subquery, so no task holds
     the whole owner list.
     """
-    counts = _owned(registry).filter(_flagged()).groupBy("owner").agg(
+    counts = _owned(registry).filter(is_flagged()).groupBy("owner").agg(
         F.count("*").alias("flagged_files"))
     ranked = with_position(counts, [F.desc("flagged_files"), F.asc("owner")], "rank")
     total = ranked.agg(F.sum("flagged_files")).scalar()

@@ -62,12 +62,13 @@ def start_scanner(messages: DataFrame, out: str, checkpoint: str,
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        parsed = parse_messages(batch, TEXT_MESSAGE, ["file_id", "text"])
+        parsed = parse_messages(batch, TEXT_MESSAGE, ["file_id", "text"]).persist()  # both sides from one pass
         status = scan_messages(parsed.filter(~F.col("bad")))
         status.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
             "overwrite").parquet(f"{out}/status/part={batch_id}")
         parsed.filter("bad").select("value").write.mode("overwrite").text(
             f"{out}/bad/part={batch_id}")
+        parsed.unpersist()
 
     writer = messages.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return _trigger(writer, interval).start()

@@ -1,8 +1,12 @@
 import html
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
+
 from sievemark.functions import governance as gov
+from sievemark.functions import preview
 from sievemark.functions.ordering import with_position
 from sievemark.functions.preview import explanation, redacted, with_preview
 from sievemark.operators import review
@@ -183,3 +187,43 @@ def test_review_figures(spark):
     stats = {r.user_id: r.total for r in review.user_stats(files, findings, decisions, 1e9).collect()}
     assert stats == {"u": 2, "v": 1}
     assert re.fullmatch(r"[0-9a-f]{16}", _one(spark, "/x", gov.file_id))
+
+
+def timed(run):
+    started = time.perf_counter()
+    run()
+    return time.perf_counter() - started
+
+
+def _many(n):
+    text = " ".join(f"value{i:06d} <{i}>" for i in range(n))
+    findings = [{"snippet": f"value{i:06d}", "category": "name"} for i in reversed(range(n))]
+    spans = [(i * 10, i * 10 + 15, "name" if i % 2 else "email") for i in range(n)]
+    return text, findings, spans
+
+
+def test_marks_and_redaction_take_linear_time():
+    small, large = _many(4000), _many(8000)
+    for work in (lambda m: preview._marked(*m[:2]), lambda m: preview._cut_out(m[0], m[2])):
+        assert min(timed(lambda w=work: w(large)) for _ in range(3)) < 3 * min(timed(lambda w=work: w(small)) for _ in range(3))
+    assert preview._marked(*large[:2]).count("<mark ") == 8000
+
+
+def test_many_snippets_are_placed_like_few(monkeypatch):
+    r = random.Random(6)
+    for _ in range(300):
+        text = "".join(r.choice("aab ") for _ in range(60))
+        findings = [{"snippet": "".join(r.choice("ab ") for _ in range(r.randrange(1, 6))), "category": c} for c in "cdefghijklmnopqr"]
+        few = preview._place(text, findings)
+        monkeypatch.setattr(preview, "FEW", -1)
+        many = preview._place(text, findings)
+        monkeypatch.undo()
+        assert few == many
+
+
+def test_null_texts_and_findings(spark):
+    schema = "text string, findings array<struct<category string, start int, end int, snippet string>>"
+    rows = [(None, []), ("a<b", None), ("a<b", []), ("x", [("name", 0, 1, None)])]
+    df = spark.createDataFrame(rows, schema)
+    assert [r.preview for r in with_preview(df).collect()] == [None, "a&lt;b", "a&lt;b", "x"]
+    assert [r[0] for r in df.select(redacted(F.col("text"), F.col("findings"))).collect()] == [None, None, "a<b", "[name]"]

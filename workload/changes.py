@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemark.functions import governance as gov
 from sievemark.functions.rules import with_document_findings
-from sievemark.operators import evaluate, ownership, registry, stored
+from sievemark.operators import cascade, evaluate, ownership, registry, stored, totals
 from sievemark.plans import scan
 from sievemark.session import scratch_folder
 from sievemark.sources import ranges, tree
-from sievemark.sources.files import texts_of
+from sievemark.sources.files import page_texts, texts_of
 from sievemark.streaming import consumers, stateful
 from workload.derived import relation, table
 from workload.queries import (
-    NOW, _epoch, _epochs, _judged, _listed_files, _message, _raw_listing, _registry, _status_updates, _stored_files, query)
+    NOW, _epoch, _epochs, _judged, _texts, _listed_files, _message, _raw_listing, _registry, _status_updates, _stored_files, query)
 
 BUCKETS = 64
 
@@ -87,6 +87,75 @@ def stored_status_carryover(spark, sf):
     return stored.read(spark, kept).select("id", "file_id", "status", "created_at")
 
 
+@query
+def live_owner_totals(spark, sf):
+    """Figures per owner, kept up to date through batches of statuses of which one comes twice."""
+    kept = _store(_registry(spark, sf), "file_id", "live-registry")
+    figures = totals.start_registry_totals(_registry(spark, sf), scratch_folder(spark, "live-totals"), BUCKETS)
+    updates = _status_updates(spark, sf)
+    for n in (0, 1, 2, 2):
+        batch = updates.filter(F.crc32("file_id") % 3 == n)
+        totals.fold_registry(figures, stored.apply_status(kept, batch, F.timestamp_seconds(F.lit(NOW)), ["seq"]))
+    return stored.read(spark, figures)
+
+
+@query
+def live_finding_totals(spark, sf):
+    """Findings per category and per file after a rescan in two batches, one of them delivered twice."""
+    old = relation(spark, sf, "findings")
+    kept = _store(old, "file_id", "live-findings")
+    per_category = totals.start_finding_totals(old, scratch_folder(spark, "live-categories"), "category", BUCKETS)
+    per_file = totals.start_finding_totals(old, scratch_folder(spark, "live-files"), "file_id", BUCKETS)
+    rescanned = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O").select(
+        F.concat(F.lit("f"), "o_orderkey").alias("file_id"))
+    again = old.filter(F.col("confidence") > 0.6).join(rescanned, "file_id", "left_semi").drop("status")
+    for batch in _halves(rescanned, "file_id"):
+        done = stored.replace_findings(kept, again, batch)
+        totals.fold_findings(per_category, done)
+        totals.fold_findings(per_file, done)
+    rows = stored.read(spark, per_category).select("category", F.col("findings").alias("n"))
+    figures = totals.finding_figures(spark, per_file).select(F.explode(F.array(
+        F.struct(F.lit("files with findings").alias("category"), F.col("files_flagged").alias("n")),
+        F.struct(F.lit("all findings").alias("category"), F.col("total_findings").alias("n")))).alias("_r"))
+    return rows.unionByName(figures.select("_r.*"))
+
+
+# ---- requests from one scan -----------------------------------------------------------------
+
+def _requests(spark, sf) -> cascade.ModelRequests:
+    return cascade.model_requests(_texts(spark, sf), relation(spark, sf, "entity_answers"),
+                                  relation(spark, sf, "verify_answers"), buckets=8)
+
+
+@query
+def verify_requests_of_one_scan(spark, sf):
+    return _requests(spark, sf).verify
+
+
+@query
+def detect_requests_of_one_scan(spark, sf):
+    return _requests(spark, sf).detect
+
+
+# ---- page text ------------------------------------------------------------------------------
+
+def _entities(text: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+@query
+def html_page_texts(spark, sf):
+    """Pages made of the documents: a title, a paragraph a line, comments and scripts between, characters as entities."""
+    paragraphs = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(
+        F.lit("<p>"), _entities(x), F.lit("</p><!-- a > b --><script>if (a < b) c()</script>"))), "")
+    html = F.concat(F.lit("<!DOCTYPE html><html><head><title>Page &amp; "), "doc_id", F.lit("</title><style>p{}</style></head><body>"),
+                    paragraphs, F.lit("<br></body></html>"))
+    pages = table(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), html.alias("html"))
+    return page_texts(pages).select("page_id", F.md5("text").alias("digest"))
+
+
 # ---- streams with state ---------------------------------------------------------------------
 
 LANES = 8
