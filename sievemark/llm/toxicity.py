@@ -135,10 +135,13 @@ class ToxicityModel:
         self._least = np.array([least for _, least in LEVELS])
         words, none = self.terms.get, len(stems)  # the last row stands for all other stems
         short, long = STEMS
+        #: A word's own term (plus one) and its two stems are the digits of one number.
+        self._digit = base = max(len(self.terms), len(stems)) + 1
 
-        def parts(word: bytes) -> tuple[int, int, int]:
-            return (words(word, -1), stems.get(word[:short], none) if len(word) > short else none,
-                    stems.get(word[:long], none) if len(word) > long else none)
+        def parts(word: bytes) -> int:
+            first = stems.get(word[:short], none) if len(word) > short else none
+            second = stems.get(word[:long], none) if len(word) > long else none
+            return ((words(word, -1) + 1) * base + first) * base + second
 
         self._parts = Memo(parts)
 
@@ -150,14 +153,18 @@ class ToxicityModel:
         if not words:
             return np.zeros(0, np.int64), np.zeros(0), 0
         size = words.total()
-        parts = np.array(list(map(self._parts.__getitem__, words)))
+        kind = np.int64 if self._digit**3 < 1 << 63 else object
+        parts = np.fromiter(map(self._parts.__getitem__, words), kind, len(words))
+        parts, second = np.divmod(parts, self._digit)
+        own, first = np.divmod(parts, self._digit)
+        own = own.astype(np.int64) - 1
         counts = np.fromiter(words.values(), np.float64, len(words))
-        stems, at = np.unique(parts[:, 1:].T.ravel(), return_inverse=True)
+        stems, at = np.unique(np.concatenate([first, second]).astype(np.int64), return_inverse=True)
         sums = np.bincount(at, np.tile(counts, 2))[:, None]
         levels = self._levels[stems]
         reached = (levels >= 0) & (sums >= self._least * size)
-        whole = parts[:, 0] >= 0
-        terms = np.concatenate([parts[whole, 0], levels[reached]])
+        whole = own >= 0
+        terms = np.concatenate([own[whole], levels[reached]])
         order = np.argsort(terms)
         return terms[order], np.concatenate([counts[whole], np.broadcast_to(sums, levels.shape)[reached]])[order], size
 
@@ -183,10 +190,14 @@ class ToxicityModel:
         return [(self.alone if v is None else float(np.interp(v, self.votes, self.chances)), n)
                 for v, n in zip(votes, near, strict=True)]
 
-    def evidence(self, near: Neighbours) -> list[dict]:
-        best, cosines = near
-        return [{"example_id": i, "cosine": c, "toxic": t} for i, c, t in zip(
-            self.example_ids[best].tolist(), np.minimum(cosines, 1).tolist(), self.toxic[best].tolist(), strict=True)]
+    def evidence(self, near: list[Neighbours]) -> pa.ListArray:
+        """The neighbours of each text as rows of the example's id, the cosine and the label."""
+        best = np.concatenate([n[0] for n in near]) if near else np.zeros(0, np.int64)
+        cosines = np.concatenate([n[1] for n in near]) if near else np.zeros(0)
+        rows = pa.StructArray.from_arrays([
+            pa.array(self.example_ids[best], pa.int64()), pa.array(np.minimum(cosines, 1)),
+            pa.array(self.toxic[best].astype(np.int32))], ["example_id", "cosine", "toxic"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(n[0]) for n in near)]), pa.int32()), rows)
 
     def calibrate(self, vectors: list[Vector], toxic: list[int]) -> None:
         """Monotone regression of the labels on the votes (pool adjacent violators).
@@ -246,13 +257,10 @@ class Index:
 
     def _exact(self, vector: Vector, rows: np.ndarray) -> np.ndarray:
         """Cosines with a few examples, each of which has terms, in double precision."""
-        self.query[vector[0]] = vector[1]
-        first = self.start[rows]
-        sizes = self.start[rows + 1] - first
-        offsets = np.cumsum(sizes) - sizes
-        places = np.repeat(first - offsets, sizes) + np.arange(sizes.sum())
-        out = np.add.reduceat(self.weight[places] * self.query[self.term[places]], offsets)
-        self.query[vector[0]] = 0
+        query, start, term, weight = self.query, self.start, self.term, self.weight
+        query[vector[0]] = vector[1]
+        out = np.array([weight[start[r]:start[r + 1]] @ query[term[start[r]:start[r + 1]]] for r in rows.tolist()])
+        query[vector[0]] = 0
         return out
 
     def nearest(self, vectors: list[Vector], k: int = NEIGHBOURS) -> list[Neighbours]:
@@ -409,13 +417,11 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_colu
           text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``score``, ``predicted`` and the ``evidence``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    near = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
-
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         scored = shared.value.scores(part.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([
             part.column(0), pa.array([s for s, _ in scored], pa.float64()),
-            pa.array([shared.value.evidence(n) for _, n in scored], near)], [id_column, "score", "evidence"])
+            shared.value.evidence([n for _, n in scored])], [id_column, "score", "evidence"])
 
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), text_of(text_column).alias("_text"))
     scored = rows.mapInArrow(
