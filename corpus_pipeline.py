@@ -1,4 +1,15 @@
-"""The corpus pipeline: stages that take documents and return documents, run one after the other."""
+"""The corpus pipeline: stages that take documents and return documents, run one after the other.
+
+Every stage but the last returns the columns it was given, extra ones and such with clashing names included. Defined results:
+
+* Null and empty texts are the same to all stages: they get the score of texts without neighbours, are copies of one another (the
+  row with the largest id stays), have no shingles, and no words, so the mix never takes them.
+* Rows without an id pass the filters like others; as near copies they are linked with nothing; in the mix they share one number.
+* Repeated rows of one id are copies by their texts; an id is dropped as a near copy only with all rows of it that stayed so far.
+* Ties go to the largest id among exact copies, to the smallest among near copies, and by hashes of ids in the mix.
+* A null source is a source of its own. Very long texts are read whole. Without documents, or without labels, the stages
+  give empty tables, or keep all texts as not toxic.
+"""
 
 from __future__ import annotations
 
