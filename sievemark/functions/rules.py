@@ -52,7 +52,8 @@ def _id(labels: str) -> str:
 
 # The order is part of the meaning: it numbers the findings, and the first one of a text
 # without confidences names its category. ``hints`` and ``shape`` are necessary conditions,
-# checked first because they cost far less than the pattern; ``first`` holds the characters that
+# checked first because they cost far less than the pattern, most of all where they begin with a fixed
+# character; ``first`` holds the characters that
 # can start a match.
 RULES = (
     Rule("emails", "email", V.EMAIL, hints=("@",)),
@@ -72,8 +73,8 @@ RULES = (
          keep=has_digit),
     Rule("id_documents", "id_card", _id(V.ID_CARD_LABELS),
          hints=("card", "ausweis", "tax", "vat"), first="ipatv", keep=has_digit),
-    Rule("ip_addresses", "ip_address", V.IPV4, shape=r"(?U)\d\.\d{1,3}\.\d{1,3}\.\d", first=r"\d"),
-    Rule("ip_addresses", "ip_address", V.IPV6, shape=r"::|[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:"),
+    Rule("ip_addresses", "ip_address", V.IPV4, shape=r"(?U)\.\d{1,3}\.\d{1,3}\.\d", first=r"\d"),
+    Rule("ip_addresses", "ip_address", V.IPV6, shape=r":(?::|[0-9A-Fa-f]{1,4}:[0-9A-Fa-f]{1,4}:)"),
     Rule("credit_cards", "credit_card", V.CREDIT_CARD, shape=r"(?U)\d{4}[\s\x1c-\x1f\-]?\d{4}",
          first="3-6",
          keep=lambda s: digits_in(s).isin(*V.CARD_DIGIT_COUNTS)),
