@@ -1,6 +1,6 @@
 """Operator 9: url filter by rules and by trust that flows along links. DataFrame functions only.
 
-A url is judged by the longest rule that fits. A url without a rule gets the verdict of its host, which
+A url is judged by the longest rule that fits, of equally long ones by the one stated first. A url without a rule gets the verdict of its host, which
 comes from the link graph between hosts: hosts of which most pages are allowed by rules are trusted
 seeds, those of which most are blocked are distrusted seeds. Personalised PageRank carries trust from
 the trusted seeds along links, and distrust from the distrusted seeds against them (who links to a bad

@@ -8,6 +8,7 @@ import pytest
 
 from sievemark.llm.frames import table, written
 from sievemark.llm.queries import QUERIES, toxicity_model
+from tests.llm.helpers import ODD, documents
 from tests.llm.test_copies import plain_components
 
 SF = "/root/testdata/sf0.001"
@@ -58,6 +59,20 @@ def test_empty_documents_pass_through(spark):
     assert docs.count() == 0
 
 
+def test_odd_rows_and_clashing_columns_pass_through(spark):
+    docs = documents(spark, [*ODD, (20, "a clean text of its own", None), (21, "another one", "t")], clashes=True)
+    schema, before = docs.schema, {r.doc_id for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.schema.names == schema.names, name
+        assert {r.doc_id for r in docs.collect()} <= before
+    texts = [r.text for r in docs.collect()]
+    assert all((t or "").split() for t in texts)  # the mix takes nothing without words
+    assert len(set(texts) & {"word", "no id", "a clean text of its own", "another one"}) == 4
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(texts)
+
+
 def test_entry_registers_and_survives_without_the_operators(monkeypatch):
     import __spark_entry__
 

@@ -80,6 +80,21 @@ def test_parts_rules_and_longest_match(spark):
     assert judged(spark, []) == {}
 
 
+def test_of_equally_long_rules_the_first_counts(spark):
+    pages = spark.createDataFrame([(1, "http://e.net/ab", None)], "page_id long, url string, html string")
+    for rules in ([("block", "net/ab"), ("allow", "e.net/")], [("allow", "e.net/"), ("block", "net/ab")]):
+        row = url_filter.judge(pages, rules).first()
+        assert (row["rule"], row.verdict) == (rules[0][1], rules[0][0])
+
+
+def test_repeated_and_very_long_pages(spark):
+    page = "<p>word</p>" * 200_000 + "<a href='http://bad.net/'>x</a>" * 1000
+    rows = [(1, "http://a.example.com/", page)] * 2 + [(2, "http://bad.net/", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id, r.verdict) for r in url_filter.judge(pages, RULES).collect()) == [
+        (1, "block"), (1, "block"), (2, "block")]
+
+
 def plain_ranks(links, seeds, rounds=400):
     hosts = {h for e in links for h in e} | seeds
     out = {h: sum(w for (a, _), w in links.items() if a == h) for h in hosts}
