@@ -6,7 +6,9 @@ of a vector not met yet is bounded by the product of the query with the componen
 deeper in the dimensions that hold the largest shares of this bound, not in all alike; every vector met there gets its full
 score by random access. A query is done with a block when the bound is below its k-th score (a bound equal to it could
 still hide a tie with a smaller id). The k-th score is carried from block to block, so a block whose largest components cannot
-beat it is left without a single access. When few vectors of a block are unmet they are scored at once.
+beat it is left without a single access. When few vectors of a block are unmet they are scored at once. Where the bound at the
+depths at which half of a block would be met still reaches the k-th score, no stop can come before that: such queries are scored
+against the whole block together.
 
 Queries are a stated set, taken in blocks that are sent to the tasks: candidates are neither copied nor shuffled. The k
 best of each task meet in one ranking per query.
@@ -37,6 +39,8 @@ CANDIDATES, QUERY_CELLS = 16_384, 1 << 20
 FIRST_DEPTH, DEEPER = 8, 2
 #: Part of the dimensions that a round goes deeper in; part of a block that is scored at once when it alone is unmet.
 LEADING, REST = 8, 4
+#: Queries scored together against a whole block.
+TOGETHER = 128
 
 
 def quantized(vectors: DataFrame, id_column: str, vector_column: str, scale: float) -> DataFrame:
@@ -86,6 +90,37 @@ class SortedLists:
         self.order = np.argsort(vectors, axis=0, kind="stable")
         self.values = np.take_along_axis(vectors, self.order, axis=0)
 
+    def late(self, best: Best, queries: np.ndarray) -> np.ndarray:
+        """Which queries cannot stop before half of the block is met; also those without k scores so far."""
+        n, width = self.vectors.shape
+        used = np.maximum((queries != 0).sum(axis=1), 1)
+        depth = np.minimum(n - 1, ((1 - 0.5 ** (1 / used)) * n).astype(np.int64))
+        out = np.ones(len(queries), bool)
+        for query in range(len(queries)):
+            kth = best.kth(query)
+            if kth is not None:
+                q = queries[query]
+                ends = np.where(q < 0, self.values[depth[query]], self.values[n - 1 - depth[query]])
+                out[query] = float((q.astype(float) * ends).sum()) >= kth
+        return out
+
+    def score_all(self, best: Best, at: np.ndarray, query_ids: np.ndarray, queries: np.ndarray) -> None:
+        """Score the whole block for the queries ``at``."""
+        for start in range(0, len(at), TOGETHER):
+            part = at[start:start + TOGETHER]
+            largest = float(np.abs(self.vectors).max(initial=0)) * float(np.abs(queries[part]).max(initial=0))
+            kind = np.float64 if largest * max(1, queries.shape[1]) < 2**53 else np.int64
+            scores = (queries[part].astype(kind) @ self.vectors.astype(kind).T).astype(np.int64)
+            best.offered += scores.size
+            best.scored += scores.size
+            for query, row in zip(part.tolist(), scores, strict=True):
+                usable = np.flatnonzero(self.ids != query_ids[query])
+                if len(usable) > best.k:
+                    kth = np.partition(row[usable], len(usable) - best.k)[len(usable) - best.k]
+                    usable = usable[row[usable] >= kth]
+                if len(usable):
+                    best.add(query, row[usable], self.ids[usable])
+
     def search(self, best: Best, query: int, query_id: int, vector: np.ndarray) -> None:
         """Take what the block holds for one query into ``best``."""
         n = len(self.ids)
@@ -131,8 +166,11 @@ def best_of_task(query_ids: np.ndarray, queries: np.ndarray, k: int, batches: It
     def search() -> None:
         width = max(queries.shape[1], 1)  # what a candidate has beyond meets zeros
         lists = SortedLists(np.concatenate(ids), _matrix(rows, width))
-        for query, (query_id, vector) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
-            lists.search(best, query, query_id, np.pad(vector, (0, width - len(vector))))
+        asked = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+        late = lists.late(best, asked)
+        lists.score_all(best, np.flatnonzero(late), query_ids, asked)
+        for query in np.flatnonzero(~late).tolist():
+            lists.search(best, query, int(query_ids[query]), asked[query])
         ids.clear()
         rows.clear()
 

@@ -155,8 +155,12 @@ def local_search(vectors, queries, k=5, size=1000):
     best = top_k.Best(len(queries), k)
     for at in range(0, len(vectors), size):
         lists = top_k.SortedLists(ids[at:at + size], vectors[at:at + size])
-        for q, i in enumerate(queries):
-            lists.search(best, q, i, vectors[i])
+        asked = vectors[queries]
+        late = lists.late(best, asked)
+        assert late.all() or at  # without scores so far nothing can stop
+        lists.score_all(best, np.flatnonzero(late), np.array(queries), asked)
+        for q in np.flatnonzero(~late).tolist():
+            lists.search(best, q, queries[q], asked[q])
     return best
 
 
