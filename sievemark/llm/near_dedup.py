@@ -46,7 +46,7 @@ SHINGLE, SKETCH = 5, 96
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 OVER, UNDER = 75, 100
 LEAST_ESTIMATE = 0.48
-#: Bits of the table in front of the exact join to candidate texts (2 MB, whatever the data).
+#: Bits of the table in front of the exact join to candidate texts (2 MB of bits, spread to 16 MB of flags, whatever the data).
 TABLE_BITS = 24
 
 
