@@ -102,7 +102,7 @@ def live_owner_totals(spark, sf):
 @query
 def live_finding_totals(spark, sf):
     """Findings per category and per file after a rescan in two batches, one of them delivered twice."""
-    old = relation(spark, sf, "findings")
+    old = relation(spark, sf, "findings").dropDuplicates(["id"])  # ids name findings
     kept = _store(old, "file_id", "live-findings")
     per_category = totals.start_finding_totals(old, scratch_folder(spark, "live-categories"), "category", BUCKETS)
     per_file = totals.start_finding_totals(old, scratch_folder(spark, "live-files"), "file_id", BUCKETS)

@@ -23,7 +23,7 @@ ORACLE["live_owner_totals"] = _with("registry decisions", f"""
     count(*) FILTER (WHERE status_flag IS DISTINCT FROM 'not checked') AS processed FROM now GROUP BY owner""")
 ORACLE["live_finding_totals"] = _with("findings", """
 , open_files AS (SELECT 'f' || o_orderkey AS file_id FROM orders WHERE o_orderstatus = 'O'),
-now AS (SELECT * FROM findings WHERE confidence > 0.6 OR file_id NOT IN (SELECT file_id FROM open_files))
+now AS (SELECT DISTINCT id, file_id, category FROM findings WHERE confidence > 0.6 OR file_id NOT IN (SELECT file_id FROM open_files))
 SELECT category, count(*) AS n FROM now GROUP BY category
 UNION ALL SELECT 'files with findings', count(DISTINCT file_id) FROM now UNION ALL SELECT 'all findings', count(*) FROM now""")
 ORACLE["verify_requests_of_one_scan"] = PLAIN["verify_requests"]
