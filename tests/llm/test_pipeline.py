@@ -68,7 +68,8 @@ def test_odd_rows_and_clashing_columns_pass_through(spark):
         assert {r.doc_id for r in docs.collect()} <= before
     texts = [r.text for r in docs.collect()]
     assert all((t or "").split() for t in texts)  # the mix takes nothing without words
-    assert len(set(texts) & {"word", "no id", "a clean text of its own", "another one"}) == 4
+    # A source whose target is above its size is taken more than once.
+    assert texts.count("a clean text of its own") > 1
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == len(texts)
 
