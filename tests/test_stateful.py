@@ -3,10 +3,13 @@
 import json
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sievemark.streaming import consumers, stateful
+from workload.derived import stream
 
 WAIT = 3_600_000
 
@@ -112,3 +115,48 @@ def test_a_broken_handler_ends_the_stream(spark, tmp_path):
                                        out, str(tmp_path / "cp"))
     with pytest.raises(Exception, match="no way"):
         stateful.stop_when(stream, lambda: False, 60)
+
+
+@pytest.mark.parametrize("shape", ["file", "folder"])
+def test_a_given_table_is_streamed_whether_file_or_folder(spark, tmp_path, shape):
+    pq.write_table(pa.table({"doc_id": [1, 2, 3]}), tmp_path / "part.parquet")
+    sf = tmp_path / "given"
+    (sf / "documents.parquet" if shape == "folder" else sf).mkdir(parents=True)
+    (tmp_path / "part.parquet").rename(sf / "documents.parquet" / "part-0.parquet" if shape == "folder" else sf / "documents.parquet")
+    pq.write_table(pa.table({"doc_id": [9]}), sf / "documents_old.parquet")
+    out = str(tmp_path / "out")
+    query = stream(spark, str(sf), "documents").writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert sorted(r.doc_id for r in spark.read.schema("doc_id long").parquet(out).collect()) == [1, 2, 3]
+
+
+class Busy:
+    """A stream with new rows for as long as ``looks`` last."""
+
+    lastProgress = None
+
+    def __init__(self, looks, active=False):
+        self.looks, self.active, self.stopped = looks, active, False
+
+    def exception(self):
+        return None
+
+    @property
+    def status(self):
+        self.looks -= 1
+        return {"isDataAvailable": self.looks > 0, "isTriggerActive": self.active}
+
+    def stop(self):
+        self.stopped = True
+
+
+def test_only_idle_time_ends_a_stream():
+    busy = Busy(5)
+    stateful.stop_when(busy, lambda: busy.looks <= 1, 0.3)  # longer than 0.3 seconds, with rows all the time
+    inside = Busy(0, active=True)  # one batch that has not ended
+    stateful.stop_when(inside, lambda: inside.looks <= -5, 0.3)
+    idle = Busy(0)
+    with pytest.raises(TimeoutError):
+        stateful.stop_when(idle, lambda: idle.looks <= -50, 0.3)
+    assert busy.stopped and inside.stopped and idle.stopped

@@ -13,7 +13,7 @@ from sievemark.session import scratch_folder
 from sievemark.sources import ranges, tree
 from sievemark.sources.files import page_texts, texts_of
 from sievemark.streaming import consumers, stateful
-from workload.derived import relation, table
+from workload.derived import relation, stream, table
 from workload.queries import (
     NOW, _epoch, _epochs, _judged, _texts, _listed_files, _message, _raw_listing, _registry, _status_updates, _stored_files, query)
 
@@ -163,8 +163,7 @@ LANES = 8
 
 def _stream(spark, sf) -> DataFrame:
     """The documents as a stream, read straight from the given table."""
-    documents = table(spark, sf, "documents")
-    return spark.readStream.schema(documents.schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
+    return stream(spark, sf, "documents")
 
 
 @query
@@ -175,8 +174,8 @@ def stream_flush(spark, sf):
     texts = _stream(spark, sf).select(F.col("doc_id").cast("string").alias("file_id"), F.lit(None).cast("string").alias("name"), "text")
     status = consumers.scan_messages(texts).select(
         F.col("file_id").cast("bigint").alias("doc_id"), F.to_json(F.struct("file_id", "status_flag")).alias("value"))
-    stream = stateful.start_flushing(status, F.col("doc_id") % LANES, out, f"{out}/checkpoint")
-    stateful.stop_when(stream, lambda: stream.lastProgress is not None and stateful.flushed(spark, out).count() == total)
+    flushing = stateful.start_flushing(status, F.col("doc_id") % LANES, out, f"{out}/checkpoint")
+    stateful.stop_when(flushing, lambda: flushing.lastProgress is not None and stateful.flushed(spark, out).count() == total)
     flag = F.get_json_object("value", "$.status_flag") == "flagged"
     return stateful.flushed(spark, out).groupBy("lane").agg(
         F.count_distinct(F.when(F.col("cause") == "rows", F.col("flush"))).alias("full_flushes"),

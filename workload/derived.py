@@ -135,6 +135,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream. It may be one file or a folder of files: a pattern stands for either, while
+    the stream source takes a plain path for a folder with other folders below."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation as a lazy DataFrame over the given tables."""
     sql = RELATIONS[name]
