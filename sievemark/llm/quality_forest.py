@@ -2,38 +2,39 @@
 
 1. One pass over the whole texts gives the rule statistics of each document. They are written once
    (a few numbers a row); everything after works on them.
-2. The forest is fitted on the statistics of at most ``SAMPLE`` labelled rows, those with the smallest
-   hashes of their ids. Each of ``TREES`` trees takes ``PSI`` of them and splits them at a random value of a
-   random feature that still varies, until single rows are left or the depth reaches log2(``PSI``). A
-   leaf that keeps several rows adds the expected depth of a tree over them. The features (``FEATURES``) are ratios
+2. The forest is fitted on the statistics of all labelled rows. Each of ``TREES`` trees draws its own ``PSI`` of them, those
+   with the smallest hashes for that tree (that a tree sees few rows is what makes odd ones stand out), and splits
+   them at a random value of a random feature that still varies, until single rows are left or the depth reaches
+   log2(``PSI``). A leaf that keeps several rows adds the expected depth of a tree over them. The features (``FEATURES``) are ratios
    drawn towards an ordinary text by a number of words added to each, so that a short text is not odd for its
    length alone; symbols count on a logarithmic scale, and the two kinds of repetition, which come together, as one.
 3. The score of a document is ``2 ** (-mean path length / expected path length)``: near 1 where few splits
-   set it apart. The cut is calibrated on the labelled rows of the sample that pass the base rule: the one with the
+   set it apart. The cut is calibrated on all labelled rows that pass the base rule: the one with the
    greatest share of low-quality rows above it minus ``CLEAN_WEIGHT`` times the share of good rows above it,
-   placed midway between two neighbouring scores. A document at or above the cut is not kept.
+   placed midway between two neighbouring scores. A document at or above the cut is not kept. The driver gets the
+   ``TREES * PSI`` rows drawn and the cut; the labelled rows stay in Spark.
 
 Defined results: a null text is an empty one; it has no words, so the base rule drops it. Rows without an id or with
 a repeated id are judged like all others. Labels without a quality count as no label; of several labels of an id the lower counts.
 With no labelled rows, or none of one of the two kinds, there is no cut and the base rule alone decides. Other
-columns are not looked at, so their names cannot clash. Reruns agree: the trees draw from a fixed seed over an ordered sample.
+columns are not looked at, so their names cannot clash. Reruns agree: the draws follow from hashes of the rows and a fixed seed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemark.llm.frames import per_row, text_of, tidy, written
 
-#: The most labelled rows that the forest and its cut are fitted on.
-SAMPLE = 20_000
 TREES, PSI = 128, 256
+#: Ranges of scores within which the cut is looked for side by side.
+RANGES = 1 << 12
 #: One good document lost weighs as much as this many low-quality ones caught.
 CLEAN_WEIGHT = 10.0
 SYMBOLS = b"#*$%&|<>"
@@ -136,6 +137,11 @@ def grow(x: np.ndarray, seed: int = 12, trees: int = TREES, psi: int = PSI) -> F
     """A forest over the rows of ``x``."""
     draw = np.random.default_rng(seed)
     psi = min(psi, len(x))
+    return grown((x[draw.choice(len(x), psi, replace=False)] for _ in range(trees)), draw, psi)
+
+
+def grown(drawn: Iterable[np.ndarray], draw: np.random.Generator, psi: int) -> Forest:
+    """A tree over each of the sets of (about) ``psi`` rows."""
     depth = int(np.ceil(np.log2(max(psi, 2))))
     feature, cut, child, path, roots = [], [], [], [], []
 
@@ -144,9 +150,9 @@ def grow(x: np.ndarray, seed: int = 12, trees: int = TREES, psi: int = PSI) -> F
             column.append(value)
         return len(child) - 1
 
-    for _ in range(trees):
+    for own in drawn:
         roots.append(node())
-        todo = [(roots[-1], x[draw.choice(len(x), psi, replace=False)], 0)]
+        todo = [(roots[-1], own, 0)]
         while todo:
             at, rows, level = todo.pop()
             low, high = rows.min(axis=0), rows.max(axis=0)
@@ -181,28 +187,77 @@ def calibrated(scores: np.ndarray, low: np.ndarray, clean_weight: float = CLEAN_
     return float(values[best] if best == 0 else (values[best - 1] + values[best]) / 2)
 
 
+def draws(rows: DataFrame, n: int, trees: int = TREES, psi: int = PSI) -> list[np.ndarray]:
+    """For each tree the ``psi`` of all ``n`` rows of statistics that its hashes put first.
+
+    Equal rows are told apart by a number, so each is drawn for itself. Hashes far above those of the first ``psi`` are left
+    in the tasks: of ``4 * psi`` expected for a tree, the first ``psi`` go on.
+    """
+    apart = rows.groupBy("doc_id", *STATISTICS).agg(F.count("*").alias("_n")).select(
+        "doc_id", *STATISTICS, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy"))
+    least = apart.select(F.xxhash64("doc_id", *STATISTICS, "_copy").alias("_h"), *STATISTICS)
+    most = np.uint64(min(1.0, 4 * psi / max(n, 1)) * (2**63 - 1024))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            for tree in range(trees):
+                h = own + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                h = (h ^ (h >> np.uint64(31))) >> np.uint64(1)
+                first = np.flatnonzero(h <= most)
+                if len(first):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(first), tree)), pa.array(h[first].astype(np.int64)),
+                         *(c.take(pa.array(first)) for c in batch.columns[1:])], ["tree", "place", *STATISTICS])
+
+    found = least.mapInArrow(tidy(run), "tree long, place long, " + ", ".join(f"{name} long" for name in STATISTICS))
+    order = Window.partitionBy("tree").orderBy("place", *STATISTICS)
+    table = found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= psi).toArrow()
+    x, tree = features({name: table[name].to_numpy() for name in STATISTICS}), table["tree"].to_numpy()
+    return [x[tree == t] for t in range(trees) if (tree == t).any()]
+
+
+def cut_of(scored: DataFrame, clean_weight: float = CLEAN_WEIGHT) -> float:
+    """``calibrated`` for rows (``anomaly``, ``low``) of any number: the same cut, by sums over ranges of the scores."""
+    counted = written(scored.groupBy("anomaly").agg(
+        F.count_if("low").alias("low"), F.count_if(~F.col("low")).alias("good")).withColumn(
+        "_range", F.floor(F.col("anomaly") * RANGES)), "scores")
+    sums = counted.groupBy("_range").agg(F.sum("low").alias("_low"), F.sum("good").alias("_good"))
+    low, good = sums.agg(F.sum("_low"), F.sum("_good")).first()
+    if not low or not good:
+        return float("inf")
+    none = F.lit(0)
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    inside = Window.partitionBy("_range").orderBy("anomaly").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("_range", *[F.coalesce(F.sum(c).over(ranges), none).alias(c) for c in ("_low", "_good")])
+    below = {c: F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), none) for c in ("low", "good")}
+    rows = counted.join(F.broadcast(before), "_range").select("anomaly", *[x.alias(c) for c, x in below.items()])
+    gain = (1.0 - F.col("low") / low) - clean_weight * (1.0 - F.col("good") / good)
+    best = rows.agg(F.max(F.struct(gain.alias("gain"), "anomaly")).alias("b")).first().b  # of equal gains the highest cut
+    if best.gain <= 0:
+        return float("inf")
+    under = counted.where(F.col("anomaly") < best.anomaly).agg(F.max("anomaly")).first()[0]
+    return best.anomaly if under is None else (under + best.anomaly) / 2
+
+
 def fit(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality") -> Forest | None:
-    """The forest and its cut from at most ``SAMPLE`` labelled rows; None where no row is labelled."""
+    """The forest and its cut from all labelled rows; None where no row is labelled."""
     marks = (labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
              .groupBy(F.col(id_column).cast("long").alias("doc_id")).agg(F.min(label_column).cast("int").alias("_mark")))
-    order = ["_order", "doc_id", *STATISTICS]
-    drawn = (stats.join(marks, "doc_id").withColumn("_order", F.xxhash64("doc_id"))
-             .withColumn("_base", base_failed()).orderBy(*order).limit(SAMPLE).toArrow())
-    if not drawn.num_rows:
+    labelled = written(stats.join(marks, "doc_id").select("doc_id", *STATISTICS, "_mark"), "labelled")
+    n = labelled.count()
+    if not n:
         return None
-    x = features({name: drawn[name].to_numpy() for name in STATISTICS})
-    forest = grow(x)
-    passed = ~drawn["_base"].to_numpy()
-    forest.threshold = calibrated(forest.scores(x[passed]), drawn["_mark"].to_numpy()[passed] == 0)
+    forest = grown(draws(labelled, n), np.random.default_rng(12), min(PSI, n))
+    passed = labelled.where(~base_failed()).select(*STATISTICS, (F.col("_mark") == 0).alias("low"))
+    forest.threshold = cut_of(scored(passed, forest))
     return forest
 
 
-def judge(stats: DataFrame, forest: Forest | None) -> DataFrame:
-    """``stats`` with ``base_failed``, ``anomaly`` (the score, 0 to 1; null without a forest) and ``kept``."""
-    kept = ~F.col("base_failed")
-    rows = stats.withColumn("base_failed", base_failed())
-    if forest is None:
-        return rows.withColumn("anomaly", F.lit(None).cast("double")).withColumn("kept", kept)
+def scored(rows: DataFrame, forest: Forest) -> DataFrame:
+    """``rows`` with ``anomaly``, the forest's score of their statistics."""
     names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,8 +268,16 @@ def judge(stats: DataFrame, forest: Forest | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(forest.scores(x))], [*names, "anomaly"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    scored = rows.mapInArrow(tidy(run), f"{schema}, anomaly double")
-    return scored.withColumn("kept", kept & (F.col("anomaly") < F.lit(forest.threshold)))
+    return rows.mapInArrow(tidy(run), f"{schema}, anomaly double")
+
+
+def judge(stats: DataFrame, forest: Forest | None) -> DataFrame:
+    """``stats`` with ``base_failed``, ``anomaly`` (the score, 0 to 1; null without a forest) and ``kept``."""
+    kept = ~F.col("base_failed")
+    rows = stats.withColumn("base_failed", base_failed())
+    if forest is None:
+        return rows.withColumn("anomaly", F.lit(None).cast("double")).withColumn("kept", kept)
+    return scored(rows, forest).withColumn("kept", kept & (F.col("anomaly") < F.lit(forest.threshold)))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text",

@@ -121,3 +121,41 @@ def test_odd_rows(spark, labelled):
 def test_empty_tables(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert forest.quality(documents(spark, []), labels).collect() == []
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """All low-quality rows but one come last in the order of the hashes that once chose the rows."""
+    monkeypatch.setattr(forest, "SAMPLE", 300, raising=False)  # the cap of the time before
+    rows = [(i, 100, 500 + i % 40, 0, 0, 0) for i in range(2000)]
+    stats = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{n} long" for n in forest.STATISTICS))
+    order = [r.doc_id for r in stats.select("doc_id").orderBy(forest.F.xxhash64("doc_id")).collect()]
+    low = set(order[300:340])
+    stats = stats.withColumn("n_symbols", forest.F.when(forest.F.col("doc_id").isin(low), 90).otherwise(forest.F.col("n_symbols")))
+    labels = spark.createDataFrame([(i, int(i not in low)) for i in range(2000)], "doc_id long, quality int")
+    fitted = forest.fit(stats, labels)
+    assert fitted.threshold < 1
+    judged = forest.judge(stats, fitted).collect()
+    assert {r.doc_id for r in judged if not r.kept} == low
+
+
+def test_draws_come_from_all_rows_once_each(spark):
+    same = [(i % 700, 100, i % 700, 0, 0, 0) for i in range(1400)]  # every row twice
+    stats = spark.createDataFrame(same, "doc_id long, " + ", ".join(f"{n} long" for n in forest.STATISTICS))
+    drawn = forest.draws(stats, 1400, trees=40, psi=50)
+    again = forest.draws(stats.repartition(5), 1400, trees=40, psi=50)
+    assert [len(x) for x in drawn] == [50] * 40
+    assert all(np.array_equal(np.sort(a, axis=0), np.sort(b, axis=0)) for a, b in zip(drawn, again, strict=True))
+    met = np.unique(np.concatenate(drawn)[:, 0], return_counts=True)
+    assert len(met[0]) > 600 and met[1].max() < 15  # 2,000 draws over 700 kinds of rows
+    alone = [len(np.unique(x[:, 0])) for x in drawn]
+    assert 45 < np.mean(alone) < 50  # copies do not come together
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_cut_over_many_rows_is_the_plain_one(spark, seed):
+    draw = np.random.default_rng(seed)
+    low = draw.random(500) < 0.1
+    scores = np.round(np.where(low, draw.normal(0.6, 0.05, 500), draw.normal(0.45, 0.05 + 0.05 * seed, 500)).clip(0, 1), 3)
+    rows = spark.createDataFrame(list(zip(scores.tolist(), low.tolist(), strict=True)), "anomaly double, low boolean")
+    assert forest.cut_of(rows) == forest.calibrated(scores, low)
+    assert forest.cut_of(rows.where("low")) == float("inf") == forest.cut_of(rows.where("NOT low"))
