@@ -9,7 +9,7 @@ from sievemark.functions import governance as gov
 from sievemark.functions.rules import with_document_findings
 from sievemark.operators import cascade, evaluate, ownership, registry, stored, totals
 from sievemark.plans import scan
-from sievemark.session import scratch_folder
+from sievemark.session import scratch_folder, written
 from sievemark.sources import ranges, tree
 from sievemark.sources.files import page_texts, texts_of
 from sievemark.streaming import consumers, stateful
@@ -269,7 +269,7 @@ def scan_snapshot(spark, sf):
 
 def _report(spark, sf) -> str:
     folder = scratch_folder(spark, "report")
-    judged = _judged(spark, sf)
+    judged = written(_judged(spark, sf), "judged")  # rows and summary come from one scan
     scan.write_report(judged, evaluate.file_confusion(judged, "rules"), folder)
     return folder
 
