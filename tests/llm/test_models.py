@@ -292,3 +292,9 @@ def test_language_model_of_odd_rows(spark):
 def test_the_model_beats_the_base_on_held_out_texts(spark):
     held = [r for r in op4_language_model(spark, SF).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_rare_words_of_every_batch_are_counted(spark):
+    """A word of a smaller share of a batch than a cut once left is the most frequent of all."""
+    texts = documents(spark, [(i, "rare " + " ".join(f"w{i}x{j}" for j in range(30_000))) for i in range(3)], parts=1).select("text")
+    assert language_model.frequent_words(texts, 1) == [b"rare"]
