@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,10 +100,16 @@ def texts_of(files: DataFrame) -> DataFrame:
     return by_bytes(rows).mapInPandas(_open_and_parse, _TEXT)
 
 
-def _parse_contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
+def _parse_contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contents leave the Arrow batch one by one, so a worker holds it once and not again as Python objects."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], ["path", "text", "error"])
+
+    for batch in batches:
         rows, held = [], 0
-        for path, ending, content in frame.itertuples(index=False):
+        for i in range(batch.num_rows):
+            path, ending, content = (column[i].as_py() for column in batch.columns)
             text = error = None
             try:
                 text = PARSERS[ending](bytes(content))
@@ -111,10 +118,10 @@ def _parse_contents(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((path, text, error))
             held += len(text or "")
             if held > _BATCH_CHARS:
-                yield pd.DataFrame(rows, columns=["path", "text", "error"])
+                yield flush(rows)
                 rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+            yield flush(rows)
 
 
 def texts_of_contents(files: DataFrame) -> DataFrame:
@@ -123,7 +130,7 @@ def texts_of_contents(files: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     plain = rows.filter(F.col("ending").isin(*TEXT_EXTENSIONS)).select(
         "path", decode_text(F.col("content")).alias("text"), none.alias("error"))
-    parsed = rows.filter(F.col("ending").isin(*PARSED_EXTENSIONS)).mapInPandas(
+    parsed = rows.filter(F.col("ending").isin(*PARSED_EXTENSIONS)).mapInArrow(
         _parse_contents, "path string, text string, error string")
     other = rows.filter(~F.col("ending").isin(*TEXT_EXTENSIONS, *PARSED_EXTENSIONS)).select(
         "path", none.alias("text"), F.concat(F.lit("unsupported file type: "), "ending").alias("error"))
