@@ -9,6 +9,9 @@ Choose the number of buckets so that one bucket is a file of a good size, and we
 batch: ids are hashed, so a batch of n ids touches up to n buckets. One key may hold a large share of the rows (the
 findings of one file): rebalancing splits such a bucket over several tasks and files.
 
+Deliveries may repeat. Beside the table lies a note of the last batch, by a digest of its rows; the same batch delivered
+again at once is known by it and changes nothing, whatever its rows would do to themselves. Any other batch is applied.
+
 One writer at a time; readers see buckets of two versions only while a batch is being committed. A row
 without a key belongs to the bucket of the null hash like any other.
 """
@@ -71,9 +74,30 @@ def create(rows: DataFrame, folder: str, key: str, buckets: int) -> StoredTable:
     marked = rows.select(*table.schema.fieldNames(), F.lit(True).alias(LIVE), bucket_of(F.col(key), buckets).alias(BUCKET))
     marker = rows.sparkSession.range(1).select(*none, F.lit(False).alias(LIVE), F.lit(0).alias(BUCKET))
     marked.unionByName(marker).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
+    _note(rows.sparkSession, table, "")
     return table
 
 
+def _note(spark: SparkSession, table: StoredTable, delivery: str) -> None:
+    spark.createDataFrame([(delivery,)], "value string").coalesce(1).write.mode("overwrite").text(f"{table.folder}-last")
+
+
+def _last(spark: SparkSession, table: StoredTable) -> str:
+    try:
+        return "".join(r.value for r in spark.read.text(f"{table.folder}-last").collect())  # one short row
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return ""
+
+
+def digest(rows: DataFrame) -> str:
+    """Names rows by their number and the sums of two hashes, whatever their order."""
+    values = [*rows.columns, *[F.col(c).isNull() for c in rows.columns]]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *values).cast("decimal(20,0)")) for seed in (1, 2)]
+    return " ".join(map(str, rows.agg(F.count("*"), *sums).first()))
+
+
 def read(spark: SparkSession, table: StoredTable, buckets: list[int] | None = None) -> DataFrame:
     """The whole table, or the rows of some buckets, of which only these folders are listed and read."""
     reader = spark.read.schema(StructType([*table.schema.fields]).add(LIVE, BooleanType()).add(BUCKET, IntegerType()))
@@ -91,11 +115,11 @@ def read(spark: SparkSession, table: StoredTable, buckets: list[int] | None = No
     return rows.where(LIVE).drop(LIVE, BUCKET)
 
 
-def apply(table: StoredTable, keys: DataFrame, change: Change) -> Applied:
+def apply(table: StoredTable, keys: DataFrame, change: Change, delivery: str = "") -> Applied:
     """Replace the buckets of ``keys`` (a column named like the key) by ``change`` of their rows.
 
     The list of touched buckets is all that comes to the driver; it is bounded by the number of buckets. Rows
-    that ``change`` puts elsewhere are an error, found before anything is replaced.
+    that ``change`` puts elsewhere are an error, found before anything is replaced. ``delivery`` names the batch.
     """
     spark = keys.sparkSession
     own = bucket_of(F.col(table.key), table.buckets)
@@ -108,7 +132,11 @@ def apply(table: StoredTable, keys: DataFrame, change: Change) -> Applied:
     after = written(change(before).select(*table.schema.fieldNames()), "after")
     if not after.where(~own.isin(touched)).isEmpty():
         raise ValueError("a change may only give rows of the buckets it was given")
+    if _last(spark, table):
+        _note(spark, table, "")  # a batch that fails from here on leaves no note of another
     _write(table, after, touched)
+    if delivery:
+        _note(spark, table, delivery)
     return Applied(touched, before, after)
 
 
@@ -134,6 +162,15 @@ def upsert_files(table: StoredTable, scanned: DataFrame) -> Applied:
 
 
 def replace_findings(table: StoredTable, new: DataFrame, rescanned: DataFrame) -> Applied:
-    """S15 on findings stored by ``file_id``; findings of files that were not rescanned are not taken."""
-    ours = new.join(rescanned.select("file_id").distinct(), "file_id", "left_semi")
-    return apply(table, rescanned.select("file_id"), lambda rows: registry.replace_findings(rows, ours, rescanned))
+    """S15 on findings stored by ``file_id``; findings of files that were not rescanned are not taken.
+
+    Findings whose id occurs twice multiply when they are matched by it, so a repeated batch must not be matched again.
+    """
+    files = rescanned.select("file_id").distinct()
+    ours = written(new.join(files, "file_id", "left_semi"), "batch")
+    delivery = f"{digest(files)}, {digest(ours)}"
+    spark = new.sparkSession
+    if _last(spark, table) == delivery:
+        none = spark.createDataFrame([], table.schema)
+        return Applied([], none, none)
+    return apply(table, files, lambda rows: registry.replace_findings(rows, ours, files), delivery)

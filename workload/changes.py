@@ -81,7 +81,7 @@ def stored_status_carryover(spark, sf):
         F.lit("new").alias("snippet"), F.lit(0.98).alias("confidence"),
         F.lit("regex").alias("detector"), F.lit("Art. 5").alias("gdpr_articles"),
         F.lit("open").alias("status"), F.lit(NOW).alias("created_at"))
-    new = again.select(*old.columns).unionByName(fresh).drop("status")
+    new = written(again.select(*old.columns).unionByName(fresh).drop("status"), "new")  # one match serves all batches
     for batch in _halves(rescanned, "file_id"):
         stored.replace_findings(kept, new, batch)
     return stored.read(spark, kept).select("id", "file_id", "status", "created_at")
