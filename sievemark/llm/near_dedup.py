@@ -40,13 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievemark.llm.frames import Memo, text_of, tidy, words_of, written
+from sievemark.llm.frames import Memo, text_of, tidy, trim, words_of, written
 
 SHINGLE, SKETCH = 5, 96
 #: Similarity as a fraction: 100 * intersection >= 75 * union.
 OVER, UNDER = 75, 100
 LEAST_ESTIMATE = 0.48
-#: Bits of the table in front of the exact join to candidate texts (2 MB of bits, spread to 16 MB of flags, whatever the data).
+#: Bits of the table in front of the exact join to candidate texts (2 MB, whatever the data).
 TABLE_BITS = 24
 
 
@@ -134,13 +134,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, id_column: str, text_column: str)
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("bits"))).toArrow()
     bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
     bits[words["word"].to_numpy()] = words["bits"].to_numpy()
-    known = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
+    known = spark.sparkContext.broadcast(bits)
+    del words
+    trim()  # what came to the driver is not needed on it any more
     schema = pa.schema([("x", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets_of = ShingleSets()
         for batch in batches:
-            wanted = np.flatnonzero(known.value[batch.column(1).to_numpy()])
+            at = batch.column(1).to_numpy()
+            wanted = np.flatnonzero((known.value[at >> 6] >> (at & 63)) & 1)
             for start in range(0, len(wanted), 256):
                 part = batch.take(pa.array(wanted[start:start + 256]))
                 yield pa.RecordBatch.from_arrays(

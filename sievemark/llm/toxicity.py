@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.frames import Memo, text_of, tidy, written
+from sievemark.llm.frames import Memo, text_of, tidy, trim, written
 
 #: The most labelled rows that are learned from.
 SAMPLE = 3_000
@@ -413,10 +413,18 @@ def _in_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
     return tidy(run)
 
 
+def _shared(docs: DataFrame, model: ToxicityModel):
+    """The model for all tasks; what it was learned from leaves the driver's memory."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    trim()
+    return shared
+
+
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_column: str = "doc_id",
           text_column: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``score``, ``predicted`` and the ``evidence``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
+
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
         scored = shared.value.scores(part.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([
@@ -432,7 +440,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_colu
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` whose texts score below the threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs, model)
     at = docs.columns.index(text_column)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
