@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievemark.streaming import consumers, stateful
+from workload.changes import stream_dead_letters
 from workload.derived import stream
 
 WAIT = 3_600_000
@@ -160,3 +161,15 @@ def test_only_idle_time_ends_a_stream():
     with pytest.raises(TimeoutError):
         stateful.stop_when(idle, lambda: idle.looks <= -50, 0.3)
     assert busy.stopped and inside.stopped and idle.stopped
+
+
+ODD = [(1, "a"), (1, "a"), (2, "b@c.org"), (3, None), (7, "d"), (7, "d")]
+
+
+@pytest.mark.parametrize("rows", [ODD, []], ids=["odd", "empty"])
+def test_dead_letters_of_repeated_and_missing_texts(spark, tmp_path, rows):
+    table = pa.Table.from_pylist([{"doc_id": i, "text": t} for i, t in rows], pa.schema({"doc_id": pa.int64(), "text": pa.string()}))
+    pq.write_table(table, tmp_path / "documents.parquet")
+    got = Counter(tuple(r) for r in stream_dead_letters(spark, str(tmp_path)).select("doc_id", "outcome", "attempt", "status_flag").collect())
+    want = {(1, "done", 1, "not_flagged"): 2, (2, "done", 1, "flagged"): 1, (3, "dead", 4, None): 1, (7, "dead", 4, None): 2}
+    assert got == (want if rows else {})
