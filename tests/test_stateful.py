@@ -1,6 +1,7 @@
 """Streams with state: flushes by count and time, redelivery with attempts, restarts in between."""
 
 import json
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -173,3 +174,20 @@ def test_dead_letters_of_repeated_and_missing_texts(spark, tmp_path, rows):
     got = Counter(tuple(r) for r in stream_dead_letters(spark, str(tmp_path)).select("doc_id", "outcome", "attempt", "status_flag").collect())
     want = {(1, "done", 1, "not_flagged"): 2, (2, "done", 1, "flagged"): 1, (3, "dead", 4, None): 1, (7, "dead", 4, None): 2}
     assert got == (want if rows else {})
+
+
+def test_a_stop_waits_for_the_batch_under_way(spark, tmp_path):
+    inbox, out, begun, ended = tmp_path / "in", str(tmp_path / "out"), [], []
+    put(inbox, "a", ["x"])
+
+    def slow(rows):
+        begun.append(1)
+        time.sleep(3)
+        done = rows.withColumn("ok", F.lit(True))
+        ended.append(done.count())
+        return done
+
+    stream = stateful.start_deliveries(consumers.message_stream(spark, str(inbox)), slow, out, str(tmp_path / "cp"))
+    stateful.stop_when(stream, lambda: bool(begun), 60)
+    assert ended == [1] and stream.exception() is None
+    assert stateful.handled(spark, out, "id string, attempt int, value string, ok boolean").count() == 1
