@@ -4,11 +4,13 @@ import json
 import time
 from collections import Counter
 
+import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from sievemark.streaming import consumers, stateful
 from workload.changes import stream_dead_letters
 from workload.derived import stream
@@ -191,3 +193,18 @@ def test_a_stop_waits_for_the_batch_under_way(spark, tmp_path):
     stateful.stop_when(stream, lambda: bool(begun), 60)
     assert ended == [1] and stream.exception() is None
     assert stateful.handled(spark, out, "id string, attempt int, value string, ok boolean").count() == 1
+
+
+@pytest.mark.parametrize("name", ["stream_dead_letters", "stream_extraction", "stream_flush", "stream_malformed", "stream_scan"])
+def test_a_table_in_a_folder_of_files_goes_through_the_streams(spark, tmp_path, name):
+    folder, texts = tmp_path / "documents.parquet", ["plain\nlines", "write to a@b.org", "call 555-123-4567, \"or\" not"]
+    folder.mkdir()
+    rows = pa.Table.from_pylist([{"doc_id": i, "text": texts[i % 3] + str(i)} for i in range(410)])
+    for k in range(3):
+        pq.write_table(rows.slice(150 * k, 150), folder / f"part-{k}.parquet")
+    database = duckdb.connect()
+    database.register("documents", rows)
+    wanted = database.execute(contract.oracle_sql()[name])
+    columns = [c[0] for c in wanted.description]
+    got = contract.queries()[name](spark, str(tmp_path)).select(*columns).collect()
+    assert Counter(map(tuple, got)) == Counter(wanted.fetchall())
