@@ -208,3 +208,15 @@ def test_a_table_in_a_folder_of_files_goes_through_the_streams(spark, tmp_path,
     columns = [c[0] for c in wanted.description]
     got = contract.queries()[name](spark, str(tmp_path)).select(*columns).collect()
     assert Counter(map(tuple, got)) == Counter(wanted.fetchall())
+
+
+def test_a_look_at_a_running_stream_allows_for_replaced_files(spark, tmp_path):
+    schema = "id string, attempt int, ok boolean"
+    for part in "ab":
+        spark.createDataFrame([(part, 1, True)], schema).coalesce(1).write.parquet(str(tmp_path / "handled" / f"part={part}"))
+    look, strict = (stateful.handled(spark, str(tmp_path), schema, live=live) for live in (True, False))
+    for file in (tmp_path / "handled" / "part=a").glob("*.parquet"):
+        file.unlink()
+    assert [r.id for r in look.collect()] == ["b"]
+    with pytest.raises(Exception, match="(?i)not exist"):  # results are never read with a gap
+        strict.collect()

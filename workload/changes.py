@@ -175,7 +175,7 @@ def stream_flush(spark, sf):
     status = consumers.scan_messages(texts).select(
         F.col("file_id").cast("bigint").alias("doc_id"), F.to_json(F.struct("file_id", "status_flag")).alias("value"))
     flushing = stateful.start_flushing(status, F.col("doc_id") % LANES, out, f"{out}/checkpoint")
-    stateful.stop_when(flushing, lambda: flushing.lastProgress is not None and stateful.flushed(spark, out).count() == total)
+    stateful.stop_when(flushing, lambda: flushing.lastProgress is not None and stateful.flushed(spark, out, live=True).count() == total)
     flag = F.get_json_object("value", "$.status_flag") == "flagged"
     return stateful.flushed(spark, out).groupBy("lane").agg(
         F.count_distinct(F.when(F.col("cause") == "rows", F.col("flush"))).alias("full_flushes"),
@@ -208,8 +208,8 @@ def stream_dead_letters(spark, sf):
             _stream(spark, sf).select(value.alias("value")), scan, out, f"{out}/checkpoint", attempts=4, backoff_ms=100)
 
     def settled() -> int:
-        return (stateful.handled(spark, out, schema).where("ok").count()
-                + stateful.dead_letters(spark, out).count())
+        return (stateful.handled(spark, out, schema, live=True).where("ok").count()
+                + stateful.dead_letters(spark, out, live=True).count())
 
     first = start()
     stateful.stop_when(first, lambda: (first.lastProgress or {}).get("batchId", 0) > 0)
