@@ -17,6 +17,8 @@ best are computed once more in full: the cosines are exact. Neighbours vote with
 together with a weak vote of the prior; the vote is mapped by monotone regression on the calibration part to a probability.
 Texts without a neighbour get the share of toxic ones among such texts of the sample. The neighbours are the evidence.
 
+Texts are taken apart by pieces of an Arrow batch: each distinct word of a piece is looked up once, with its stems.
+
 The model is bounded by the sample and is sent to the workers; scoring is one narrow map. Null texts count as empty, empty
 texts have no neighbour. Ties among neighbours go to the example that comes first in the hash order of the
 sample. Several labels of an id, or of equal texts, count as toxic if one is; null labels and ids are not learned from.
@@ -31,10 +33,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievemark.llm.frames import Memo, text_of, tidy, trim, written
+from sievemark.llm.frames import text_of, tidy, trim, written
 
 #: The most labelled rows that are learned from.
 SAMPLE = 3_000
@@ -44,12 +47,13 @@ STEMS = (4, 6)
 LEVELS = ((b"*", 0.0), (b"*1", 0.002), (b"*2", 0.008), (b"*3", 0.03))
 #: Occurrences that a term's counts are drawn to the expected by; the prior's part in a vote.
 DOUBT, PRIOR = 2.0, 0.2
-#: Texts scored together.
-BATCH = 128
+#: Texts scored together; bytes of texts taken apart together (one longer text goes alone).
+BATCH, PIECE = 128, 4 << 20
 #: Room for the rounding of single precision, in which blocks are bounded and completed.
 ROUNDING = 1e-4
 #: ASCII letters and digits stay, A-Z lower-cased; other ASCII separates words.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+SEPARATORS = bytes(c for c in range(256) if PLAIN[c] == 32)
 
 
 def terms_in(text: str) -> tuple[dict[bytes, int], int]:
@@ -69,6 +73,41 @@ def terms_in(text: str) -> tuple[dict[bytes, int], int]:
     return found, size
 
 
+def _data(texts: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Where each text begins in the data, with the end of the last one, and the data."""
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, bounds, data = texts.buffers()
+    if bounds is None or data is None:  # Arrow may leave them out where there is no text
+        return np.zeros(len(texts) + 1, np.int64), pa.py_buffer(b"")
+    return np.frombuffer(bounds, np.int64, len(texts) + 1, 8 * texts.offset), data
+
+
+def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[slice]:
+    """Consecutive texts of at most ``most`` bytes together, or a single longer one."""
+    bounds, low = _data(texts)[0], 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + most, "right")) - 1)
+        yield slice(low, high)
+        low = high
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of some texts, one text after the other, and how many words each text has."""
+    bounds, data = _data(texts)
+    data, bounds = data[bounds[0]:bounds[-1]].to_pybytes(), bounds - bounds[0]
+    inside = np.frombuffer(data.translate(PLAIN), np.uint8) != 32
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < len(data))]  # words do not go on into the next text
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    ends = np.append(0, np.cumsum(last - first + 1)).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data.translate(PLAIN, SEPARATORS))])
+    return words, np.diff(np.searchsorted(first, bounds))
+
+
 Vector = tuple[np.ndarray, np.ndarray]
 Neighbours = tuple[np.ndarray, np.ndarray]
 
@@ -121,60 +160,66 @@ class ToxicityModel:
         return self._index
 
     def _prepare(self) -> None:
-        """Numbers for stems, and for each stem the terms of its levels (-1: not in the vocabulary)."""
-        stems: dict[bytes, int] = {}
+        """Rows for words and stems, and for each row its terms: a word's own, a stem's by level (-1: not in the vocabulary).
+
+        As the vocabulary is ascending, the terms of ascending rows are so as well.
+        """
+        rows: dict[bytes, int] = {}
         marks = {mark: i for i, (mark, _) in enumerate(LEVELS)}
         found = []
         for term, number in self.terms.items():
-            stem, star, mark = term.partition(b"*")
-            if star:
-                found.append((stems.setdefault(stem, len(stems)), marks[star + mark], number))
-        self._levels = np.full((len(stems) + 1, len(LEVELS)), -1, np.int64)
-        for stem, level, number in found:
-            self._levels[stem, level] = number
+            part, star, mark = term.partition(b"*")
+            found.append((rows.setdefault(part + star, len(rows)), marks[star + mark] if star else 0, number))
+        self._levels = np.full((len(rows), len(LEVELS)), -1, np.int64)
+        for row, level, number in found:
+            self._levels[row, level] = number
         self._least = np.array([least for _, least in LEVELS])
-        words, none = self.terms.get, len(stems)  # the last row stands for all other stems
-        short, long = STEMS
-        #: A word's own term (plus one) and its two stems are the digits of one number.
-        self._digit = base = max(len(self.terms), len(stems)) + 1
-
-        def parts(word: bytes) -> int:
-            first = stems.get(word[:short], none) if len(word) > short else none
-            second = stems.get(word[:long], none) if len(word) > long else none
-            return ((words(word, -1) + 1) * base + first) * base + second
-
-        self._parts = Memo(parts)
-
-    def known(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
-        """The terms of a text that are in the vocabulary, ascending, their counts, and its number of words."""
-        if "_parts" not in vars(self):
+        #: Words, and stems of each length, with their rows; the last row stands for all others.
+        self._sets = []
+        for length in (0, *STEMS):
+            held = [r for r in rows if (len(r) - 1 if r.endswith(b"*") else 0) == length]
+            self._sets.append((length, pa.array([r.removesuffix(b"*") for r in held], pa.binary()),
+                               np.array([*(rows[r] for r in held), -1], np.int64)))
+
+    def _rows_of(self, words: pa.Array) -> Iterator[np.ndarray]:
+        """The rows of the words, then of their stems by length; -1 where there is none."""
+        sizes = pc.binary_length(words).to_numpy()
+        for length, held, rows in self._sets:
+            part = pc.binary_slice(words, 0, length) if length else words
+            at = pc.fill_null(pc.index_in(part, value_set=held), -1).to_numpy(zero_copy_only=False)
+            yield np.where(sizes > length, rows[at], -1)
+
+    def known(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The terms of some texts that are in the vocabulary: the place of the text, the term, its count, ascending by text and term.
+
+        The last array is each text's number of words. A word is looked up once for all texts.
+        """
+        if "_sets" not in vars(self):
             self._prepare()
-        words = Counter(text.encode("utf-8", "replace").translate(PLAIN).split())
-        if not words:
-            return np.zeros(0, np.int64), np.zeros(0), 0
-        size = words.total()
-        kind = np.int64 if self._digit**3 < 1 << 63 else object
-        parts = np.fromiter(map(self._parts.__getitem__, words), kind, len(words))
-        parts, second = np.divmod(parts, self._digit)
-        own, first = np.divmod(parts, self._digit)
-        own = own.astype(np.int64) - 1
-        counts = np.fromiter(words.values(), np.float64, len(words))
-        stems, at = np.unique(np.concatenate([first, second]).astype(np.int64), return_inverse=True)
-        sums = np.bincount(at, np.tile(counts, 2))[:, None]
-        levels = self._levels[stems]
-        reached = (levels >= 0) & (sums >= self._least * size)
-        whole = own >= 0
-        terms = np.concatenate([own[whole], levels[reached]])
-        order = np.argsort(terms)
-        return terms[order], np.concatenate([counts[whole], np.broadcast_to(sums, levels.shape)[reached]])[order], size
-
-    def vector(self, text: str) -> Vector:
-        """The unit vector of a text: terms, ascending, and weights."""
-        terms, counts, size = self.known(text)
-        if not len(terms):
-            return terms, counts
-        weights = np.log1p(1000 * counts / size) * self.weights[terms]
-        return terms, weights / np.linalg.norm(weights)
+        words, sizes = words_in(texts)
+        coded, width = words.dictionary_encode(), len(self._levels)
+        codes, base = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)) * width, sizes)
+        keys = []
+        for rows in self._rows_of(coded.dictionary):
+            rows = rows[codes]
+            held = rows >= 0
+            keys.append(base[held] + rows[held])
+        keys = np.sort(np.concatenate(keys))
+        starts = np.flatnonzero(np.diff(keys, prepend=-1))
+        counts = np.diff(np.append(starts, len(keys)))
+        place, rows = np.divmod(keys[starts], max(width, 1))
+        levels = self._levels[rows]
+        reached = (levels >= 0) & (counts[:, None] >= self._least * sizes[place][:, None])
+        many = np.count_nonzero(reached, axis=1)
+        return np.repeat(place, many), levels[reached], np.repeat(counts, many), sizes
+
+    def vectors(self, texts: pa.Array) -> list[Vector]:
+        """The unit vectors of some texts: terms, ascending, and weights."""
+        place, terms, counts, sizes = self.known(texts)
+        weights = np.log1p(1000 * counts / sizes[place]) * self.weights[terms]
+        ends = np.searchsorted(place, np.arange(len(texts) + 1)).tolist()
+        parts = ((terms[low:high], weights[low:high]) for low, high in zip(ends, ends[1:], strict=False))
+        return [(t, w / np.linalg.norm(w) if len(t) else w) for t, w in parts]
 
     def vote(self, near: Neighbours) -> float | None:
         best, cosines = near
@@ -184,8 +229,11 @@ class ToxicityModel:
         prior = self.toxic.mean()
         return float((close @ self.toxic[best] + PRIOR * prior) / (close.sum() + PRIOR))
 
-    def scores(self, texts: list[str]) -> list[tuple[float, Neighbours]]:
-        near = self.index().nearest([self.vector(text) for text in texts])
+    def nearest(self, vectors: list[Vector]) -> list[Neighbours]:
+        return [n for at in range(0, len(vectors), BATCH) for n in self.index().nearest(vectors[at:at + BATCH])]
+
+    def scores(self, texts: pa.Array | list[str]) -> list[tuple[float, Neighbours]]:
+        near = self.nearest(self.vectors(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
         votes = [self.vote(n) for n in near]
         return [(self.alone if v is None else float(np.interp(v, self.votes, self.chances)), n)
                 for v, n in zip(votes, near, strict=True)]
@@ -205,8 +253,7 @@ class ToxicityModel:
         Labels of texts without neighbours set the probability of such texts.
         """
         every = [*self.toxic.tolist(), *toxic]
-        near = [n for at in range(0, len(vectors), BATCH) for n in self.index().nearest(vectors[at:at + BATCH])]
-        votes = [self.vote(n) for n in near]
+        votes = [self.vote(n) for n in self.nearest(vectors)]
         without = self.toxic[np.diff(self.start) == 0].tolist() + [t for v, t in zip(votes, toxic, strict=True) if v is None]
         self.alone = (sum(without) + sum(every) / len(every)) / (len(without) + 1)
         pools: list[list[float]] = []  # sum of votes, sum of labels, number
@@ -225,7 +272,7 @@ class Index:
     """Block-max inverted index of a model's examples."""
 
     def __init__(self, model: ToxicityModel, common: int = COMMON):
-        self.start, self.term, self.weight = model.start, model.term, model.weight
+        self.start, self.term, self.weight = model.start, model.term.astype(np.intp), model.weight
         self.n, self.terms = len(model.toxic), len(model.weights)
         self.blocks = -(-self.n // BLOCK)
         self.query = np.zeros(self.terms)
@@ -244,22 +291,25 @@ class Index:
         rare = np.flatnonzero(at < 0)
         rare = rare[np.argsort(self.term[rare], kind="stable")]
         self.posting_start = np.searchsorted(self.term[rare], np.arange(self.terms + 1))
-        self.posting_row, self.posting_weight = row[rare].astype(np.int32), self.weight[rare]
+        self.posting_row, self.posting_weight = row[rare], self.weight[rare]
         #: Blocks completed and blocks bounded, for tests and figures.
         self.completed = self.bounded = 0
 
     def _rare_part(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
         first = self.posting_start[terms]
         sizes = self.posting_start[terms + 1] - first
-        places = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        parts = self.posting_weight[places] * np.repeat(weights, sizes)
-        return np.bincount(self.posting_row[places], parts, minlength=self.blocks * BLOCK)
+        places = np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        places += np.arange(len(places))
+        parts = self.posting_weight.take(places)
+        parts *= np.repeat(weights, sizes)
+        return np.bincount(self.posting_row.take(places), parts, minlength=self.blocks * BLOCK)
 
     def _exact(self, vector: Vector, rows: np.ndarray) -> np.ndarray:
         """Cosines with a few examples, each of which has terms, in double precision."""
         query, start, term, weight = self.query, self.start, self.term, self.weight
         query[vector[0]] = vector[1]
-        out = np.array([weight[start[r]:start[r + 1]] @ query[term[start[r]:start[r + 1]]] for r in rows.tolist()])
+        bounds = zip(start[rows].tolist(), start[rows + 1].tolist(), strict=True)
+        out = np.array([weight[low:high] @ query.take(term[low:high]) for low, high in bounds])
         query[vector[0]] = 0
         return out
 
@@ -327,8 +377,8 @@ def _frequencies(docs: DataFrame, text: Column, terms: dict[bytes, int]) -> tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(width + 1, np.int64), 0
         for batch in batches:
-            for value in batch.column(0):
-                counts[shared.value.known(value.as_py())[0]] += 1
+            for piece in pieces(batch.column(0)):
+                counts[:-1] += np.bincount(shared.value.known(batch.column(0)[piece])[1], minlength=width)
             rows += batch.num_rows
         counts[-1] = rows
         some = np.flatnonzero(counts)
@@ -377,7 +427,7 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, sample: int = SAM
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shared.value.vector(value.as_py()) for value in batch.column(0)]
+            made = [v for piece in pieces(batch.column(0)) for v in shared.value.vectors(batch.column(0)[piece])]
             yield pa.RecordBatch.from_arrays([
                 *batch.columns[1:], pa.array([t for t, _ in made], pa.list_(pa.int32())),
                 pa.array([w for _, w in made], pa.list_(pa.float64()))], ["_toxic", "_order", "_id", "terms", "weights"])
@@ -404,11 +454,13 @@ def projected(vectors: list[Vector], terms: int, dimensions: int = 24) -> np.nda
     return np.array([w @ signs[t] for t, w in vectors]).reshape(len(vectors), dimensions)
 
 
-def _in_batches(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable:
+def _in_pieces(work: Callable[[pa.RecordBatch], pa.RecordBatch], at: int) -> Callable:
+    """``work`` on pieces of the batches by the texts in column ``at``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, BATCH):
-                yield work(batch.slice(start, BATCH))
+            for piece in pieces(batch.column(at)):
+                yield work(batch[piece])
 
     return tidy(run)
 
@@ -426,14 +478,14 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, id_colu
     shared = _shared(docs, model)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        scored = shared.value.scores(part.column(1).to_pylist())
+        scored = shared.value.scores(part.column(1))
         return pa.RecordBatch.from_arrays([
             part.column(0), pa.array([s for s, _ in scored], pa.float64()),
             shared.value.evidence([n for _, n in scored])], [id_column, "score", "evidence"])
 
     rows = docs.select(F.col(id_column).cast("long").alias(id_column), text_of(text_column).alias("_text"))
     scored = rows.mapInArrow(
-        _in_batches(work),
+        _in_pieces(work, 1),
         f"`{id_column}` long, score double, evidence array<struct<example_id: bigint, cosine: double, toxic: int>>")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
@@ -444,7 +496,6 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3,
     at = docs.columns.index(text_column)
 
     def work(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [value.as_py() or "" for value in part.column(at)]
-        return part.filter(pa.array([s < threshold for s, _ in shared.value.scores(texts)], pa.bool_()))
+        return part.filter(pa.array([s < threshold for s, _ in shared.value.scores(part.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(_in_batches(work), docs.schema)
+    return docs.mapInArrow(_in_pieces(work, at), docs.schema)

@@ -2,10 +2,12 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievemark.llm import language_model, toxicity
@@ -102,6 +104,47 @@ def test_model_and_scores_against_brute_force(spark):
         assert scored[i].score == pytest.approx(want, abs=1e-9)
 
 
+@pytest.fixture(scope="module")
+def vocabulary():
+    """A model of 20 000 terms of made-up texts, without examples, and the texts."""
+    r = random.Random(8)
+    names = ["".join(r.choice("abcdeé") for _ in range(r.randrange(3, 11))) for _ in range(20_000)]
+    texts = [" ".join(r.choice(names) for _ in range(300)) for _ in range(1000)]
+    terms = sorted(set().union(*(toxicity.terms_in(t)[0] for t in texts[:100])))
+    weights = np.array([1 + r.random() for _ in terms])
+    return toxicity.ToxicityModel.of({t: i for i, t in enumerate(terms)}, weights, [], [], []), texts
+
+
+def test_texts_taken_apart_together_keep_their_own_terms(vocabulary):
+    model, texts = vocabulary
+    texts = ["", None, " ", *texts[:40], "abc", "abc", "x\x00,y",
+             "\u65e5\u672c abcde", "", "ABCDEab abcdeab, " * 700, texts[0].replace(" ", "\n\n"), None]
+    column = pa.array(["abcde ab", *texts], pa.string())[1:]  # a slice, as batches are cut
+    for most in (1, 3000, toxicity.PIECE):
+        cut = list(toxicity.pieces(column, most))
+        assert [i for c in cut for i in range(c.start, c.stop)] == list(range(len(texts)))
+        got = [v for c in cut for v in model.vectors(column[c])]
+        for text, (terms, weights) in zip(texts, got, strict=True):
+            counts, size = plain_terms(text or "")
+            held = [(model.terms[t], n) for t, n in counts.items() if t in model.terms]
+            want = {t: math.log1p(1000 * n / size) * model.weights[t] for t, n in held}
+            norm = math.sqrt(sum(w * w for w in want.values()))
+            assert terms.tolist() == sorted(want) and np.allclose(weights, [want[t] / norm for t in sorted(want)], rtol=1e-12)
+
+
+def test_taking_texts_apart_costs_less_than_counting_their_terms(vocabulary):
+    """Against a plain loop on the same machine: a look-up per word of each text costs more than the loop."""
+    model, texts = vocabulary
+    column, took = pa.array(texts, pa.string()), {"loop": [], "batch": []}
+    model.vectors(column[:10])  # the tables are made
+    for _ in range(3):
+        for kind, work in (("loop", lambda: [toxicity.terms_in(t) for t in texts]), ("batch", lambda: model.vectors(column))):
+            start = time.process_time()
+            work()
+            took[kind].append(time.process_time() - start)
+    assert min(took["batch"]) < 0.6 * min(took["loop"])
+
+
 def model_of(dense, toxic=None, order=None):
     vectors = [(np.flatnonzero(v), v[np.flatnonzero(v)]) for v in dense]
     terms = dense.shape[1]
