@@ -62,7 +62,8 @@ def with_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> tup
 
     Targets above ``most`` times the size are cut there and the excess is shared again by weight.
     """
-    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("s") % len(weights) + 1).cast("int"))
+    # Long: a weight times the words of a mix soon exceeds an int, and literals are ints as long as they fit.
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("s") % len(weights) + 1).cast("int")).cast("long")
     ranked = written(
         with_position(sources, [F.col("source").asc_nulls_last()], "s")
         .withColumn("s", F.col("s") - 1).withColumn("weight", weight)

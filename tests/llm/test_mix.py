@@ -77,6 +77,17 @@ def test_small_sources_reach_their_targets_in_a_large_mix(spark, monkeypatch, to
         assert abs(taken[s] - target) <= max(1, 0.005 * target), s
 
 
+@pytest.mark.parametrize("total", [430_000_000, 1_650_000_000, 2_147_483_647, 2_147_483_648])
+def test_totals_that_fit_a_short_number_but_not_times_a_weight(spark, monkeypatch, total):
+    sizes = {"a": total // 2, "b": total // 4, None: total // 100}
+    sizes["z"] = total - sum(sizes.values())
+    monkeypatch.setattr(source_mix, "number_of_words", lambda text: text.cast("long"))
+    docs = documents(spark, [(i, str(size), source) for i, (source, size) in enumerate(sizes.items())])
+    targets = plain_targets(sizes, (5, 2, 1), 3)
+    for row, source in zip(sorted(source_mix.mix(docs).collect()), sizes, strict=True):
+        assert row.target == pytest.approx(targets[source]) and abs(row.taken - targets[source]) <= 0.005 * targets[source], source
+
+
 def test_schedule_spreads_every_source(spark):
     sources = spark.createDataFrame([(0, 1000, 500.0), (1, 1000, 300.0), (2, 100, 200.0)],
                                     "s long, source_size long, target double")
