@@ -6,8 +6,9 @@ these folders by a dynamic partition overwrite. So a batch that touches one buck
 hundredth of the table, a failed batch leaves the table as it was, and a repeated batch finds its own result.
 
 Choose the number of buckets so that one bucket is a file of a good size, and well above the ids of a usual
-batch: ids are hashed, so a batch of n ids touches up to n buckets. One key may hold a large share of the rows (the
-findings of one file): rebalancing splits such a bucket over several tasks and files.
+batch: ids are hashed, so a batch of n ids touches up to n buckets. Rows are not shuffled by bucket before they are
+written: in a commit each task takes a share of its files (``TASK_ROWS`` rows, less while tasks are idle) and writes one file in every bucket it has
+rows of. So a bucket has as many files as there are such shares, and one key may hold a large share of the rows (the findings of one file).
 
 Deliveries may repeat. Beside the table lies a note of the last batch, by a digest of its rows; the same batch delivered
 again at once is known by it and changes nothing, whatever its rows would do to themselves. Any other batch is applied.
@@ -27,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructType
 
 from sievemark.operators import registry
-from sievemark.session import written
+from sievemark.session import discard, scratch_folder, written_to
 
 BUCKET, LIVE = "_bucket", "_live"
+#: Rows that a task of a commit takes: so many, or no less than the second number to keep all tasks busy.
+TASK_ROWS, LEAST_ROWS = 1 << 21, 1 << 18
 #: Buckets named one by one in a path; more are chosen by a filter on the whole folder.
 NAMED = 500
 Change = Callable[[DataFrame], DataFrame]
@@ -45,36 +48,47 @@ class StoredTable(NamedTuple):
 
 
 class Applied(NamedTuple):
-    """What a batch did: the buckets it replaced and their rows before and after, both written out."""
+    """What a batch did: the buckets it replaced and their rows before and after, both written out to ``folders``."""
 
     buckets: list[int]
     before: DataFrame
     after: DataFrame
+    folders: tuple[str, ...] = ()
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _write(table: StoredTable, rows: DataFrame, touched: list[int]) -> None:
-    """Replace the touched buckets by ``rows``; each gets a marker row, so that an emptied one is replaced too."""
-    marked = rows.select(*table.schema.fieldNames(), F.lit(True).alias(LIVE),
-                         bucket_of(F.col(table.key), table.buckets).alias(BUCKET))
+def _marked(table: StoredTable, rows: DataFrame, live: bool = True) -> DataFrame:
+    """Rows as they are stored; of those that are not ``live`` only the bucket counts."""
+    if live:
+        return rows.select(*table.schema.fieldNames(), F.lit(True).alias(LIVE), bucket_of(F.col(table.key), table.buckets).alias(BUCKET))
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields]
-    markers = rows.sparkSession.createDataFrame([(b,) for b in touched], f"{BUCKET} int").select(
-        *none, F.lit(False).alias(LIVE), BUCKET)
-    (marked.unionByName(markers).hint("rebalance", BUCKET).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(table.folder))
+    return rows.select(*none, F.lit(False).alias(LIVE), BUCKET)
+
+
+def _write(table: StoredTable, rows: DataFrame, touched: list[int], counts: dict[int, int]) -> None:
+    """Replace the touched buckets by ``rows``, read from files, so many in each; an emptied one gets a marker row, so that it
+    is replaced too."""
+    spark, total = rows.sparkSession, sum(counts.values())
+    tasks = max(-(-total // TASK_ROWS), min(-(-total // LEAST_ROWS), spark.sparkContext.defaultParallelism), 1)
+    marked = _marked(table, rows).coalesce(tasks)
+    emptied = [(b,) for b in touched if b not in counts]
+    if emptied:
+        marked = marked.unionByName(_marked(table, spark.createDataFrame(emptied, f"{BUCKET} int").coalesce(1), live=False))
+    (marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+     .partitionBy(BUCKET).parquet(table.folder))
 
 
 def create(rows: DataFrame, folder: str, key: str, buckets: int) -> StoredTable:
     """Store ``rows``; an existing table in ``folder`` is an error."""
+    spark = rows.sparkSession
     table = StoredTable(folder, key, buckets, rows.schema)
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema.fields]
-    marked = rows.select(*table.schema.fieldNames(), F.lit(True).alias(LIVE), bucket_of(F.col(key), buckets).alias(BUCKET))
-    marker = rows.sparkSession.range(1).select(*none, F.lit(False).alias(LIVE), F.lit(0).alias(BUCKET))
-    marked.unionByName(marker).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
-    _note(rows.sparkSession, table, "")
+    marker = _marked(table, spark.range(0, 1, 1, 1).select(F.lit(0).alias(BUCKET)), live=False)
+    _marked(table, rows).unionByName(marker).write.option("compression", "zstd").partitionBy(BUCKET).parquet(folder)
+    _note(spark, table, "")
+    discard(spark)
     return table
 
 
@@ -128,16 +142,23 @@ def apply(table: StoredTable, keys: DataFrame, change: Change, delivery: str = "
     if not touched:
         return Applied([], before, before)
     # The old files go with the commit, so what was read is kept beside the new rows.
-    before = written(before, "before")
-    after = written(change(before).select(*table.schema.fieldNames()), "after")
-    if not after.where(~own.isin(touched)).isEmpty():
+    folders = scratch_folder(spark, "before"), scratch_folder(spark, "after")
+    before = written_to(before, folders[0])
+    after = written_to(change(before).select(*table.schema.fieldNames()), folders[1])
+    counts = {r[0]: r[1] for r in after.groupBy(own.alias(BUCKET)).count().collect()}  # one row a bucket
+    if not set(counts) <= set(touched):
         raise ValueError("a change may only give rows of the buckets it was given")
     if _last(spark, table):
         _note(spark, table, "")  # a batch that fails from here on leaves no note of another
-    _write(table, after, touched)
+    _write(table, after, touched, counts)
     if delivery:
         _note(spark, table, delivery)
-    return Applied(touched, before, after)
+    return Applied(touched, before, after, folders)
+
+
+def release(spark: SparkSession, done: Applied) -> None:
+    """Give back the disk of a batch whose rows before and after are no longer needed."""
+    discard(spark, *done.folders)
 
 
 def upsert_listing(table: StoredTable, listing: DataFrame, now: Column) -> Applied:
@@ -167,10 +188,14 @@ def replace_findings(table: StoredTable, new: DataFrame, rescanned: DataFrame) -
     Findings whose id occurs twice multiply when they are matched by it, so a repeated batch must not be matched again.
     """
     files = rescanned.select("file_id").distinct()
-    ours = written(new.join(files, "file_id", "left_semi"), "batch")
-    delivery = f"{digest(files)}, {digest(ours)}"
     spark = new.sparkSession
+    batch = scratch_folder(spark, "batch")
+    ours = written_to(new.join(files, "file_id", "left_semi"), batch)
+    delivery = f"{digest(files)}, {digest(ours)}"
     if _last(spark, table) == delivery:
         none = spark.createDataFrame([], table.schema)
-        return Applied([], none, none)
-    return apply(table, files, lambda rows: registry.replace_findings(rows, ours, files), delivery)
+        done = Applied([], none, none)
+    else:
+        done = apply(table, files, lambda rows: registry.replace_findings(rows, ours, files), delivery)
+    discard(spark, batch)
+    return done

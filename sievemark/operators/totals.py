@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sievemark.functions.governance import percent
 from sievemark.operators import kpis, stored
 from sievemark.operators.stored import Applied, StoredTable
-from sievemark.session import written
+from sievemark.session import discard, scratch_folder, written_to
 
 def _registry_counts() -> dict[str, Column]:
     return {"files": F.lit(1), "flagged": kpis.is_flagged().cast("int"), "processed": kpis.is_processed().cast("int")}
@@ -43,11 +43,13 @@ def _fold(totals: StoredTable, done: Applied, counts: dict[str, Column]) -> Appl
         raise ValueError("these totals count something else")
     change = _summed(_counted(done.before, totals.key, counts, -1).unionByName(
         _counted(done.after, totals.key, counts, 1)), totals.key, list(counts))
-    change = written(change, "change")
+    spark, folder = done.before.sparkSession, scratch_folder(done.before.sparkSession, "change")
+    change = written_to(change, folder)
     folded = stored.apply(totals, change, lambda old: _summed(
         old.select(totals.key, *counts).unionByName(change), totals.key, list(counts)))
     if not folded.after.where(" OR ".join(f"{n} < 0" for n in counts)).isEmpty():
         raise ValueError("the totals lack the rows that changed: start them from the table as it was")
+    discard(spark, folder)
     return folded
 
 

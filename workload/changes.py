@@ -83,7 +83,7 @@ def stored_status_carryover(spark, sf):
         F.lit("open").alias("status"), F.lit(NOW).alias("created_at"))
     new = written(again.select(*old.columns).unionByName(fresh).drop("status"), "new")  # one match serves all batches
     for batch in _halves(rescanned, "file_id"):
-        stored.replace_findings(kept, new, batch)
+        stored.release(spark, stored.replace_findings(kept, new, batch))
     return stored.read(spark, kept).select("id", "file_id", "status", "created_at")
 
 
@@ -102,8 +102,8 @@ def live_owner_totals(spark, sf):
 @query
 def live_finding_totals(spark, sf):
     """Findings per category and per file after a rescan in two batches, one of them delivered twice."""
-    old = written(relation(spark, sf, "findings").dropDuplicates(["id"]), "findings")  # ids name findings
-    kept = _store(old, "file_id", "live-findings")
+    kept = _store(relation(spark, sf, "findings").dropDuplicates(["id"]), "file_id", "live-findings")  # ids name findings
+    old = stored.read(spark, kept)
     per_category = totals.start_finding_totals(old, scratch_folder(spark, "live-categories"), "category", BUCKETS)
     per_file = totals.start_finding_totals(old, scratch_folder(spark, "live-files"), "file_id", BUCKETS)
     rescanned = table(spark, sf, "orders").filter(F.col("o_orderstatus") == "O").select(
@@ -111,8 +111,9 @@ def live_finding_totals(spark, sf):
     again = written(old.filter(F.col("confidence") > 0.6).join(rescanned, "file_id", "left_semi").drop("status"), "again")
     for batch in _halves(rescanned, "file_id"):
         done = stored.replace_findings(kept, again, batch)
-        totals.fold_findings(per_category, done)
-        totals.fold_findings(per_file, done)
+        for figures in (per_category, per_file):
+            stored.release(spark, totals.fold_findings(figures, done))
+        stored.release(spark, done)
     rows = stored.read(spark, per_category).select("category", F.col("findings").alias("n"))
     figures = totals.finding_figures(spark, per_file).select(F.explode(F.array(
         F.struct(F.lit("files with findings").alias("category"), F.col("files_flagged").alias("n")),
